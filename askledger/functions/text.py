@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 # The characters counted as white space when stripping.
 WHITESPACE = (
-    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0 "
-    "           "
-    "    　"
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
 )
 # Fixed value: punctuation removed from both ends of a term, never from inside it.
 EDGE_PUNCTUATION = " \t\r\n.,;:!?\"'`()[]{}<>|"
 # Fixed value: quoting and separators that do not change what a query asks.
-QUERY_NOISE = "[\"“”‘’',;:()\\[\\]]+"
+QUERY_NOISE = "[\"\u201c\u201d\u2018\u2019',;:()\\[\\]]+"
 
 _SPACE_RUN = r"(?U)[\s\x1c-\x1f]+"
 _HOST = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#]*@)?(?:\[([^\]/?#]*)\]|([^/?#:\[\]]*))(?::[^/?#]*)?(?:[/?#]|$)"
