@@ -188,15 +188,11 @@ def shared_prefix(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFra
         F.count(F.lit(1)).alias("n_prompts"),
         F.coalesce(F.sum(F.length(text)), F.lit(0)).alias("_chars"),
     )
-    shortest = F.least(F.length("_lo"), F.length("_hi"))
-    first_difference = F.filter(
-        F.sequence(F.lit(1), shortest),
-        lambda i: F.substring(F.col("_lo"), i, F.lit(1)) != F.substring(F.col("_hi"), i, F.lit(1)),
-    )
-    # Doubling search is not needed: the two texts are single values here.
-    prefix = F.when(F.col("_lo") == F.col("_hi"), F.length("_lo")).when(
-        shortest > 0, F.coalesce(F.element_at(first_difference, 1) - 1, shortest)
+    differs = F.zip_with(
+        F.split("_lo", ""), F.split("_hi", ""), lambda x, y: ~x.eqNullSafe(y)
     )
+    at = F.array_position(differs, True)
+    prefix = F.when(at > 0, at - 1).otherwise(F.length("_lo"))
     chars = F.coalesce(prefix, F.lit(0)).cast("bigint")
     tokens = F.floor(chars / CHARS_PER_TOKEN)
     return sized.select(
