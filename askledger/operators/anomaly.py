@@ -27,11 +27,14 @@ PROBLEM = "struct<code:string,excerpt:string,detail:string>"
 
 def problem(code: str, detail: Column, excerpt: Column | None = None) -> Column:
     """One problem as a struct, to be collected in an array and exploded later."""
-    return F.struct(
-        F.lit(code).alias("code"),
-        (F.lit(None) if excerpt is None else excerpt).cast("string").alias("excerpt"),
-        detail.cast("string").alias("detail"),
-    )
+    return F.named_struct(
+        F.lit("code"),
+        F.lit(code),
+        F.lit("excerpt"),
+        (F.lit(None) if excerpt is None else excerpt).cast("string"),
+        F.lit("detail"),
+        detail.cast("string"),
+    ).cast(PROBLEM)
 
 
 def problems(*checks: tuple[Column, Column]) -> Column:
