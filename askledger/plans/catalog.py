@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from askledger.operators import defects as df_
+from askledger.operators import health as hl
 from askledger.operators import masking as mk
 from askledger.operators import runs as rn
 from askledger.operators import scorecard as sc
@@ -237,3 +239,101 @@ def head_templates_all(s, d):
 @query
 def withheld_templates(s, d):
     return mk.withheld_count(_masked(s, d))
+
+
+# --- health and defects --------------------------------------------------------------------
+
+
+@query
+def run_defects(s, d):
+    return df_.run_defects(b.answers(s, d), b.records(s, d), b.runs(s, d))
+
+
+@query
+def defect_crosstab(s, d):
+    return df_.defect_crosstab(run_defects(s, d))
+
+
+@query
+def defect_overlap(s, d):
+    return df_.defect_overlap(run_defects(s, d))
+
+
+@query
+def defect_files(s, d):
+    return df_.defect_files(run_defects(s, d))
+
+
+@query
+def defect_pointers(s, d):
+    return df_.defect_pointers(run_defects(s, d))
+
+
+@query
+def defect_export_output_only(s, d):
+    return df_.defect_exports(run_defects(s, d))["output_only"]
+
+
+@query
+def corpus_counts(s, d):
+    return hl.corpus_counts(b.entities(s, d), b.runs(s, d), b.records(s, d), b.terms(s, d))
+
+
+@query
+def reconcile_runs(s, d):
+    return hl.reconcile_runs(b.runs(s, d), b.answers(s, d), b.records(s, d))
+
+
+@query
+def terms_by_field(s, d):
+    return hl.terms_by_field(b.terms(s, d))
+
+
+@query
+def unreadable_runs(s, d):
+    return hl.unreadable_runs(b.answers(s, d))
+
+
+@query
+def agreement_tallies(s, d):
+    return hl.agreement_tallies(b.answers(s, d))
+
+
+@query
+def answer_sources(s, d):
+    return hl.answer_sources(b.answers(s, d), asked=8)
+
+
+@query
+def evidence_links(s, d):
+    return hl.evidence_links(b.answers(s, d))
+
+
+@query
+def answer_totals(s, d):
+    return hl.answer_totals(b.answers(s, d))
+
+
+@query
+def query_totals(s, d):
+    return hl.query_totals(b.entity_queries(s, d))
+
+
+@query
+def call_breakdowns(s, d):
+    return hl.call_breakdowns(b.calls(s, d))
+
+
+@query
+def answer_breakdowns(s, d):
+    return hl.answer_breakdowns(b.answers(s, d))
+
+
+@query
+def citation_breakdowns(s, d):
+    return hl.citation_breakdowns(b.citations(s, d))
+
+
+@query
+def citation_domains(s, d):
+    return b.citations(s, d).groupBy("domain").agg(F.count(F.lit(1)).alias("n"))

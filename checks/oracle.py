@@ -375,4 +375,90 @@ from masked where is_billed_query {gate} group by 1 order by 2 desc, 1 limit 200
     out["head_templates_all"] = masking(head.format(gate=""))
     out["withheld_templates"] = masking("""
 select count(distinct template) n_withheld from masked where is_billed_query and n_placeholders = 0""")
+    # --- health and defects
+    defects = """
+d_runs as (select output_id, run_id, count(*) n_answers, count(*) filter (parsed_from = 'answer_dict') n_dict
+  from b_answers where run_id is not null group by all),
+d as (select r.se10, r.src_file, r.src_line, p.output_id, p.run_id, n_dict, n_answers, n_dict = n_answers total_fail,
+  n_dict > 0 any_dict, exists (select 1 from b_runs l where l.se10 = r.se10 and l.run_id = p.run_id) has_log
+  from d_runs p join b_records r using (output_id)),
+defects as (select *, case when not total_fail and not any_dict and has_log then 'ok' else concat_ws('+',
+  case when total_fail then 'prose_unreadable' when any_dict then 'prose_partial' end,
+  case when not has_log then 'output_only' end) end defect from d)"""
+
+    def broken(select):
+        return _with(B_ANSWERS, B_RECORDS, B_RUNS, defects, select=select)
+
+    out["run_defects"] = broken("select * from defects")
+    out["defect_crosstab"] = broken("""
+select state, count(*) filter (x.s = state and has_log) in_logs, count(*) filter (x.s = state and not has_log) output_only
+from (select unnest(['prose ok', 'prose partial', 'prose UNREADABLE']) state),
+  (select *, case when total_fail then 'prose UNREADABLE' when any_dict then 'prose partial' else 'prose ok' end s from defects) x
+group by state""")
+    out["defect_overlap"] = broken("""
+select *, case when overlap > 0.9 then 'same' when overlap < 0.1 then 'independent' when overlap is not null then 'partial' end verdict
+from (select *, n_both / nullif(least(n_unreadable, n_output_only), 0) overlap from (
+  select count(*) n_runs, count(*) filter (total_fail) n_unreadable, count(*) filter (not has_log) n_output_only,
+    count(*) filter (total_fail and not has_log) n_both from defects))""")
+    out["defect_files"] = broken("""
+select src_file, count(*) n_defective from defects where any_dict or not has_log group by 1""")
+    out["defect_pointers"] = broken("""
+select * from (select 'prose_unreadable' kind, src_file, src_line from defects where total_fail
+  order by has_log, src_file, src_line, run_id limit 1)
+union all select * from (select 'output_only', src_file, src_line from defects where not has_log
+  order by total_fail desc, src_file, src_line, run_id limit 1)""")
+    out["defect_export_output_only"] = broken("select * from defects where not has_log")
+    out["corpus_counts"] = _with(B_RUNS, B_RECORDS, B_MASK, select="""
+select (select count(*) from customer where c_custkey % 17 <> 5) merchants_input,
+  (select count(distinct se10) from b_runs) merchants_logs, (select count(distinct se10) from b_records) merchants_outputs,
+  (select count(*) from b_runs) n_runs, (select count(*) from b_records) n_records, (select count(*) from b_terms) n_terms""")
+    out["reconcile_runs"] = _with(B_ANSWERS, B_RECORDS, B_RUNS, select="""
+, l as (select distinct se10, run_id from b_runs where run_id is not null),
+o as (select distinct r.se10, a.run_id from b_answers a join b_records r using (output_id) where a.run_id is not null)
+select (select count(*) from l) n_log, (select count(*) from o) n_out,
+  (select count(*) from (from o except from l)) output_only, (select count(*) from (from l except from o)) log_only,
+  (select count(*) from b_runs where run_id is null) n_unparsed""")
+    out["terms_by_field"] = masking("select f field, count(*) n from b_terms group by f")
+
+    def answers(select):
+        return _with(B_ANSWERS, select=select)
+
+    out["unreadable_runs"] = answers("""
+select count(*) n_runs, count(*) filter (d = n) n_all_dict, count(*) filter (d > 0 and d < n) n_part_dict
+from (select count(*) n, count(*) filter (parsed_from = 'answer_dict') d from b_answers
+  where run_id is not null group by output_id, run_id)""")
+    out["agreement_tallies"] = answers("""
+select other, count(*) filter (a) n_agree, count(*) filter (not a) n_differ, count(*) filter (a is null) n_not_comparable,
+  count(*) filter (not a) / nullif(count(a), 0) differ_rate
+from (select 'answer_dict' other, agree_with_dict a from b_answers
+  union all select 'citation_evidence', agree_with_ce from b_answers) group by other""")
+    out["answer_sources"] = answers("""
+select *, n_ce_answers / nullif(n_answers, 0) ce_share, n_ce_answers / nullif(n_runs, 0) ce_per_run from (
+select count(*) n_answers, count(ce_answer) n_ce_answers,
+  (select count(*) from (select 1 from b_answers group by output_id, run_id)) n_runs,
+  (select count(*) from (select 1 from b_answers group by output_id, run_id having count(ce_answer) = 8)) n_runs_full,
+  (select count(*) from (select 1 from b_answers group by output_id, run_id having count(ce_answer) = 0)) n_runs_none,
+  count(*) filter (evidence_shape <> 'present' and ce_evidence_shape = 'present') n_evidence_repaired,
+  count(*) filter (parsed_from = 'answer_dict') n_from_dict,
+  count(*) filter (parsed_from = 'answer_dict' and agree_with_ce) n_dict_agree,
+  count(*) filter (parsed_from = 'answer_dict' and not agree_with_ce) n_dict_differ from b_answers)""")
+    out["evidence_links"] = answers("""
+select count(*) n_any_link, count(*) filter (evidence_text like '%([%](%') n_wrapped,
+  count(*) filter (evidence_text not like '%([%](%') n_bare from b_answers where evidence_text like '%](%'""")
+    out["answer_totals"] = answers("select count(*) n_answers, count(*) filter (is_null) n_null from b_answers")
+    out["query_totals"] = masking("""
+select count(*) n_queries, count(*) filter (is_billed_query) n_billed, count(*) filter (not is_billed_query) n_sub_queries
+from b_entity_queries""")
+    out["call_breakdowns"] = _with(B_CALLS, select="""
+select 'calls' section, 'action_type' metric, action_type "key", count(*)::double "value" from b_calls group by 3
+union all select 'calls', 'status', status, count(*)::double from b_calls group by 3""")
+    out["answer_breakdowns"] = answers(" union all ".join(
+        f"select 'answers' section, '{c}' metric, {c} \"key\", count(*)::double \"value\" from b_answers group by 3"
+        for c in ("parsed_from", "evidence_shape", "ce_evidence_shape")))
+    out["citation_breakdowns"] = _with(B_CITATIONS, select="""
+select 'citations' section, 'source' metric, source "key", count(*)::double "value" from b_citations group by 3
+union all select 'citations', 'empty_placeholder', case when coalesce(url, '') = '' then 'true' else 'false' end,
+  count(*)::double from b_citations group by 3""")
+    out["citation_domains"] = _with(B_CITATIONS, select="""
+select lower(nullif(regexp_extract(url, '^https?://([^/:]+)', 1), '')) as domain, count(*) n from b_citations group by 1""")
     return out
