@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from askledger.operators import anomaly as an
 from askledger.operators import defects as df_
+from askledger.operators import entities as en
 from askledger.operators import health as hl
 from askledger.operators import masking as mk
+from askledger.operators import records as rc
 from askledger.operators import runs as rn
 from askledger.operators import scorecard as sc
 from askledger.operators import usage as us
+from askledger.operators import weblogs as wl
 from askledger.plans import binding as b
+from askledger.plans import json_binding as jb
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -337,3 +342,205 @@ def citation_breakdowns(s, d):
 @query
 def citation_domains(s, d):
     return b.citations(s, d).groupBy("domain").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- parsing: web-search logs --------------------------------------------------------------
+
+
+def _logs(s, d):
+    return wl.shred(jb.weblog_lines(s, d))
+
+
+@query
+def weblog_runs(s, d):
+    return wl.runs(_logs(s, d)).drop("src_rank")
+
+
+@query
+def weblog_duplicate_runs(s, d):
+    return wl.duplicate_runs(_logs(s, d)).select(
+        "se10", "run_key", "src_file", "src_line", "n_copies",
+        F.col("first.src_file").alias("first_file"), F.col("first.src_line").alias("first_line"),
+    )
+
+
+@query
+def weblog_calls(s, d):
+    return wl.search_calls(_logs(s, d)).select(
+        "src_file", "src_line", "se10", "run_key", "run_id", "call_index", "call_id", "action_type", "status",
+        "query_raw", F.array_join("queries", "|").alias("queries"), "url", "details", "parse_conf",
+        F.size("notes").alias("n_notes"),
+    )
+
+
+@query
+def weblog_queries(s, d):
+    return wl.query_instances(wl.search_calls(_logs(s, d))).drop("src_rank")
+
+
+@query
+def weblog_anomalies(s, d):
+    return wl.anomalies(_logs(s, d)).select("code", "se10", "src_file", "src_line")
+
+
+@query
+def anomaly_summary(s, d):
+    return an.anomaly_summary(wl.anomalies(_logs(s, d)))
+
+
+@query
+def anomaly_payload(s, d):
+    capped = an.cap_payload(wl.anomalies(_logs(s, d)), rows=20)
+    return capped.groupBy("code", "src_file").agg(
+        F.count(F.lit(1)).alias("n"), F.count("raw_excerpt").alias("n_excerpts")
+    )
+
+
+@query
+def anomaly_samples(s, d):
+    return an.anomaly_samples(wl.anomalies(_logs(s, d)), "QUERY_REQUOTED", 10).select(
+        "code", "se10", "src_file", "src_line", "rn"
+    )
+
+
+@query
+def reparsed_calls(s, d):
+    again, _, _ = wl.reparse_calls(wl.search_calls(_logs(s, d)).drop("notes"))
+    return again.groupBy("action_type", "parse_conf").agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("queries")), F.lit(0)).alias("n_queries")
+    )
+
+
+@query
+def reparsed_anomalies(s, d):
+    _, _, found = wl.reparse_calls(wl.search_calls(_logs(s, d)).drop("notes"))
+    return found.groupBy("stage", "code").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- parsing: entities ---------------------------------------------------------------------
+
+
+def _entities(s, d):
+    return en.shred(jb.input_lines(s, d))
+
+
+@query
+def input_merchants(s, d):
+    return en.merchants(_entities(s, d)).select(
+        "se10", "city", "email", "phone", "website", "state", "industry_tagged", "street", "src_file", "src_line"
+    )
+
+
+@query
+def input_terms(s, d):
+    return en.pii_terms(en.merchants(_entities(s, d)))
+
+
+@query
+def input_term_counts(s, d):
+    return en.without_terms(en.merchants(_entities(s, d)))
+
+
+@query
+def input_anomalies(s, d):
+    return en.anomalies(_entities(s, d)).select("code", "se10", "src_file", "src_line")
+
+
+@query
+def column_fill(s, d):
+    return hl.column_fill(en.merchants(_entities(s, d)))
+
+
+@query
+def schema_keys(s, d):
+    return hl.schema_keys(en.merchants(_entities(s, d)))
+
+
+@query
+def label_candidates(s, d):
+    return hl.label_candidates(en.merchants(_entities(s, d)))
+
+
+@query
+def label_values(s, d):
+    return hl.label_values(en.merchants(_entities(s, d)))
+
+
+@query
+def customer_terms(s, d):
+    fields = {"name": ["c_name"], "city": ["c_mktsegment"], "zip": ["c_nationkey"]}
+    return en.explode_terms(
+        b.table(s, d, "customer").withColumn("se10", F.col("c_custkey").cast("string")), fields
+    )
+
+
+# --- parsing: output records ---------------------------------------------------------------
+
+
+def _records(s, d):
+    return rc.shred_records(jb.output_lines(s, d))
+
+
+def _output_runs(s, d):
+    return rc.shred_runs(_records(s, d))
+
+
+@query
+def output_records(s, d):
+    return rc.output_records(_records(s, d)).select(
+        "output_id", "se10", "n_runs", "n_answer_runs", "question_user_prompt", "dup_flag", "empty_voted_final"
+    )
+
+
+@query
+def output_questions(s, d):
+    return rc.questions(_records(s, d))
+
+
+@query
+def question_drift(s, d):
+    return rc.question_drift(_records(s, d)).select(
+        "output_id", F.array_join("missing", ",").alias("missing"), F.array_join("added", ",").alias("added"), "text_varies"
+    )
+
+
+@query
+def output_answers(s, d):
+    return rc.answers(_output_runs(s, d)).drop("src_rank", "src_file", "src_line")
+
+
+@query
+def output_citations(s, d):
+    return rc.citations(_output_runs(s, d)).drop("src_rank", "src_file", "src_line")
+
+
+@query
+def output_votes(s, d):
+    return rc.votes(_records(s, d)).drop("src_rank", "src_file", "src_line")
+
+
+@query
+def short_runs(s, d):
+    return rc.short_runs(_output_runs(s, d), _records(s, d)).select(
+        "src_file", "src_line", "run_key", "n_seen", "n_canonical", F.array_join("missing", ",").alias("missing")
+    )
+
+
+@query
+def duplicate_records(s, d):
+    return rc.duplicate_records(_records(s, d)).select("se10", "src_file", "src_line", "n_copies", "identical")
+
+
+@query
+def field_conflicts(s, d):
+    output = rc.output_records(_records(s, d))
+    return rc.field_conflicts(output, en.merchants(_entities(s, d))).select(
+        "output_id", "has_input", F.array_join("clashes", "; ").alias("clashes")
+    )
+
+
+@query
+def output_anomalies(s, d):
+    records = _records(s, d)
+    found = rc.anomalies(records, rc.shred_runs(records), en.merchants(_entities(s, d)))
+    return found.groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("src_file", "src_line").alias("n_lines"))
