@@ -13,6 +13,7 @@ from askledger.functions import text as tx
 QUESTION = r"(?sU)Q([0-9]+)\.\s*(.*?)(?=\nQ[0-9]+\.|\z)"
 
 _EVIDENCE = r"(?:\n+Evidence[.:]?[ \t]*(.*?))"
+_LABEL = r"\A\n+Evidence[.:]?[ \t]*"
 # Shape 1 repeats each question before its answer; blocks are parted by a blank line.
 _ECHO = r"Q([0-9]+)\..*?\nA\1\.[ \t]*(.*?)"
 _ECHO_END = r"(?=\n\s*\nQ[0-9]+\.|\z)"
@@ -78,29 +79,45 @@ def starts(parts: Column, whole: Column, offset: Column | None = None) -> Column
 
 def _blocks_of(text: Column, shape: str) -> Column:
     flags, head, end = SHAPES[shape]
-    whole = flags + head + _EVIDENCE + "?" + end
-    one = flags + r"\A" + head.removeprefix("^") + _EVIDENCE + r"?\z"
-    labelled = flags + r"\A" + head.removeprefix("^") + _EVIDENCE + r"\z"
-    parts = F.regexp_extract_all(text, F.lit(whole), F.lit(0))
+    parts = F.regexp_extract_all(text, F.lit(flags + head + _EVIDENCE + "?" + end), F.lit(0))
     placed = F.arrays_zip(parts.alias("block"), starts(parts, text).alias("at"))
-
-    def groups(b: Column) -> Column:
-        block = b["block"]
-        return F.struct(
-            _number(F.regexp_extract(block, one, 1)).alias("qnum"),
-            tx.strip(F.regexp_extract(block, one, 2)).alias("answer"),
-            # An unmatched group also reads as '', so ask whether the label is there at all.
-            F.when(block.rlike(labelled), F.regexp_extract(block, one, 3)).alias("evidence"),
-            (b["at"] + F.length(block)).alias("ends"),
-        )
-
+    # A block up to where its evidence label, or nothing more, follows: long evidence is not read again.
+    lead = flags + r"\A" + head.removeprefix("^") + r"(?=\n+Evidence|\z)"
+
+    opened = F.transform(
+        placed,
+        lambda b: F.struct(
+            b["block"].alias("block"),
+            b["at"].alias("at"),
+            _number(F.regexp_extract(b["block"], lead, 1)).alias("qnum"),
+            tx.strip(F.regexp_extract(b["block"], lead, 2)).alias("answer"),
+            F.length(F.regexp_extract(b["block"], lead, 0)).alias("lead"),
+        ),
+    )
+    cut = F.transform(
+        opened,
+        lambda b: F.struct(
+            b["qnum"].alias("qnum"),
+            b["answer"].alias("answer"),
+            F.substr(b["block"], b["lead"] + 1).alias("rest"),
+            (b["at"] + b["lead"]).alias("rest_at"),
+        ),
+    )
+    # Nothing left over: no label, evidence is NULL. A label alone: evidence is ''.
+    labelled = F.transform(
+        cut,
+        lambda b: F.struct(
+            b.alias("b"),
+            F.when(b["rest"] != "", F.length(F.regexp_extract(b["rest"], _LABEL, 0))).alias("label"),
+        ),
+    )
     return F.transform(
-        F.transform(placed, groups),
-        lambda g: F.struct(
-            g["qnum"].alias("qnum"),
-            g["answer"].alias("answer"),
-            g["evidence"].alias("evidence"),
-            (g["ends"] - F.length(g["evidence"])).alias("evidence_start"),
+        labelled,
+        lambda x: F.struct(
+            x["b"]["qnum"].alias("qnum"),
+            x["b"]["answer"].alias("answer"),
+            F.substr(x["b"]["rest"], x["label"] + 1).alias("evidence"),
+            (x["b"]["rest_at"] + x["label"]).alias("evidence_start"),
             F.lit(shape).alias("shape"),
         ),
     )

@@ -52,7 +52,9 @@ def query_text(text: Column) -> Column:
 
 def is_null_word(text: Column) -> Column:
     """True when an answer is the word NULL; a missing answer is not."""
-    return F.coalesce(fold(strip(text)) == "null", F.lit(False))
+    bare = strip(text)
+    # The length test spares long answers the change of case.
+    return F.coalesce((F.length(bare) == 4) & (F.lower(bare) == "null"), F.lit(False))
 
 
 def evidence_shape(text: Column) -> Column:
@@ -61,7 +63,7 @@ def evidence_shape(text: Column) -> Column:
     return (
         F.when(text.isNull(), "absent")
         .when(bare == "", "empty")
-        .when(F.upper(bare) == "NULL", "null")
+        .when((F.length(bare) == 4) & (F.upper(bare) == "NULL"), "null")
         .otherwise("present")
     )
 

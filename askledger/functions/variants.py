@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,12 @@ def field(value: Column, key: str) -> Column:
     return F.try_variant_get(value, _path(key), "variant")
 
 
+def members(value: Column, keys: Sequence[str]) -> Column:
+    """struct of the named members as VARIANTs, read in one pass; NULL when not an object."""
+    kind = ", ".join(f"`{k}`: variant" for k in keys)
+    return F.try_variant_get(value, "$", f"struct<{kind}>")
+
+
 def item(value: Column, index: int) -> Column:
     """Element of an array as VARIANT; NULL when absent."""
     return F.try_variant_get(value, f"$[{index}]", "variant")

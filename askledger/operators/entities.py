@@ -89,15 +89,25 @@ def explode_terms(df: DataFrame, fields: Mapping[str, Sequence[str]], key: str =
 
 
 def record_key(value: Column) -> Column:
-    """Entity key as text; NULL when missing or empty."""
-    return F.nullif(va.text_or_dump(va.field(value, "se10")), F.lit(""))
+    """Entity key as text, from the record's se10 member; NULL when missing or empty."""
+    return F.nullif(va.text_or_dump(value), F.lit(""))
 
 
 def shred(bronze: DataFrame) -> DataFrame:
     """One row per line: the entity's columns, its terms, and the line's problems."""
     v = F.col("v")
-    parsed = parse_lines(bronze).withColumns(
-        {"is_object": va.as_object(v).isNotNull(), "se10": record_key(v)}
+    keys = sorted({"se10", *COLUMN_KEYS.values(), *(k for ks in TERM_KEYS.values() for k in ks)})
+    parsed = (
+        parse_lines(bronze)
+        .withColumn("m", va.members(v, keys))
+        .withColumns(
+            {
+                "is_object": F.col("m").isNotNull(),
+                "se10": record_key(F.col("m.se10")),
+                # each key once as text, however many columns and terms it feeds
+                "texts": F.struct(*[va.text_or_dump(F.col(f"m.{k}")).alias(k) for k in keys]),
+            }
+        )
     )
     head = F.substring("raw", 1, an.BAD_JSON_EXCERPT)
     found = an.problems(
@@ -116,9 +126,9 @@ def shred(bronze: DataFrame) -> DataFrame:
     return parsed.select(
         *ORDER,
         "se10",
-        *[va.plain_text(va.field(v, key)).alias(c) for c, key in COLUMN_KEYS.items()],
+        *[va.plain_text(F.col(f"m.{key}")).alias(c) for c, key in COLUMN_KEYS.items()],
         F.col("raw").alias("raw_json"),
-        F.when(F.col("se10").isNotNull(), term_array(lambda key: va.text_or_dump(va.field(v, key)))).alias("terms"),
+        F.when(F.col("se10").isNotNull(), term_array(lambda key: F.col(f"texts.{key}"))).alias("terms"),
         found.alias("problems"),
     )
 

@@ -22,6 +22,7 @@ STAGE = "outputs"
 # Record field -> merchants column it repeats.
 REPEATED_FIELDS = {"website": "website", "industry": "industry_tagged", "state": "state"}
 VOTE_KEYS = ("voted_majority", "voted_final")
+_ENTRY_KEYS = ("a_key", "answer", "evidence", "question", "citation")
 
 _RUN_KEY = r"(?i)\Arun[_-]?([0-9]+)\z"
 _ANSWER_KEY = r"(?i)\AA([0-9]+)\z"
@@ -70,14 +71,15 @@ def vote(value: Column) -> Column:
 def shred_records(bronze: DataFrame) -> DataFrame:
     """One row per line: record columns, questions, votes, its runs as raw parts, its problems."""
     v = F.col("v")
-    typed = parse_lines(bronze).select(
-        *ORDER, "raw", "is_damaged", "v",
-        va.as_object(v).isNotNull().alias("is_object"),
-        record_key(v).alias("se10"),
-        va.field(v, "questions").alias("q_any"),
-        va.field(v, "answer").alias("a_any"),
-        va.field(v, "answer_dict").alias("d_any"),
-        va.field(v, "citation_evidence").alias("c_any"),
+    keys_read = ("se10", "n_runs", "questions", "answer", "answer_dict", "citation_evidence", *REPEATED_FIELDS)
+    typed = parse_lines(bronze).withColumn("m", va.members(v, keys_read)).select(
+        *ORDER, "raw", "is_damaged", "v", "m",
+        F.col("m").isNotNull().alias("is_object"),
+        record_key(F.col("m.se10")).alias("se10"),
+        F.col("m.questions").alias("q_any"),
+        F.col("m.answer").alias("a_any"),
+        F.col("m.answer_dict").alias("d_any"),
+        F.col("m.citation_evidence").alias("c_any"),
     )
     system, user = (va.only_string(va.item(va.item(F.col("q_any"), 0), i)) for i in (0, 1))
     opened = typed.withColumns(
@@ -118,7 +120,7 @@ def shred_records(bronze: DataFrame) -> DataFrame:
             ).alias("raw_vote"),
         )
 
-    n_runs = va.only_integer(va.field(v, "n_runs"))
+    n_runs = va.only_integer(F.col("m.n_runs"))
     n_answers = F.size(keys("a_map"))
     votes = F.transform(F.array_sort(F.array_union(keys("majority"), keys("final"))), one_vote)
     rows = opened.select(
@@ -190,7 +192,7 @@ def shred_records(bronze: DataFrame) -> DataFrame:
         F.substring(F.sha2("raw", 256), 1, 16).alias("raw_json_hash"),
         "questions",
         *[
-            F.nullif(va.text_or_dump(va.field(v, k)), F.lit("")).alias(f"own_{k}")
+            F.nullif(va.text_or_dump(F.col(f"m.{k}")), F.lit("")).alias(f"own_{k}")
             for k in REPEATED_FIELDS
         ],
         F.transform(
@@ -225,35 +227,51 @@ def shred_runs(records: DataFrame) -> DataFrame:
         lambda t: t["qnum"].isNotNull(),
     )
 
-    def entry(e: Column, i: Column) -> Column:
-        citation = va.field(e, "citation")
-        plain = va.is_absent(citation) | (va.scalar_kind(citation) == "STRING")
-        listed = F.filter(F.transform(va.as_array(citation), va.only_string), lambda u: u.isNotNull())
-        own = F.nullif(va.only_string(citation), F.lit(""))
-        odd_urls = F.when(F.size(listed) > 0, listed).otherwise(F.array(va.dump(citation)))
-        return F.struct(
-            question_number(va.text_or_dump(va.field(e, "a_key"))).alias("qnum"),
+    entry_list = va.as_array(F.col("entries"))
+    # Steps, because nothing is shared inside a lambda: a value used twice is a field first.
+    opened = F.filter(
+        F.transform(entry_list, lambda e: va.members(e, _ENTRY_KEYS)), lambda m: m.isNotNull()
+    )
+    read = F.transform(
+        opened,
+        lambda m, i: F.struct(
             i.alias("pos"),
-            va.text_or_dump(va.field(e, "answer")).alias("answer"),
-            va.text_or_dump(va.field(e, "evidence")).alias("evidence"),
-            va.text_or_dump(va.field(e, "question")).alias("title"),
-            va.text_or_dump(va.field(e, "a_key")).alias("a_key"),
-            F.when(plain, F.array(own)).otherwise(odd_urls).alias("urls"),
-            (~plain).alias("is_odd"),
-            va.dump(citation).alias("raw_citation"),
-            va.describe(citation).alias("kind"),
+            va.text_or_dump(m["a_key"]).alias("a_key"),
+            va.text_or_dump(m["answer"]).alias("answer"),
+            va.text_or_dump(m["evidence"]).alias("evidence"),
+            va.text_or_dump(m["question"]).alias("title"),
+            m["citation"].alias("citation"),
+            va.is_absent(m["citation"]).alias("no_citation"),
+            va.only_string(m["citation"]).alias("one"),
+            F.filter(
+                F.transform(va.as_array(m["citation"]), va.only_string), lambda u: u.isNotNull()
+            ).alias("many"),
+        ),
+    )
+
+    def entry(e: Column) -> Column:
+        odd = ~e["no_citation"] & e["one"].isNull()
+        listed = F.when(F.size(e["many"]) > 0, e["many"]).otherwise(F.array(va.dump(e["citation"])))
+        return F.struct(
+            question_number(e["a_key"]).alias("qnum"),
+            e["pos"].alias("pos"),
+            e["answer"].alias("answer"),
+            e["evidence"].alias("evidence"),
+            e["title"].alias("title"),
+            e["a_key"].alias("a_key"),
+            F.when(odd, listed).otherwise(F.array(F.nullif(e["one"], F.lit("")))).alias("urls"),
+            odd.alias("is_odd"),
+            F.when(odd, va.dump(e["citation"])).alias("raw_citation"),
+            F.when(odd, va.describe(e["citation"])).alias("kind"),
         )
 
-    entry_list = va.as_array(F.col("entries"))
     typed = parts.select(
         *ids, "run_key", "has_entries", "entries",
         run_index(F.col("run_key")).alias("run_id"),
         F.coalesce(va.only_string(F.col("said")), F.lit("")).alias("prose"),
         F.coalesce(prose.last_of_each(their_pairs), F.array()).alias("theirs"),
         entry_list.isNotNull().alias("is_list"),
-        F.coalesce(
-            F.transform(F.filter(entry_list, lambda e: va.as_object(e).isNotNull()), entry), F.array()
-        ).alias("ce"),
+        F.coalesce(F.transform(read, entry), F.array()).alias("ce"),
     )
     # Two projections, so that the second pattern runs only where the first found nothing.
     blocks = typed.withColumn("echo", prose.echo_blocks(F.col("prose"))).withColumn(

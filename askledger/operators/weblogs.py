@@ -50,76 +50,124 @@ def parse_lines(bronze: DataFrame) -> DataFrame:
     return bronze.filter(tx.strip(F.col("raw")) != "").withColumn("v", F.try_parse_json("raw"))
 
 
-def parse_call(call: Column) -> Column:
-    """One call as a struct: its fields, how well it parsed, and what was wrong with it."""
-    is_object = va.as_object(call).isNotNull()
-    raw_action = va.text_or_dump(va.field(call, "action_type"))
-    action = F.when(
-        is_object, tx.strip(F.when(raw_action.isNull() | (raw_action == ""), "?").otherwise(raw_action))
-    ).otherwise("?")
-    status_any = va.field(call, "status")
-    status = va.only_string(status_any)
-    query = va.only_string(va.field(call, "query"))
-    queries_any = va.field(call, "queries")
-    queries = F.transform(
-        va.as_array(queries_any),
-        lambda q: F.coalesce(va.only_string(q), va.dump(q), F.lit("null")),
-    )
-    url = va.only_string(va.field(call, "url"))
-
-    compared = query.isNotNull() & queries.isNotNull()
-    exact = F.array_contains(queries, query)
-    requoted = F.exists(queries, lambda q: tx.query_text(q) == tx.query_text(query))
-    unknown = ~action.isin(*KNOWN_ACTIONS)
-    odd_queries = ~va.is_absent(queries_any) & queries.isNull()
-    no_query = (action == "search") & query.isNull()
-    no_url = (action == "open_page") & url.isNull()
-    notes = an.problems(
-        (unknown, an.problem("UNKNOWN_ACTION_TYPE", F.format_string("action_type %s is not known", action))),
-        (
-            ~va.is_absent(status_any) & ~status.eqNullSafe(F.lit(COMPLETED)),
-            an.problem(
-                "CALL_STATUS_NOT_COMPLETED",
-                F.format_string("status is %s, not completed", va.text_or_dump(status_any)),
-            ),
-        ),
-        (
-            odd_queries,
-            an.problem("QUERIES_NOT_A_LIST", F.format_string("queries is %s", va.describe(queries_any))),
-        ),
-        (
-            compared & ~exact & requoted,
-            an.problem("QUERY_REQUOTED", F.lit("query is in queries only with other case or quoting")),
+_CALL_KEYS = ("id", "status", "action_type", "query", "queries", "url", "details")
+
+
+def parse_calls(calls: Column) -> Column:
+    """array<variant> of calls -> array of structs: fields, how well each parsed, what was wrong.
+
+    Done in steps, each a transform over the one before: inside a lambda nothing is shared, so a
+    value used twice has to be a field first.
+    """
+    opened = F.transform(
+        calls,
+        lambda c: F.struct(
+            va.members(c, _CALL_KEYS).alias("m"),
+            F.coalesce(va.dump(c), F.lit("null")).alias("raw_json"),
+            c.alias("call"),
         ),
-        (
-            compared & ~exact & ~requoted,
-            an.problem(
-                "QUERY_NOT_IN_QUERIES",
-                F.format_string("query is not among its %d queries", F.size(queries)),
-            ),
+    )
+    typed = F.transform(
+        opened,
+        lambda c: F.struct(
+            c["m"].isNotNull().alias("is_object"),
+            va.text_or_dump(c["m"]["action_type"]).alias("action"),
+            va.text_or_dump(c["m"]["status"]).alias("any_status"),
+            va.only_string(c["m"]["status"]).alias("status"),
+            va.only_string(c["m"]["query"]).alias("query"),
+            va.is_absent(c["m"]["queries"]).alias("no_queries"),
+            va.as_array(c["m"]["queries"]).alias("any_queries"),
+            va.only_string(c["m"]["id"]).alias("call_id"),
+            va.only_string(c["m"]["url"]).alias("url"),
+            va.only_string(c["m"]["details"]).alias("details"),
+            c["raw_json"].alias("raw_json"),
+            c["call"].alias("call"),
         ),
-        (no_query, an.problem("CALL_FIELD_MISSING", F.lit("search call has no query"))),
-        (no_url, an.problem("CALL_FIELD_MISSING", F.lit("open_page call has no url"))),
     )
-    broken = F.array(
-        an.problem("CALL_NOT_AN_OBJECT", F.format_string("expected an object, got %s", va.describe(call)))
+    read = F.transform(
+        typed,
+        lambda c: F.struct(
+            *[
+                c[f].alias(f)
+                for f in (
+                    "is_object", "any_status", "status", "query", "no_queries", "call_id", "url", "details",
+                    "raw_json", "call",
+                )
+            ],
+            F.when(c["is_object"] & (c["action"] != ""), tx.strip(c["action"])).otherwise("?").alias("action"),
+            F.transform(
+                c["any_queries"],
+                lambda q: F.coalesce(va.only_string(q), va.dump(q), F.lit("null")),
+            ).alias("queries"),
+        ),
     )
-    return F.struct(
-        F.when(is_object, va.only_string(va.field(call, "id"))).alias("call_id"),
-        action.alias("action_type"),
-        status.alias("status"),
-        query.alias("query_raw"),
-        queries.alias("queries"),
-        url.alias("url"),
-        va.only_string(va.field(call, "details")).alias("details"),
-        F.when(~is_object, "failed")
-        .when(unknown | odd_queries | no_query | no_url, "heuristic")
-        .otherwise("clean")
-        .alias("parse_conf"),
-        F.coalesce(va.dump(call), F.lit("null")).alias("raw_json"),
-        F.when(is_object, notes).otherwise(broken).alias("notes"),
+    judged = F.transform(
+        read,
+        lambda c: F.struct(
+            c.alias("c"),
+            (~c["action"].isin(*KNOWN_ACTIONS)).alias("unknown"),
+            (~c["no_queries"] & c["queries"].isNull()).alias("odd_queries"),
+            ((c["action"] == "search") & c["query"].isNull()).alias("no_query"),
+            ((c["action"] == "open_page") & c["url"].isNull()).alias("no_url"),
+            # NULL when there is nothing to compare
+            F.when(F.array_contains(c["queries"], c["query"]), "exact")
+            .when(c["query"].isNull() | c["queries"].isNull(), F.lit(None))
+            .when(
+                F.array_contains(F.transform(c["queries"], tx.query_text), tx.query_text(c["query"])),
+                "requoted",
+            )
+            .otherwise("absent")
+            .alias("match"),
+        ),
     )
 
+    def finished(j: Column) -> Column:
+        c = j["c"]
+        notes = an.problems(
+            (
+                ~c["is_object"],
+                an.problem("CALL_NOT_AN_OBJECT", F.format_string("expected an object, got %s", va.describe(c["call"]))),
+            ),
+            (
+                c["is_object"] & j["unknown"],
+                an.problem("UNKNOWN_ACTION_TYPE", F.format_string("action_type %s is not known", c["action"])),
+            ),
+            (
+                c["any_status"].isNotNull() & ~c["status"].eqNullSafe(F.lit(COMPLETED)),
+                an.problem("CALL_STATUS_NOT_COMPLETED", F.format_string("status is %s, not completed", c["any_status"])),
+            ),
+            (j["odd_queries"], an.problem("QUERIES_NOT_A_LIST", F.lit("queries is not a list"))),
+            (
+                j["match"] == "requoted",
+                an.problem("QUERY_REQUOTED", F.lit("query is in queries only with other case or quoting")),
+            ),
+            (
+                j["match"] == "absent",
+                an.problem(
+                    "QUERY_NOT_IN_QUERIES", F.format_string("query is not among its %d queries", F.size(c["queries"]))
+                ),
+            ),
+            (j["no_query"], an.problem("CALL_FIELD_MISSING", F.lit("search call has no query"))),
+            (j["no_url"], an.problem("CALL_FIELD_MISSING", F.lit("open_page call has no url"))),
+        )
+        return F.struct(
+            c["call_id"].alias("call_id"),
+            c["action"].alias("action_type"),
+            c["status"].alias("status"),
+            c["query"].alias("query_raw"),
+            c["queries"].alias("queries"),
+            c["url"].alias("url"),
+            c["details"].alias("details"),
+            F.when(~c["is_object"], "failed")
+            .when(j["unknown"] | j["odd_queries"] | j["no_query"] | j["no_url"], "heuristic")
+            .otherwise("clean")
+            .alias("parse_conf"),
+            c["raw_json"].alias("raw_json"),
+            notes.alias("notes"),
+        )
+
+    return F.transform(judged, finished)
+
 
 def shred(bronze: DataFrame) -> DataFrame:
     """One row per line, entity and run; lines and entities that have none keep one row."""
@@ -163,21 +211,21 @@ def shred(bronze: DataFrame) -> DataFrame:
         *ORDER, "line_problems", "ent_pos", "se10", "entity_problems", "is_entity", "run_pos",
         F.col("r.key").alias("run_key"), F.col("r.value").alias("run"),
     )
-    usage = va.field(F.col("run"), "usage_metadata")
-    has_usage = va.as_object(usage).isNotNull()
-    calls_any = va.field(F.col("run"), "web_search_calls")
-    typed = by_run.select(
-        "*",
-        va.as_object(F.col("run")).isNotNull().alias("is_run"),
-        has_usage.alias("has_usage"),
+    opened = by_run.withColumn(
+        "m", va.members(F.col("run"), ("usage_metadata", "web_search_calls"))
+    ).withColumn("usage", va.members(F.col("m.usage_metadata"), tuple(USAGE_COLUMNS)))
+    typed = opened.select(
+        *by_run.columns,
+        F.col("m").isNotNull().alias("is_run"),
+        F.col("usage").isNotNull().alias("has_usage"),
         run_index(F.col("run_key")).alias("run_id"),
         *[
-            (va.whole_number(va.field(usage, c)) if kind == "bigint" else va.plain_text(va.field(usage, c))).alias(c)
+            (va.whole_number if kind == "bigint" else va.plain_text)(F.col(f"usage.{c}")).alias(c)
             for c, kind in USAGE_COLUMNS.items()
         ],
-        *[va.only_integer(va.field(usage, f"{c}_tokens")).alias(f"_{c}") for c in ("input", "output", "total")],
-        calls_any.alias("calls_any"),
-        va.as_array(calls_any).alias("call_list"),
+        *[va.only_integer(F.col(f"usage.{c}_tokens")).alias(f"_{c}") for c in ("input", "output", "total")],
+        F.col("m.web_search_calls").alias("calls_any"),
+        va.as_array(F.col("m.web_search_calls")).alias("call_list"),
     )
     run_problems = an.problems(
         (
@@ -214,7 +262,7 @@ def shred(bronze: DataFrame) -> DataFrame:
         *ORDER, "line_problems", "ent_pos", "se10", "entity_problems", "is_entity", "run_pos", "run_key",
         "is_run", "run_id", *USAGE_COLUMNS,
         run_problems.alias("run_problems"),
-        F.transform("call_list", parse_call).alias("calls"),
+        parse_calls(F.col("call_list")).alias("calls"),
     )
 
 
@@ -269,38 +317,64 @@ def query_instances(calls: DataFrame) -> DataFrame:
     ).select("se10", "run_key", "run_id", "call_index", "q_ord", "q.*", *ORDER)
 
 
-def _call_anomalies(calls: DataFrame, stage: str, prefix: Column) -> DataFrame:
+def call_anomalies(calls: DataFrame, stage: str) -> DataFrame:
     notes = calls.select(
         "se10", "src_file", "src_line", "run_id", "call_index", "raw_json",
         F.posexplode("notes").alias("pos", "p"),
     )
     return an.anomaly(
-        notes, stage, F.col("p.code"), F.concat(prefix, F.col("p.detail")),
-        F.substring("raw_json", 1, an.BAD_JSON_EXCERPT),
+        notes, stage, F.col("p.code"), F.col("p.detail"), F.substring("raw_json", 1, an.BAD_JSON_EXCERPT),
         seq=F.col("call_index") * 10 + F.col("pos"),
     )
 
 
+def _all_problems(shredded: DataFrame) -> DataFrame:
+    """Every problem found inside a row, with the entity it belongs to, by one explode."""
+
+    def owned(column: str, se10: Column) -> Column:
+        return F.transform(column, lambda p: F.struct(se10.alias("se10"), p.alias("p")))
+
+    def of_call(call: Column, index: Column) -> Column:
+        where = F.format_string("run_id=%s call %d: ", F.col("run_id").cast("string"), index)
+        return F.transform(
+            call["notes"],
+            lambda p: F.struct(
+                F.col("se10").alias("se10"),
+                F.named_struct(
+                    F.lit("code"), p["code"],
+                    F.lit("excerpt"), F.substring(call["raw_json"], 1, an.BAD_JSON_EXCERPT),
+                    F.lit("detail"), F.concat(where, p["detail"]),
+                ).cast(an.PROBLEM).alias("p"),
+            ),
+        )
+
+    none = F.array().cast(f"array<struct<se10:string,p:{an.PROBLEM}>>")
+    parts = [
+        owned("line_problems", F.lit(None).cast("string")),
+        owned("entity_problems", F.col("se10")),
+        owned("run_problems", F.col("se10")),
+        F.flatten(F.transform("calls", of_call)),
+    ]
+    flat = shredded.select(
+        "src_file", "src_line",
+        (F.coalesce("ent_pos", F.lit(0)) * 1_000_000 + F.coalesce("run_pos", F.lit(0)) * 10_000).alias("base"),
+        F.posexplode(F.concat(*[F.coalesce(part, none) for part in parts])).alias("pos", "x"),
+    ).select("src_file", "src_line", "x.se10", "x.p", (F.col("base") + F.col("pos")).alias("seq"))
+    return an.anomaly(
+        flat, STAGE, F.col("p.code"), F.col("p.detail"), F.col("p.excerpt"), seq=F.col("seq")
+    )
+
+
 def anomalies(shredded: DataFrame, min_hot: int = HOT_ROWS) -> DataFrame:
     """Everything that was wrong in the logs."""
-    where = F.format_string("run_id=%s call %d: ", F.col("run_id").cast("string"), F.col("call_index"))
-    lines = shredded.select("src_file", "src_line", "line_problems")
-    return an.union_all(
-        [
-            an.from_problems(lines, STAGE, "line_problems"),
-            # the entity's own problem rides on its single row
-            an.from_problems(shredded, STAGE, "entity_problems"),
-            an.from_problems(shredded, STAGE, "run_problems"),
-            _call_anomalies(search_calls(shredded), STAGE, where),
-            an.anomaly(
-                duplicate_runs(shredded, min_hot), STAGE, "DUP_RUN",
-                F.format_string(
-                    "run %s was already read at %s:%d; its calls join that one",
-                    "run_key", "first.src_file", "first.src_line",
-                ),
-            ),
-        ]
+    copies = an.anomaly(
+        duplicate_runs(shredded, min_hot), STAGE, "DUP_RUN",
+        F.format_string(
+            "run %s was already read at %s:%d; its calls join that one",
+            "run_key", "first.src_file", "first.src_line",
+        ),
     )
+    return _all_problems(shredded).unionByName(copies)
 
 
 def reparse_calls(calls: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -309,7 +383,7 @@ def reparse_calls(calls: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     The queries come without template or archetype, so masking has to run again.
     """
     kept = [c for c in calls.columns if c not in CALL_COLUMNS and c not in ("notes", "raw_json")]
-    again = calls.select(*kept, "raw_json", parse_call(F.try_parse_json("raw_json")).alias("c")).select(
+    again = calls.select(*kept, "raw_json", F.get(parse_calls(F.array(F.try_parse_json("raw_json"))), 0).alias("c")).select(
         *kept, *[f"c.{c}" for c in CALL_COLUMNS], "raw_json", "c.notes"
     )
-    return again, query_instances(again), _call_anomalies(again, "reparse", F.lit(""))
+    return again, query_instances(again), call_anomalies(again, "reparse")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import glob
 import io
+import json
 import os
 import zipfile
 from collections.abc import Iterator
@@ -31,11 +32,17 @@ def holds(member: str, subdir: str) -> bool:
     return not dirs or want in windows
 
 
+def source_name(archive: str, member: str) -> str:
+    """How a member is named in provenance columns."""
+    return f"{os.path.basename(archive)}!{member}"
+
+
 class ZippedLinesReader(DataSourceReader):
     def __init__(self, options: dict):
         self.root = options["path"]
         self.subdir = options["subdir"]
         self.suffix = options.get("suffix", ".jsonl")
+        self.skip = set(json.loads(options.get("skip", "[]")))
 
     def partitions(self) -> list[Member]:
         # Only the archives' tables of contents are read here.
@@ -45,7 +52,9 @@ class ZippedLinesReader(DataSourceReader):
                 found += [
                     Member(archive, name)
                     for name in sorted(z.namelist())
-                    if name.endswith(self.suffix) and holds(name, self.subdir)
+                    if name.endswith(self.suffix)
+                    and holds(name, self.subdir)
+                    and source_name(archive, name) not in self.skip
                 ]
         return found or [Member("", "")]
 
@@ -57,7 +66,7 @@ class ZippedLinesReader(DataSourceReader):
         schema = pa.schema(
             [("src_file", pa.string()), ("src_line", pa.int64()), ("value", pa.string())]
         )
-        name = f"{os.path.basename(partition.archive)}!{partition.member}"
+        name = source_name(partition.archive, partition.member)
 
         def batch(first: int, lines: list[str]) -> pa.RecordBatch:
             numbers = range(first, first + len(lines))
@@ -93,7 +102,11 @@ class ZippedLines(DataSource):
         return ZippedLinesReader(self.options)
 
 
-def zipped_lines(spark: SparkSession, root: str, subdir: str) -> DataFrame:
-    """Lines of the archives in a directory that every executor can read as a local path."""
+def zipped_lines(spark: SparkSession, root: str, subdir: str, skip: str = "[]") -> DataFrame:
+    """Lines of the archives in a directory that every executor can read as a local path.
+
+    `skip` is a JSON list of provenance names to leave out.
+    """
     spark.dataSource.register(ZippedLines)
-    return spark.read.format("zipped_lines").option("subdir", subdir).load(root.removeprefix("file://"))
+    reader = spark.read.format("zipped_lines").option("subdir", subdir).option("skip", skip)
+    return reader.load(root.removeprefix("file://"))
