@@ -69,7 +69,11 @@ def vote(value: Column) -> Column:
 
 
 def shred_records(bronze: DataFrame) -> DataFrame:
-    """One row per line: record columns, questions, votes, its runs as raw parts, its problems."""
+    """One row per line: record columns, questions, votes, its runs as raw parts, its problems.
+
+    Write the result (without run_parts) before reading facts from it: a filter on a column computed here
+    would otherwise be pushed below the parse, and parse again.
+    """
     v = F.col("v")
     keys_read = ("se10", "n_runs", "questions", "answer", "answer_dict", "citation_evidence", *REPEATED_FIELDS)
     typed = parse_lines(bronze).withColumn("m", va.members(v, keys_read)).select(
@@ -207,14 +211,20 @@ def shred_records(bronze: DataFrame) -> DataFrame:
         ).alias("votes"),
         (F.size(keys("final")) == 0).alias("empty_voted_final"),
         F.when(is_record, F.concat(found, odd_votes)).otherwise(found).alias("problems"),
-        "run_parts",
+        F.when(is_record, F.col("run_parts")).alias("run_parts"),
     )
 
 
 def shred_runs(records: DataFrame) -> DataFrame:
     """One row per record and run: answers, citations and problems as arrays."""
     ids = [*ORDER, "output_id", "se10"]
-    parts = records.filter("is_record").select(*ids, F.explode("run_parts").alias("p")).select(*ids, "p.*")
+    # explode_outer: a plain explode would have Spark test the array for emptiness first, below
+    # the parse, which would parse every line once more for the test.
+    parts = (
+        records.select(*ids, F.explode_outer("run_parts").alias("p"))
+        .filter("p.run_key is not null")
+        .select(*ids, "p.*")
+    )
     their_pairs = F.filter(
         F.transform(
             F.map_entries(va.as_object(F.col("theirs"))),

@@ -170,7 +170,10 @@ def parse_calls(calls: Column) -> Column:
 
 
 def shred(bronze: DataFrame) -> DataFrame:
-    """One row per line, entity and run; lines and entities that have none keep one row."""
+    """One row per line, entity and run; lines and entities that have none keep one row.
+
+    Write the result before reading facts from it, as each fact would parse the lines again.
+    """
     lines = parse_lines(bronze).withColumn("members", va.as_object(F.col("v")))
     not_object = F.col("v").isNotNull() & F.col("members").isNull()
     by_entity = lines.select(

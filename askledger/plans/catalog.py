@@ -173,13 +173,18 @@ def third_run_totals(s, d):
 # --- masking -------------------------------------------------------------------------------
 
 
-def _masked(s, d):
+def _mask(s, d):
     return mk.mask_queries(b.entity_queries(s, d), b.terms(s, d), b.groups(s, d), b.QUERY_KEY)
 
 
+def _masked(s, d):
+    # Masked once and written: a filter on the template would otherwise mask every query again.
+    return staged(_mask(s, d))
+
+
 @query
 def mask_queries(s, d):
-    return _masked(s, d).select(*b.QUERY_KEY, "template", "n_placeholders", "archetype", "has_terms")
+    return _mask(s, d).select(*b.QUERY_KEY, "template", "n_placeholders", "archetype", "has_terms")
 
 
 @query
@@ -348,12 +353,11 @@ def citation_domains(s, d):
 # --- parsing: web-search logs --------------------------------------------------------------
 
 
-def _logs(s, d):
-    return wl.shred(jb.weblog_lines(s, d))
+# Lines are parsed once and written; every fact is then a read of some columns.
 
 
-def _staged_logs(s, d):
-    return staged(_logs(s, d))
+def _logs(s, d):
+    return staged(wl.shred(jb.weblog_lines(s, d)))
 
 
 @query
@@ -363,7 +367,7 @@ def weblog_runs(s, d):
 
 @query
 def weblog_duplicate_runs(s, d):
-    return wl.duplicate_runs(_staged_logs(s, d)).select(
+    return wl.duplicate_runs(_logs(s, d)).select(
         "se10", "run_key", "src_file", "src_line", "n_copies",
         F.col("first.src_file").alias("first_file"), F.col("first.src_line").alias("first_line"),
     )
@@ -385,17 +389,17 @@ def weblog_queries(s, d):
 
 @query
 def weblog_anomalies(s, d):
-    return wl.anomalies(_staged_logs(s, d)).select("code", "se10", "src_file", "src_line")
+    return wl.anomalies(_logs(s, d)).select("code", "se10", "src_file", "src_line")
 
 
 @query
 def anomaly_summary(s, d):
-    return an.anomaly_summary(wl.anomalies(_staged_logs(s, d)))
+    return an.anomaly_summary(wl.anomalies(_logs(s, d)))
 
 
 @query
 def anomaly_payload(s, d):
-    capped = an.cap_payload(wl.anomalies(_staged_logs(s, d)), rows=20)
+    capped = an.cap_payload(wl.anomalies(_logs(s, d)), rows=20)
     return capped.groupBy("code", "src_file").agg(
         F.count(F.lit(1)).alias("n"), F.count("raw_excerpt").alias("n_excerpts")
     )
@@ -403,7 +407,7 @@ def anomaly_payload(s, d):
 
 @query
 def anomaly_samples(s, d):
-    return an.anomaly_samples(wl.anomalies(_staged_logs(s, d)), "QUERY_REQUOTED", 10).select(
+    return an.anomaly_samples(wl.anomalies(_logs(s, d)), "QUERY_REQUOTED", 10).select(
         "code", "se10", "src_file", "src_line", "rn"
     )
 
@@ -426,7 +430,7 @@ def reparsed_anomalies(s, d):
 
 
 def _entities(s, d):
-    return en.shred(jb.input_lines(s, d))
+    return staged(en.shred(jb.input_lines(s, d)))
 
 
 @query
@@ -448,7 +452,7 @@ def input_term_counts(s, d):
 
 @query
 def input_anomalies(s, d):
-    return en.anomalies(_staged_entities(s, d)).select("code", "se10", "src_file", "src_line")
+    return en.anomalies(_entities(s, d)).select("code", "se10", "src_file", "src_line")
 
 
 @query
@@ -483,24 +487,16 @@ def customer_terms(s, d):
 
 
 def _records(s, d):
-    return rc.shred_records(jb.output_lines(s, d))
+    return staged(rc.shred_records(jb.output_lines(s, d)).drop("run_parts"))
 
 
 def _output_runs(s, d):
-    return rc.shred_runs(_records(s, d))
-
-
-def _staged_records(s, d):
-    return staged(_records(s, d).drop("run_parts"))
-
-
-def _staged_entities(s, d):
-    return staged(_entities(s, d))
+    return staged(rc.shred_runs(rc.shred_records(jb.output_lines(s, d))))
 
 
 @query
 def output_records(s, d):
-    return rc.output_records(_staged_records(s, d)).select(
+    return rc.output_records(_records(s, d)).select(
         "output_id", "se10", "n_runs", "n_answer_runs", "question_user_prompt", "dup_flag", "empty_voted_final"
     )
 
@@ -512,7 +508,7 @@ def output_questions(s, d):
 
 @query
 def question_drift(s, d):
-    return rc.question_drift(_staged_records(s, d)).select(
+    return rc.question_drift(_records(s, d)).select(
         "output_id", F.array_join("missing", ",").alias("missing"), F.array_join("added", ",").alias("added"), "text_varies"
     )
 
@@ -534,26 +530,26 @@ def output_votes(s, d):
 
 @query
 def short_runs(s, d):
-    return rc.short_runs(_output_runs(s, d), _staged_records(s, d)).select(
+    return rc.short_runs(_output_runs(s, d), _records(s, d)).select(
         "src_file", "src_line", "run_key", "n_seen", "n_canonical", F.array_join("missing", ",").alias("missing")
     )
 
 
 @query
 def duplicate_records(s, d):
-    return rc.duplicate_records(_staged_records(s, d)).select("se10", "src_file", "src_line", "n_copies", "identical")
+    return rc.duplicate_records(_records(s, d)).select("se10", "src_file", "src_line", "n_copies", "identical")
 
 
 @query
 def field_conflicts(s, d):
-    output = rc.output_records(_staged_records(s, d))
-    return rc.field_conflicts(output, en.merchants(_staged_entities(s, d))).select(
+    output = rc.output_records(_records(s, d))
+    return rc.field_conflicts(output, en.merchants(_entities(s, d))).select(
         "output_id", "has_input", F.array_join("clashes", "; ").alias("clashes")
     )
 
 
 @query
 def output_anomalies(s, d):
-    runs = staged(_output_runs(s, d))
-    found = rc.anomalies(_staged_records(s, d), runs, en.merchants(_staged_entities(s, d)))
+    runs = _output_runs(s, d)
+    found = rc.anomalies(_records(s, d), runs, en.merchants(_entities(s, d)))
     return found.groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("src_file", "src_line").alias("n_lines"))

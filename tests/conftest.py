@@ -10,7 +10,11 @@ from askledger.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session(4, shuffle_partitions=4, memory="4g")
+    session = local_session(4, shuffle_partitions=4, memory="4g")
+    # Small data: compiling generated code would take most of the time.
+    session.conf.set("spark.sql.codegen.wholeStage", "false")
+    session.conf.set("spark.sql.codegen.factoryMode", "NO_CODEGEN")
+    return session
 
 
 @pytest.fixture
