@@ -19,6 +19,7 @@ from askledger.operators import usage as us
 from askledger.operators import weblogs as wl
 from askledger.plans import binding as b
 from askledger.plans import json_binding as jb
+from askledger.plans import pipeline as pl
 from askledger.sources.staging import staged
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -197,6 +198,12 @@ def unmaskable(s, d):
     return mk.unmaskable(_masked(s, d), b.entities(s, d))
 
 
+@query
+def masking_anomalies(s, d):
+    found = mk.masking_anomalies(_masked(s, d), b.groups(s, d), b.entities(s, d))
+    return found.select("stage", "code", "se10")
+
+
 @query
 def mask_counters(s, d):
     return mk.mask_counters(_masked(s, d), b.groups(s, d))
@@ -553,3 +560,21 @@ def output_anomalies(s, d):
     runs = _output_runs(s, d)
     found = rc.anomalies(_records(s, d), runs, en.merchants(_entities(s, d)))
     return found.groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("src_file", "src_line").alias("n_lines"))
+
+
+@query
+def ingest_metrics(s, d):
+    bronze = an.union_all([jb.weblog_lines(s, d), jb.input_lines(s, d), jb.output_lines(s, d)])
+    return pl.ingest_metrics(bronze, _logs(s, d), _entities(s, d), _records(s, d), _output_runs(s, d))
+
+
+@query
+def health(s, d):
+    """All health metrics of the bound tables at once; its parts are checked one by one above."""
+    return hl.health(
+        {
+            "merchants": b.entities(s, d), "terms": b.terms(s, d), "runs": b.runs(s, d), "calls": b.calls(s, d),
+            "queries": _masked(s, d), "records": b.records(s, d), "answers": b.answers(s, d),
+            "citations": b.citations(s, d),
+        }
+    )

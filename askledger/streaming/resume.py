@@ -87,7 +87,7 @@ def _ingest_files(spark: SparkSession, root: str, out: str, checkpoint: str, kin
 
     def load(batch: DataFrame, _: int) -> None:
         with_ids = batch.withColumn("mid", F.monotonically_increasing_id())
-        write_bronze(ln.as_bronze(ln.number_lines(with_ids), kind), out)
+        write_bronze(ln.as_bronze(ln.number_lines(with_ids, per_batch), kind), out)
 
     query = (
         placed.writeStream.foreachBatch(load)

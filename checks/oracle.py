@@ -332,6 +332,10 @@ select *, n_three = n_records * n_questions uniform, abs(n_records - n_log_three
 select template, archetype from b_groups where template not in (select template from masked)""")
     out["unmaskable"] = masking("""
 select se10, count(*) n_rows, cast(se10 as bigint) % 17 <> 5 has_merchant from masked where not has_terms group by se10""")
+    out["masking_anomalies"] = masking("""
+select 'analyze' stage, 'ARCHETYPE_GROUP_UNMATCHED' code, null se10 from b_groups
+  where template not in (select template from masked)
+union all select distinct 'analyze', 'TEMPLATE_NO_PII_TERMS', se10 from masked where not has_terms""")
     out["mask_counters"] = masking("""
 select count(*) tmpl_rows, count(*) filter (n_placeholders > 0) tmpl_masked,
   count(*) filter (n_placeholders = 0) tmpl_unmasked,

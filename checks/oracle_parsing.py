@@ -257,4 +257,33 @@ select se10, src_file, src_line, n_copies, false identical from rec where rn > 1
   union all select 'DUP_OUTPUT_SE10', src_file, src_line from rec where rn > 1
   union all select 'INPUT_OUTPUT_FIELD_CONFLICT', src_file, src_line from clash where clashes <> '')
 select code, count(*) n, count(distinct (src_file, src_line)) n_lines from found group by code""", *with_input)
+    def cells(kind, **values):
+        return " union all ".join(f"select '{kind}' kind, '{n}' \"name\", ({v}) \"value\"" for n, v in values.items())
+
+    def in_rec(cond):
+        return f"select count(*) from rec where {cond}"
+
+    metrics = [
+        cells("weblog", lines="select count(*) from ev", damaged_lines="select count(*) from good where m <> 4 and e % 61 = 0",
+              entities="select count(*) from ev where m not in (0, 1, 2, 8)", runs="select count(*) from good",
+              calls="select count(*) from calls"),
+        "select 'weblog', 'action_' || action_type, count(*) from calls group by all",
+        "select 'weblog', 'conf_' || parse_conf, count(*) from calls group by all",
+        cells("input", lines="select count(*) from cust", damaged_lines="0", n_entities="select count(*) from kept",
+              n_terms="select count(*) from in_terms", n_without_terms="0"),
+        cells("output", lines="select count(*) from doc",
+              damaged_lines="select count(*) from doc where i % 50 <> 48 and contains(text, chr(65533))",
+              records=in_rec("true"), no_questions=in_rec("not asked"), no_answers=in_rec("not said"), no_votes="0",
+              n_runs_mismatch=in_rec("i % 5 = 0 or not said"), empty_voted_final="0", votes="select count(*) from vot",
+              votes_differ=in_rec("i % 3 = 0"), runs="select count(*) + count(*) filter (said) from rec",
+              answer_blocks="select 4 * count(*) from rec where said", prose_citations=in_rec("said"),
+              empty_placeholders=in_rec("said"), dict_citations="select 2 * count(*) from rec",
+              citations_outside_blocks="0", citation_mismatches=in_rec("said = (i % 4 = 0)"),
+              answer_disagreements=in_rec("said and i % 2 = 1"), bare_with_evidence=in_rec("said"),
+              block_q_echo="select 2 * count(*) from rec where said", block_bare="select 2 * count(*) from rec where said",
+              evidence_present="select 2 * count(*) from rec where said",
+              evidence_absent="select 2 * count(*) from rec where said"),
+        "select 'output', 'answers_from_' || parsed_from, count(*) from ans group by all",
+    ]
+    out["ingest_metrics"] = _sql(B_LOGS, B_INPUT, B_OUTPUT, select=" union all ".join(metrics))
     return out
