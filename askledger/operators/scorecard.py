@@ -75,16 +75,22 @@ def cited_counts(answers: DataFrame, citations: DataFrame) -> DataFrame:
     Both sides are cut to one row per key before they meet, so neither repeated citations nor
     a key with very many answers can multiply or skew the join.
     """
-    keys = ["output_id", "run_id", "qnum"]
-    asked = answers.filter("qnum is not null").groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    cited = citations.filter("qnum is not null and url is not null and url <> ''").select(*keys)
-    on = [F.col(f"a.{k}").eqNullSafe(F.col(f"c.{k}")) for k in keys]
-    return (
-        asked.alias("a")
-        .join(cited.distinct().alias("c"), on, "left_semi")
-        .groupBy("qnum")
-        .agg(F.sum("n").alias("n_cited"))
+    keys = ["output_id", "run", "qnum"]
+    # A run without an index is a run of its own. -1 is no index, so plain equality can be used and the
+    # join needs no shuffle beyond those of the two groupings.
+    run = F.coalesce("run_id", F.lit(-1)).alias("run")
+    asked = (
+        answers.filter("qnum is not null")
+        .select("output_id", run, "qnum")
+        .groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    cited = (
+        citations.filter("qnum is not null and url is not null and url <> ''")
+        .select("output_id", run, "qnum")
+        .distinct()
     )
+    return asked.join(cited, keys, "left_semi").groupBy("qnum").agg(F.sum("n").alias("n_cited"))
 
 
 def run_agreement(answers: DataFrame, source: str = "prose") -> DataFrame:
