@@ -54,7 +54,7 @@ def questions(prompt: Column) -> Column:
 
 def last_of_each(items: Column) -> Column:
     """Of structs (qnum, pos, ...), the one with the highest pos per qnum, ordered by qnum."""
-    ordered = F.array_sort(items)
+    ordered = F.sort_array(items)
     return F.filter(
         ordered,
         lambda x, i: ~F.coalesce(F.get(ordered, i + 1)["qnum"] == x["qnum"], F.lit(False)),

@@ -99,7 +99,7 @@ def describe(value: Column) -> Column:
         F.when(is_absent(value), "absent")
         .when(
             members.isNotNull(),
-            F.concat(F.lit("object{"), capped_list(F.array_sort(F.map_keys(members))), F.lit("}")),
+            F.concat(F.lit("object{"), capped_list(F.sort_array(F.map_keys(members))), F.lit("}")),
         )
         .when(items.isNotNull(), F.format_string("list[%d]", F.size(items)))
         .when(

@@ -82,7 +82,7 @@ def attach_hits(
         .filter("small is null or small")
         .select(
             *keep,
-            F.array_sort(F.coalesce(found, F.array())).alias("_hits"),
+            F.sort_array(F.coalesce(found, F.array())).alias("_hits"),
             F.col("small").isNotNull().alias("_has_terms"),
         )
     )
@@ -93,7 +93,7 @@ def attach_hits(
         .groupBy(*row_key)
         .agg(
             *[F.any_value(c).alias(c) for c in rest],
-            F.array_sort(F.flatten(F.collect_list("_hits"))).alias("_hits"),
+            F.sort_array(F.flatten(F.collect_list("_hits"))).alias("_hits"),
         )
         .select(*keep, "_hits", F.lit(True).alias("_has_terms"))
     )

@@ -44,7 +44,7 @@ def output_id(src_file: Column, src_line: Column) -> Column:
 
 
 def _keys_of(value: Column) -> Column:
-    return tx.capped_list(F.array_sort(F.map_keys(va.as_object(value))))
+    return tx.capped_list(F.sort_array(F.map_keys(va.as_object(value))))
 
 
 def _no_keys() -> Column:
@@ -126,13 +126,13 @@ def shred_records(bronze: DataFrame) -> DataFrame:
 
     n_runs = va.only_integer(F.col("m.n_runs"))
     n_answers = F.size(keys("a_map"))
-    votes = F.transform(F.array_sort(F.array_union(keys("majority"), keys("final"))), one_vote)
+    votes = F.transform(F.sort_array(F.array_union(keys("majority"), keys("final"))), one_vote)
     rows = opened.select(
         "*",
         n_runs.alias("n_runs"),
         n_answers.alias("n_answer_runs"),
         votes.alias("votes"),
-        F.transform(F.array_sort(F.array_union(keys("a_map"), keys("c_map"))), parts).alias("run_parts"),
+        F.transform(F.sort_array(F.array_union(keys("a_map"), keys("c_map"))), parts).alias("run_parts"),
     )
     head = F.substring("raw", 1, an.BAD_JSON_EXCERPT)
     is_record = F.col("is_record")
@@ -398,7 +398,7 @@ def shred_runs(records: DataFrame) -> DataFrame:
         "split_qnums",
         F.when(
             F.col("has_entries") & F.col("is_list"),
-            F.array_sort(
+            F.sort_array(
                 F.array_except(
                     F.array_union(
                         F.transform("prose_only", lambda c: c["qnum"]),
@@ -412,7 +412,7 @@ def shred_runs(records: DataFrame) -> DataFrame:
 
     def urls_of(name: str, qnum: Column) -> Column:
         mine = F.transform(F.filter(name, lambda c: c["qnum"] == qnum), lambda c: c["url"])
-        return F.coalesce(F.nullif(tx.capped_list(F.array_sort(mine)), F.lit("")), F.lit("-"))
+        return F.coalesce(F.nullif(tx.capped_list(F.sort_array(mine)), F.lit("")), F.lit("-"))
 
     found = F.concat(
         an.problems(
@@ -548,7 +548,7 @@ def question_drift(records: DataFrame) -> DataFrame:
         F.size("canon.questions").alias("n_canonical"),
         F.array_except(theirs, _numbers("questions")).alias("missing"),
         F.array_except(_numbers("questions"), theirs).alias("added"),
-        (F.array_sort("questions") != F.array_sort("canon.questions")).alias("text_varies"),
+        (F.sort_array("questions") != F.sort_array("canon.questions")).alias("text_varies"),
     )
 
 
@@ -625,7 +625,7 @@ def anomalies(
     clashing = field_conflicts(output_records(records), merchants, min_hot).filter("size(clashes) > 0")
 
     def numbers(name: str) -> Column:
-        return F.coalesce(F.nullif(tx.capped_list(F.array_sort(name)), F.lit("")), F.lit("-"))
+        return F.coalesce(F.nullif(tx.capped_list(F.sort_array(name)), F.lit("")), F.lit("-"))
 
     lines = records.withColumn("se10", F.when(F.col("is_record"), F.col("se10")))
     return an.union_all(

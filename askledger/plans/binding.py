@@ -35,6 +35,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table spread over the cores when its files give fewer splits than that.
+
+    Parsing and masking cost far more than reading, so one small file must not be one task. A table of
+    many splits is left as it is.
+    """
+    df = table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores, df.columns[0]) if df.rdd.getNumPartitions() < cores else df
+
+
 def rates(spark: SparkSession) -> DataFrame:
     return rates_table(spark, RATES)
 
@@ -193,7 +204,7 @@ QUERY_TEXT = (
 def entity_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queries per customer, six per order, of which two are not billed."""
     return (
-        table(spark, sf_dir, "orders")
+        spread_table(spark, sf_dir, "orders")
         .selectExpr("*", "explode(sequence(0, 5)) as k")
         .selectExpr(
             "cast(o_custkey as string) as se10",

@@ -8,20 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askledger.plans.binding import table as _table
+from askledger.plans.binding import spread_table as table
 from askledger.sources.lines import as_bronze
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table spread over the cores when its files give fewer splits than that.
-
-    Parsing costs far more than reading, so one small file must not be one task. A table of many splits
-    is left as it is.
-    """
-    df = _table(spark, sf_dir, name)
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores, df.columns[0]) if df.rdd.getNumPartitions() < cores else df
-
-
 # Shared with the check SQL: the run key of an event's line.
 RUN_KEY = (
     "case event_id % 50 when 7 then 'batch' when 9 then concat('retry_', event_id % 4) "
