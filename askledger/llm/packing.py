@@ -6,8 +6,8 @@ least cost of the stream up to cut j,
 
     best(j) = cost(j) + window - pos(j) + min { best(i) + pos(i) : 0 < pos(j) - pos(i) <= window }
 
-The minimum runs over a sliding range of cuts, so a queue whose values only rise gives it in constant time. Where
-sentences are longer than a window, extra cuts inside stand at every full window. The stream is cut in blocks of
+The minimum runs over a sliding range of cuts, so a queue whose values only rise gives it in constant time. Besides the
+ends of documents and sentences, cuts inside a sentence are offered every `inside_step` tokens. The stream is cut in blocks of
 `block` tokens; each hands its last, unfinished window to the next, so memory stays bounded and partitions need no
 shuffle. The last window of a partition may be split at powers of two, which need no padding, if that costs less.
 
@@ -33,30 +33,25 @@ WINDOW = 2048
 CLOSING_ID = 1
 #: Cost of a cut, as tokens of padding: after a sentence, and anywhere else.
 SENTENCE_COST = 1.0
-INSIDE_COST = 40.0
+INSIDE_COST = 12.0
+INSIDE_STEP = 64
 BLOCK = 1 << 19
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 ARROW = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
 
 
-def allowed_cuts(doc_ends: np.ndarray, sentence_ends: np.ndarray, window: int, sentence_cost: float, inside_cost: float):
-    """Positions where a window may end and their costs; gaps over a window get cuts at every full window."""
-    pos = np.union1d(doc_ends, sentence_ends)
-    cost = np.where(np.isin(pos, doc_ends, assume_unique=True), 0.0, sentence_cost)
-    before = np.concatenate(([0], pos[:-1]))
-    wide = np.flatnonzero(pos - before > window)
-    if len(wide):
-        extra = np.concatenate([np.arange(before[k] + window, pos[k], window) for k in wide])
-        cost = np.concatenate((cost, np.full(len(extra), inside_cost)))
-        pos = np.concatenate((pos, extra))
-        order = np.argsort(pos, kind="stable")
-        pos, cost = pos[order], cost[order]
-    return pos, cost
+def allowed_cuts(doc_ends: np.ndarray, sentence_ends: np.ndarray, sentence_cost: float, inside_cost: float, inside_step: int):
+    """Positions where a window may end, in order, and what each costs."""
+    inside = np.arange(inside_step, doc_ends[-1], inside_step)
+    pos = np.concatenate((doc_ends, sentence_ends, inside))
+    cost = np.repeat([0.0, sentence_cost, inside_cost], [len(doc_ends), len(sentence_ends), len(inside)])
+    pos, first = np.unique(pos, return_index=True)  # the first of equal ones is the cheapest
+    return pos, cost[first]
 
 
 def best_cuts(pos: np.ndarray, cost: np.ndarray, window: int) -> list[int]:
-    """Ends of the windows of least total cost; `pos` rises, its last entry is the stream's end, gaps are <= window."""
+    """Ends of the windows of least total cost; `pos` rises, its last entry is the stream's end, no gap is over a window."""
     positions, costs = [0, *pos.tolist()], [0.0, *cost.tolist()]
     came = [0] * len(positions)
     queue: deque[tuple[float, int, int]] = deque([(0.0, 0, 0)])  # value best + pos, position, index
@@ -89,8 +84,8 @@ def tail_cuts(start: int, end: int, window: int, inside_cost: float) -> list[int
 class Stream:
     """The ids not yet cut off, with the documents they belong to."""
 
-    def __init__(self, first_sequence: int, window: int, sentence_cost: float, inside_cost: float):
-        self.window, self.sentence_cost, self.inside_cost = window, sentence_cost, inside_cost
+    def __init__(self, first_sequence: int, window: int, costs: tuple[float, float, int]):
+        self.window, self.costs = window, costs
         self.sequence = first_sequence
         self.docs: list[tuple] = []  # id, ids of the document, how many of them are already cut off
         self.size = 0
@@ -105,11 +100,11 @@ class Stream:
             return []
         ids = np.concatenate([d[1][d[2] :] for d in self.docs])
         doc_ends = np.cumsum([len(d[1]) - d[2] for d in self.docs])
-        pos, cost = allowed_cuts(doc_ends, np.flatnonzero(ends_sentence[ids]) + 1, self.window, self.sentence_cost, self.inside_cost)
+        pos, cost = allowed_cuts(doc_ends, np.flatnonzero(ends_sentence[ids]) + 1, *self.costs)
         ends = best_cuts(pos, cost, self.window)
         if last:
             begun = ends[-2] if len(ends) > 1 else 0
-            ends[-1:] = tail_cuts(begun, ends[-1], self.window, self.inside_cost)
+            ends[-1:] = tail_cuts(begun, ends[-1], self.window, self.costs[1])
         elif len(ends) > 1:
             ends.pop()
         else:
@@ -140,10 +135,10 @@ class Stream:
         return pieces
 
 
-def pack_texts(rows: Iterator[tuple], encoder: bpe.Encoder, first_sequence: int, window: int, sentence_cost: float, inside_cost: float, block: int) -> Iterator[list[tuple]]:
+def pack_texts(rows: Iterator[tuple], encoder: bpe.Encoder, first_sequence: int, window: int, costs: tuple[float, float, int], block: int) -> Iterator[list[tuple]]:
     """Lists of pieces of (id, text) rows, in their order."""
     ends_sentence = encoder.flags(lambda b: b.rstrip()[-1:] in (b".", b"!", b"?") or b"\n" in b)
-    stream = Stream(first_sequence, window, sentence_cost, inside_cost)
+    stream = Stream(first_sequence, window, costs)
     for doc_id, text in rows:
         stream.add(doc_id, np.array([*encoder.ids(text or ""), CLOSING_ID], np.int32))
         if stream.size >= block:
@@ -151,14 +146,16 @@ def pack_texts(rows: Iterator[tuple], encoder: bpe.Encoder, first_sequence: int,
     yield stream.cut(ends_sentence, last=True)
 
 
-def pack(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", vocabulary: str | None = None, window: int = WINDOW, sentence_cost: float = SENTENCE_COST, inside_cost: float = INSIDE_COST, block: int = BLOCK) -> DataFrame:
+def pack(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", vocabulary: str | None = None, window: int = WINDOW, sentence_cost: float = SENTENCE_COST, inside_cost: float = INSIDE_COST, inside_step: int = INSIDE_STEP, block: int = BLOCK) -> DataFrame:
     """One row per piece: where it lies in its document and in its sequence. Sequence ids are unique, not dense."""
 
+    costs = (sentence_cost, inside_cost, min(inside_step, window))
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 36
         rows = (row for b in batches for row in zip(b.column(0).to_pylist(), b.column(1), strict=True))
         rows = ((i, t.as_py()) for i, t in rows)
-        for pieces in pack_texts(rows, bpe.Encoder(vocabulary), first, window, sentence_cost, inside_cost, block):
+        for pieces in pack_texts(rows, bpe.Encoder(vocabulary), first, window, costs, block):
             if pieces:
                 columns = list(zip(*pieces, strict=True))
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], schema=ARROW)

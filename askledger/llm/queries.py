@@ -5,17 +5,33 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from askledger.llm import packing
-from askledger.llm.common import read
+from askledger.llm import language, language_model, packing
+from askledger.llm.common import id_remainder, read
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held_out = F.coalesce(id_remainder("doc_id", 4) == 2, F.lit(True))
+    found = language.predict(docs, language.learn(docs, ~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held_out = F.coalesce(id_remainder("doc_id", 10) == 0, F.lit(True))
+    return language_model.score(docs, held_out, language_model.train(docs, ~held_out))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": op5_packing,
+    "op8_language_id": op8_language_id,
+    "op9_lm_scoring": op9_lm_scoring,
 }
 
 ORACLE_SQL: dict[str, str] = {}
