@@ -57,6 +57,16 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sliced(batches, text_column: int, limit: int):
+    """Record batches cut so that the texts of each sum to about `limit` bytes at most."""
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(text_column)), 0).to_pylist()
+        for start, stop in blocks(sizes, limit):
+            yield batch.slice(start, stop - start)
+
+
 def blocks(sizes, limit: int) -> Iterator[tuple[int, int]]:
     """Cut consecutive items into runs whose sizes sum to about `limit` at most (a single larger item stands alone)."""
     start, total = 0, 0

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askledger.llm import language, language_model, near_duplicates, packing
+from askledger.llm import decontamination, language, language_model, near_duplicates, packing, secrets
 from askledger.llm.common import id_remainder, read
 
 
@@ -19,6 +19,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     held_out = F.coalesce(id_remainder("doc_id", 4) == 2, F.lit(True))
@@ -32,11 +36,19 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score(docs, held_out, language_model.train(docs, ~held_out))
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(read(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op5_packing": op5_packing,
+    "op7_decontamination": op7_decontamination,
     "op8_language_id": op8_language_id,
     "op9_lm_scoring": op9_lm_scoring,
+    "op10_secrets": op10_secrets,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_secrets": secrets.oracle_sql(),
+}
