@@ -30,13 +30,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from askledger.llm.common import stored
+from askledger.llm.common import sliced, stored
 from askledger.llm.words import WordHashes, mixed
 
 MAX_BITS = 1 << 29
 BITS_PER_WORD = 12
 SEGMENT_BYTES = 16 << 20
 FREQUENT = 1 << 20
+#: Bytes of text that a task counts or scores at a time.
+COUNT_BYTES, SCORE_BYTES = 8 << 20, 3 << 20
 PROBES = 2
 WEIGHT = 0.6
 ADDED = 0.1
@@ -139,7 +141,7 @@ def train(docs: DataFrame, usable: Column, text_column: str = "text") -> Model:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for b in batches:
+        for b in sliced(batches, 0, COUNT_BYTES):
             tokens, before, _ = tokens_of(*hashes.of(b.column(0).to_pylist()))
             for kind, grams in (("token", tokens), ("gram", one_gram(tokens)), ("gram", two_gram(before, tokens))):
                 values, n = np.unique(grams, return_counts=True)
@@ -210,9 +212,7 @@ def score(docs: DataFrame, held_out: Column, model: Model, id_column: str = "doc
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, hashes = shared.value, WordHashes()
         unknown = len(m.frequent)
-        known = np.append(m.frequent, np.uint64(0))
-        counts = np.append(m.frequent_counts, 0)
-        for b in batches:
+        for b in sliced(batches, 2, SCORE_BYTES):
             tokens, before, ends = tokens_of(*hashes.of(b.column(2).to_pylist()))
             starts = np.concatenate(([0], ends[:-1]))
             single = counts_of(m.filter.levels(one_gram(tokens)))
@@ -223,11 +223,10 @@ def score(docs: DataFrame, held_out: Column, model: Model, id_column: str = "doc
             follows = np.minimum(1.0, pair / np.maximum(context, 1.0))
             p = WEIGHT * follows + (1 - WEIGHT) * 10 ** m.log_probability(single)
             distinct, which = np.unique(tokens, return_inverse=True)
-            at = np.searchsorted(m.frequent, distinct)
-            at[known[at] != distinct] = unknown
-            at = at[which]
-            here = at < unknown
-            base = np.where(here, m.log_probability(counts[at]), 0.0)
+            at = np.minimum(np.searchsorted(m.frequent, distinct), max(0, unknown - 1))
+            found = m.frequent[at] == distinct if unknown else np.zeros(len(distinct), bool)
+            base = np.where(found, m.log_probability(m.frequent_counts[at]), 0.0)[which] if unknown else np.zeros(len(tokens))
+            here = found[which]
             rest = [None] * len(ends)
             absent = np.flatnonzero(~here)
             owner = np.searchsorted(ends, absent, side="right")
