@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askledger.llm import decontamination, language, language_model, near_duplicates, packing, secrets
+from askledger.llm import decontamination, language, language_model, near_duplicates, neighbours, packing, personal, secrets, toxicity
 from askledger.llm.common import id_remainder, read
 
 
@@ -15,10 +15,26 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.digest(personal.find(read(spark, sf_dir, "documents")))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held_out = F.coalesce(id_remainder("doc_id", 5) == 0, F.lit(True))
+    profiles = language.learn(docs, ~held_out)
+    net = toxicity.train(docs, read(spark, sf_dir, "labels"), ~held_out, profiles)
+    return toxicity.score(docs, net, profiles).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -42,7 +58,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
+    "op3_personal_data": op3_personal_data,
+    "op4_toxicity": op4_toxicity,
     "op5_packing": op5_packing,
+    "op6_neighbours": op6_neighbours,
     "op7_decontamination": op7_decontamination,
     "op8_language_id": op8_language_id,
     "op9_lm_scoring": op9_lm_scoring,
