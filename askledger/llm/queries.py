@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askledger.llm import decontamination, language, language_model, near_duplicates, neighbours, packing, personal, secrets, toxicity
+from askledger.llm import chat, decontamination, language, language_model, near_duplicates, neighbours, packing, personal, secrets, toxicity
 from askledger.llm.common import id_remainder, read
 
 
@@ -15,6 +15,10 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op2_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.link(*chat.from_conversations(read(spark, sf_dir, "conversations")), chat.TOOLS)
+
+
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.digest(personal.find(read(spark, sf_dir, "documents")))
 
@@ -58,6 +62,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
+    "op2_tool_calls": op2_tool_calls,
     "op3_personal_data": op3_personal_data,
     "op4_toxicity": op4_toxicity,
     "op5_packing": op5_packing,
@@ -69,5 +74,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_tool_calls": chat.ORACLE_SQL,
     "op10_secrets": secrets.oracle_sql(),
 }
