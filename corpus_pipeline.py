@@ -1,27 +1,60 @@
-"""A corpus pipeline: documents in, packed training sequences out. Each stage reads what the one before kept."""
+"""A corpus pipeline: documents in, packed training sequences out. Each stage works on all that the one before kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from askledger.llm import packing
-from askledger.llm.common import read, stored
+from askledger.llm import decontamination, language, near_duplicates, packing, secrets
+from askledger.llm.common import prepare, read, stored
+
+#: A text less like every profile than this is in no known language: far under what prose, tables or code reach.
+LEAST_LANGUAGE_SCORE = 0.2
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a known language; those without letters or unlike every profile go."""
+    prepare(spark)
+    return language.keep_known(docs, language.learn(docs, F.lit(True)), LEAST_LANGUAGE_SCORE)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, the one with the smallest id."""
+    prepare(spark)
+    return near_duplicates.keep_one(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark passage."""
+    return decontamination.keep_clean(docs, read(spark, sf_dir, "benchmark"))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets in their texts replaced by their kind in brackets."""
+    return secrets.redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all kept documents in sequences of 2048 ids."""
+    """Pieces of all documents in sequences of 2048 ids."""
+    prepare(spark)
     return packing.pack(docs)
 
 
-STAGES = [("packing", pack)]
+STAGES = [
+    ("language ID", language_id),
+    ("near-duplicate removal", near_dedup),
+    ("benchmark decontamination", decontaminate),
+    ("secret redaction", redact_secrets),
+    ("packing", pack),
+]
 
-#: Classification, tokenization and alignment have no SQL form; the tests compare with brute force.
+#: Classification, tokenization and packing have no SQL form; the tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn, each written as Parquet to the shared folder and read again."""
+    """All stages in turn on the documents, each but the last written as Parquet to the shared folder and read again."""
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)
