@@ -54,11 +54,15 @@ def questions(prompt: Column) -> Column:
 
 def last_of_each(items: Column) -> Column:
     """Of structs (qnum, pos, ...), the one with the highest pos per qnum, ordered by qnum."""
-    ordered = F.sort_array(items)
-    return F.filter(
-        ordered,
-        lambda x, i: ~F.coalesce(F.get(ordered, i + 1)["qnum"] == x["qnum"], F.lit(False)),
-    )
+
+    def pick(ordered: Column) -> Column:
+        return F.filter(
+            ordered, lambda x, i: ~F.coalesce(F.get(ordered, i + 1)["qnum"] == x["qnum"], F.lit(False))
+        )
+
+    # The list of one binds the sorted list to a name: used in the inner lambda as an expression, it would be
+    # computed again for every element.
+    return F.get(F.transform(F.array(F.sort_array(items)), pick), 0)
 
 
 def starts(parts: Column, whole: Column, offset: Column | None = None) -> Column:

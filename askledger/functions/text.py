@@ -92,9 +92,11 @@ def hostname(url: Column) -> Column:
     return F.lower(host)
 
 
-def capped_list(items: Column, limit: int = 12) -> Column:
-    """Comma list of an array, the tail beyond `limit` replaced by its size."""
+def capped_list(items: Column, limit: int | None = None) -> Column:
+    """Comma list of an array; with a limit, the tail beyond it is replaced by its size."""
     texts = F.transform(items, lambda x: x.cast("string"))
+    if limit is None:
+        return F.array_join(texts, ", ")
     extra = F.size(texts) - F.lit(limit)
     return F.concat(
         F.array_join(F.slice(texts, 1, limit), ", "),

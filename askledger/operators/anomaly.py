@@ -9,10 +9,6 @@ from pyspark.sql import functions as F
 
 from askledger.operators.skew import numbered
 
-# Text kept per row, rows per code and file that keep text, sample size.
-MAX_EXCERPT = 2000
-MAX_PAYLOAD_ROWS = 200
-BAD_JSON_EXCERPT = 500
 DEFAULT_SAMPLE = 5
 
 SCHEMA = (
@@ -42,8 +38,10 @@ def problems(*checks: tuple[Column, Column]) -> Column:
     return F.array_compact(F.array(*[F.when(cond, p) for cond, p in checks]))
 
 
-def truncated(text: Column, limit: int = MAX_EXCERPT) -> Column:
-    """Excerpt of at most `limit` characters that says when it was cut."""
+def truncated(text: Column, limit: int | None = None) -> Column:
+    """The whole text; with a limit, at most that many characters and a note when it was cut."""
+    if limit is None:
+        return text
     size = F.length(text)
     return F.when(
         size > limit,
@@ -59,8 +57,9 @@ def anomaly(
     excerpt: Column | None = None,
     context: Column | None = None,
     seq: Column | None = None,
+    limit: int | None = None,
 ) -> DataFrame:
-    """One anomaly per row of `df`; provenance columns are taken when `df` has them."""
+    """One anomaly per row of `df`; provenance columns are taken when `df` has them. `limit` cuts excerpts."""
     has = set(df.columns)
 
     def own(name: str, kind: str) -> Column:
@@ -73,7 +72,7 @@ def anomaly(
         own("se10", "string"),
         own("src_file", "string"),
         own("src_line", "bigint"),
-        truncated(none if excerpt is None else excerpt).alias("raw_excerpt"),
+        truncated(none if excerpt is None else excerpt, limit).alias("raw_excerpt"),
         (none if context is None else context).alias("context"),
         detail.cast("string").alias("detail"),
         F.current_timestamp().alias("ts_recorded"),
@@ -98,11 +97,13 @@ def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
-def cap_payload(anomalies: DataFrame, rows: int = MAX_PAYLOAD_ROWS, width: int = 100_000) -> DataFrame:
-    """Keep excerpt and context only on the first `rows` rows of a code in a file.
+def cap_payload(anomalies: DataFrame, rows: int | None = None, width: int = 100_000) -> DataFrame:
+    """All anomalies as they are; with `rows`, excerpt and context only on the first `rows` rows of a code in a file.
 
     Every row stays. A file in which one code fires on each line is numbered range by range.
     """
+    if rows is None:
+        return anomalies
     ranked = numbered(
         anomalies, ["stage", "code", "src_file"], "src_line",
         ["src_line", "seq", "detail"], width, "_rn",

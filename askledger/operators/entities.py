@@ -109,7 +109,7 @@ def shred(bronze: DataFrame) -> DataFrame:
             }
         )
     )
-    head = F.substring("raw", 1, an.BAD_JSON_EXCERPT)
+    head = F.col("raw")
     found = an.problems(
         *line_problems(v, "input record"),
         (
@@ -167,7 +167,7 @@ def anomalies(shredded: DataFrame, min_hot: int = HOT_ROWS) -> DataFrame:
                     "se10 %s was already read at %s:%d; this copy is not stored",
                     "se10", "first.src_file", "first.src_line",
                 ),
-                F.substring("raw_json", 1, an.BAD_JSON_EXCERPT),
+                F.col("raw_json"),
             ),
         ]
     )

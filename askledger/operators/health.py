@@ -18,10 +18,8 @@ from askledger.operators.defects import dict_runs
 from askledger.operators.entities import COLUMN_KEYS, TERM_KEYS
 from askledger.operators.scorecard import QUESTIONS_ASKED, answer_facts
 
-# Records looked at for the schema, keys listed, keys that may hold an outcome,
-# and how many distinct values such a key may have for them to be shown.
-SCHEMA_SAMPLE = 200
-MAX_KEYS = 60
+# Keys that may hold an outcome, and how many distinct values such a key may have
+# for them to be shown (a disclosure gate: the values of other keys may be free text).
 LABEL_KEYS = ("se_not_good_seller_ind", "se_not_good_reason", "HRSE_tagged_merchant_ind")
 MAX_SHOWN_VALUES = 8
 
@@ -142,21 +140,11 @@ def column_fill(merchants: DataFrame, columns: Sequence[str] = tuple(COLUMN_KEYS
 
 def schema_keys(
     merchants: DataFrame,
-    order: Sequence[str] = ("src_rank", "src_file", "src_line"),
     wanted: Sequence[str] = tuple(sorted({k for keys in TERM_KEYS.values() for k in keys})),
-    sample: int = SCHEMA_SAMPLE,
 ) -> DataFrame:
-    """Keys of the first parseable records, and which personal-data keys they have. Names only.
-
-    Looking at the first records is the feature: a schema check, not a statistic.
-    """
-    members = F.json_object_keys("raw_json")
+    """Keys of all parseable records, and which personal-data keys they have. Names only."""
     seen = (
-        merchants.select(*order, members.alias("keys"))
-        .filter(F.col("keys").isNotNull())
-        .orderBy(*order)
-        .limit(sample)
-        .select(F.explode("keys").alias("key"))
+        merchants.select(F.explode(F.json_object_keys("raw_json")).alias("key"))
         .groupBy("key")
         .agg(F.count(F.lit(1)).alias("n_records"))
         .select("key", "n_records", F.lit(False).alias("is_wanted"))
@@ -216,10 +204,18 @@ def label_candidates(merchants: DataFrame, keys: Sequence[str] = LABEL_KEYS) ->
 def label_values(
     merchants: DataFrame, keys: Sequence[str] = LABEL_KEYS, shown: int = MAX_SHOWN_VALUES
 ) -> DataFrame:
-    """Values of those keys that have few of them; free text is never shown."""
+    """Values of those keys that have few of them; free text is never shown.
+
+    A key with more values than that has one row instead, without a value, that says how many are withheld.
+    """
     rows = _label_rows(merchants, keys).filter("value is not null")
-    coded = rows.groupBy("key").agg(F.count(F.lit(1)).alias("d")).filter(F.col("d") <= shown)
-    return rows.join(coded, "key", "left_semi").select("key", "value", "n")
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("d"), F.sum("n").alias("n"))
+    coded, coarse = sizes.filter(F.col("d") <= shown), sizes.filter(F.col("d") > shown)
+    none = F.lit(0).cast("bigint")
+    told = rows.join(coded, "key", "left_semi").select("key", "value", "n", none.alias("n_withheld"))
+    return told.unionByName(
+        coarse.select("key", F.lit(None).cast("string").alias("value"), "n", F.col("d").alias("n_withheld"))
+    )
 
 
 def unreadable_runs(answers: DataFrame) -> DataFrame:
@@ -378,7 +374,7 @@ def health(tables: Mapping[str, DataFrame]) -> DataFrame:
             keyed(keys.filter("is_wanted"), "input", "pii_key_records", "key", "n_records"),
             as_metrics(keys.agg(F.count_if("is_present").alias("n_keys_seen")), "input"),
             keyed(
-                keys.filter("is_present").orderBy("key").limit(MAX_KEYS), "input", "key_seen", "key", "n_records"
+                keys.filter("is_present"), "input", "key_seen", "key", "n_records"
             ),
             *[
                 keyed(labels.withColumn(n, F.col(n).cast("double")), "labels", n, "key", n)

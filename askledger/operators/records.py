@@ -134,7 +134,7 @@ def shred_records(bronze: DataFrame) -> DataFrame:
         votes.alias("votes"),
         F.transform(F.sort_array(F.array_union(keys("a_map"), keys("c_map"))), parts).alias("run_parts"),
     )
-    head = F.substring("raw", 1, an.BAD_JSON_EXCERPT)
+    head = F.col("raw")
     is_record = F.col("is_record")
     top = _keys_of(v)
     found = an.problems(

@@ -7,23 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A key is worth splitting only from this many rows on.
+# A key is worth splitting only from this many rows on; it is cut into pieces of about that size.
 HOT_ROWS = 1_000_000
-# At most this many keys are split. Each other key then holds under 1/MAX_HOT of the rows,
-# so the list has a fixed size and can always be broadcast.
-MAX_HOT = 1000
-SALTS = 64
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int = HOT_ROWS) -> DataFrame:
-    """The heaviest keys of `df`: at most MAX_HOT of them, each with at least `min_rows` rows."""
+    """Every key with at least `min_rows` rows, and into how many pieces to cut it."""
     return (
         df.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_rows"))
         .filter(F.col("_rows") >= min_rows)
-        .orderBy(F.desc("_rows"), *keys)
-        .limit(MAX_HOT)
-        .select(*keys)
+        .select(*keys, (F.ceil(F.col("_rows") / F.lit(min_rows)) + 1).cast("int").alias("_pieces"))
     )
 
 
@@ -34,29 +28,29 @@ def spread_join(
     how: str = "left",
     spread_by: Sequence[str] | None = None,
     min_rows: int = HOT_ROWS,
-    salts: int = SALTS,
 ) -> DataFrame:
-    """Equi-join a possibly skewed `big` to `side`, cutting each hot key into `salts` pieces.
+    """Equi-join a possibly skewed `big` to `side`, cutting each hot key into pieces of about `min_rows` rows.
 
-    Only the rows of `side` that belong to a hot key are repeated, so the extra volume is at
-    most MAX_HOT * salts copies of such rows. Rows spread by a hash of `spread_by`
-    (all columns of `big` by default), which a retried task computes again identically.
+    Only the rows of `side` that belong to a hot key are repeated, once for each piece. The list of hot keys has
+    one row per `min_rows` rows of `big` at most; how it is joined is left to Spark's own size threshold.
+    Rows spread by a hash of `spread_by` (all columns of `big` by default), which a retried task computes again
+    identically.
     """
-    hot = F.broadcast(hot_keys(big, keys, min_rows).withColumn("_hot", F.lit(True)))
+    hot = hot_keys(big, keys, min_rows)
     spread = [F.col(c) for c in (spread_by or big.columns)]
     left = big.join(hot, list(keys), "left").withColumn(
         "_salt",
-        F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")).otherwise(0),
+        F.when(F.col("_pieces").isNotNull(), F.pmod(F.xxhash64(*spread), F.col("_pieces")).cast("int")).otherwise(0),
     )
     right = side.join(hot, list(keys), "left").withColumn(
         "_salt",
         F.explode(
-            F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
+            F.when(F.col("_pieces").isNotNull(), F.sequence(F.lit(0), F.col("_pieces") - 1)).otherwise(
                 F.array(F.lit(0))
             )
         ),
     )
-    return left.drop("_hot").join(right.drop("_hot"), [*keys, "_salt"], how).drop("_salt")
+    return left.drop("_pieces").join(right.drop("_pieces"), [*keys, "_salt"], how).drop("_salt")
 
 
 def numbered(

@@ -38,7 +38,7 @@ def run_index(run_key: Column) -> Column:
 
 def line_problems(value: Column, what: str) -> list[tuple[Column, Column]]:
     """What can be wrong with a line before its content is looked at."""
-    head = F.substring("raw", 1, an.BAD_JSON_EXCERPT)
+    head = F.col("raw")
     return [
         (F.col("is_damaged"), an.problem("ENCODING", F.lit(f"undecodable byte in {what}"), F.col("raw"))),
         (value.isNull(), an.problem("BAD_JSON_LINE", F.lit(f"{what} did not parse as JSON"), head)),
@@ -185,7 +185,7 @@ def shred(bronze: DataFrame) -> DataFrame:
                 an.problem(
                     "WEBLOG_SHAPE_UNEXPECTED",
                     F.format_string("expected an object keyed by entity, got %s", va.describe(F.col("v"))),
-                    F.substring("raw", 1, an.BAD_JSON_EXCERPT),
+                    F.col("raw"),
                 ),
             ),
         ).alias("line_problems"),
@@ -326,7 +326,7 @@ def call_anomalies(calls: DataFrame, stage: str) -> DataFrame:
         F.posexplode("notes").alias("pos", "p"),
     )
     return an.anomaly(
-        notes, stage, F.col("p.code"), F.col("p.detail"), F.substring("raw_json", 1, an.BAD_JSON_EXCERPT),
+        notes, stage, F.col("p.code"), F.col("p.detail"), F.col("raw_json"),
         seq=F.col("call_index") * 10 + F.col("pos"),
     )
 
@@ -345,7 +345,7 @@ def _all_problems(shredded: DataFrame) -> DataFrame:
                 F.col("se10").alias("se10"),
                 F.named_struct(
                     F.lit("code"), p["code"],
-                    F.lit("excerpt"), F.substring(call["raw_json"], 1, an.BAD_JSON_EXCERPT),
+                    F.lit("excerpt"), call["raw_json"],
                     F.lit("detail"), F.concat(where, p["detail"]),
                 ).cast(an.PROBLEM).alias("p"),
             ),

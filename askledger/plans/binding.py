@@ -36,14 +36,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table spread over the cores when its files give fewer splits than that.
-
-    Parsing and masking cost far more than reading, so one small file must not be one task. A table of
-    many splits is left as it is.
-    """
+    """A table dealt out evenly: parsing and masking cost far more than moving its narrow rows once."""
     df = table(spark, sf_dir, name)
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores, df.columns[0]) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(df.columns[0])
 
 
 def rates(spark: SparkSession) -> DataFrame:

@@ -406,7 +406,7 @@ def anomaly_summary(s, d):
 
 @query
 def anomaly_payload(s, d):
-    capped = an.cap_payload(wl.anomalies(_logs(s, d)), rows=20)
+    capped = an.cap_payload(wl.anomalies(_logs(s, d)))
     return capped.groupBy("code", "src_file").agg(
         F.count(F.lit(1)).alias("n"), F.count("raw_excerpt").alias("n_excerpts")
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from askledger.operators import anomaly as an
 from askledger.operators import defects, entities, health, masking, records, runs, scorecard, usage, weblogs
-from askledger.sources.tables import read_tables, replace_stage, write_table
+from askledger.sources.tables import drop_table, read_tables, replace_stages, write_table
 from askledger.streaming.resume import read_bronze
 
 QUERY_KEY = ["src_file", "src_line", "se10", "run_key", "call_index", "q_ord"]
@@ -17,6 +17,9 @@ TABLES = (
     "runs", "search_calls", "query_instances", "merchants", "terms", "output_records", "questions",
     "answers", "citations", "votes", "anomalies",
 )
+# Stages of the anomalies that each step writes.
+LOADED = (weblogs.STAGE, entities.STAGE, records.STAGE)
+ANALYSED, REPARSED = "analyze", "reparse"
 
 
 def shred_all(spark: SparkSession, out: str) -> None:
@@ -53,7 +56,7 @@ def tables_of(shredded: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
         "answers": records.answers(output_runs),
         "citations": records.citations(output_runs),
         "votes": records.votes(output),
-        "anomalies": an.cap_payload(found),
+        "anomalies": found,
     }
 
 
@@ -65,7 +68,7 @@ def build_tables(spark: SparkSession, out: str) -> dict[str, DataFrame]:
     )
     for name, df in tables_of(shredded).items():
         if name == "anomalies":
-            replace_stage(df, f"{out}/{name}")
+            replace_stages(df, f"{out}/{name}", LOADED)
         else:
             write_table(df, f"{out}/{name}")
     return dict(read_tables(spark, out, TABLES))
@@ -81,24 +84,24 @@ def mask(spark: SparkSession, out: str, groups: DataFrame) -> DataFrame:
         masking.mask_queries(t["query_instances"], t["terms"], groups, QUERY_KEY), f"{out}/masked_queries"
     )
     masked = spark.read.parquet(f"{out}/masked_queries")
-    replace_stage(
-        an.cap_payload(masking.masking_anomalies(masked, groups, t["merchants"])), f"{out}/anomalies"
-    )
+    replace_stages(masking.masking_anomalies(masked, groups, t["merchants"]), f"{out}/anomalies", [ANALYSED])
     return masked
 
 
 def reparse(spark: SparkSession, out: str) -> DataFrame:
     """Read the stored calls again with the present rules; no source file is opened.
 
-    The new calls go beside the old until they are complete, then replace them.
+    The new calls go beside the old until they are complete, then replace them. Masked queries of the old calls go,
+    and so do the anomalies found while masking: mask again.
     """
     calls, queries, found = weblogs.reparse_calls(spark.read.parquet(f"{out}/search_calls"))
     write_table(calls, f"{out}/search_calls_reparsed")
     again = spark.read.parquet(f"{out}/search_calls_reparsed")
     write_table(again, f"{out}/search_calls")
     write_table(weblogs.query_instances(again), f"{out}/query_instances")
-    notes = weblogs.call_anomalies(again, "reparse")
-    replace_stage(an.cap_payload(notes), f"{out}/anomalies")
+    notes = weblogs.call_anomalies(again, REPARSED)
+    replace_stages(notes, f"{out}/anomalies", [REPARSED, ANALYSED])
+    drop_table(spark, f"{out}/masked_queries")
     return spark.read.parquet(f"{out}/search_calls")
 
 

@@ -21,9 +21,6 @@ SCHEMA = (
 )
 COLUMNS = [part.split()[0] for part in SCHEMA.split(", ")]
 
-# The table of splits is broadcast up to this many rows, each about 150 bytes.
-BROADCAST_SPLITS = 1_000_000
-
 _REPLACEMENT = "�"
 _REPLACEMENT_ESCAPE = "\\ufffd"
 
@@ -65,22 +62,18 @@ def text_files(spark: SparkSession, root: str, kind: str) -> DataFrame | None:
     )
 
 
-def number_lines(files: DataFrame, n_files: int | None = None) -> DataFrame:
+def number_lines(files: DataFrame) -> DataFrame:
     """1-based line numbers per file, without sorting or shuffling the lines.
 
     A split of a file is read in order by one task, so a line's place in its split is the distance of its
-    running id from the split's first. Splits are counted once and their offsets summed per file: that table
-    has one row per split, about a millionth of the data, and is broadcast while it is known to be small.
+    running id from the split's first. Splits are counted once and their offsets summed per file: that table has
+    one row per split, about a millionth of the data; Spark broadcasts it as long as its own threshold allows.
     """
     splits = files.groupBy("src_file", "block").agg(
         F.min("mid").alias("first_mid"), F.count(F.lit(1)).alias("n_lines")
     )
     earlier = Window.partitionBy("src_file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = splits.withColumn("offset", F.coalesce(F.sum("n_lines").over(earlier), F.lit(0))).drop("n_lines")
-    # A file gives one split, and one more for each full partition it reaches into.
-    bound = (len(files.inputFiles()) if n_files is None else n_files) + files.rdd.getNumPartitions()
-    if bound <= BROADCAST_SPLITS:
-        offsets = F.broadcast(offsets)
     return files.join(offsets, ["src_file", "block"]).select(
         "src_file", (F.col("mid") - F.col("first_mid") + F.col("offset") + 1).alias("src_line"), "value"
     )

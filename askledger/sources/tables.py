@@ -72,9 +72,20 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> N
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
-def replace_stage(anomalies: DataFrame, path: str) -> None:
-    """Write anomalies; rows of other stages already there stay."""
-    write_table(anomalies, path, ["stage"])
+def replace_stages(anomalies: DataFrame, path: str, stages: Sequence[str]) -> None:
+    """Replace the rows of the given stages, also by none; rows of other stages already there stay.
+
+    Each stage has a folder of its own, overwritten as a whole: a run that finds nothing leaves nothing behind.
+    """
+    for stage in stages:
+        mine = anomalies.filter(F.col("stage") == stage).drop("stage")
+        mine.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{path}/stage={stage}")
+
+
+def drop_table(spark: SparkSession, path: str) -> None:
+    """Remove a table, if it is there, through the file system that holds it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:

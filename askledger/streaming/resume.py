@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from askledger.operators.anomaly import union_all
 from askledger.sources import lines as ln
 from askledger.sources.archives import zipped_lines
-from askledger.sources.tables import write_table
+from askledger.sources.tables import drop_table, write_table
 
 FILES_SCHEMA = "kind string, src_file string, n_lines bigint, ingested_at timestamp"
 
@@ -51,22 +51,32 @@ def ingested_files(spark: SparkSession, out: str) -> DataFrame:
         return spark.createDataFrame([], FILES_SCHEMA)
 
 
-def write_bronze(bronze: DataFrame, out: str) -> None:
+def write_bronze(bronze: DataFrame, out: str, named: DataFrame | None = None) -> None:
     """Replace the partitions of the files in `bronze`, then note the files as loaded.
 
-    The note comes last: a load cut short in between is simply done again.
+    `named` (kind, src_file) lists files that are noted even if they have no line. Lines are counted from what was
+    written, so the source is not read again for it. The note comes last: a load cut short in between is done again.
     """
-    names = bronze.select("kind", "src_file")
+    spark = bronze.sparkSession
     write_table(bronze.select(*ln.COLUMNS), bronze_path(out), ["kind", "src_file"])
+    loaded = bronze.select("kind", "src_file").distinct() if named is None else named.distinct()
+    lines = read_bronze(spark, out).groupBy("kind", "src_file").agg(F.count(F.lit(1)).alias("n_lines"))
     write_table(
-        names.groupBy("kind", "src_file").agg(
-            F.count(F.lit(1)).alias("n_lines"), F.current_timestamp().alias("ingested_at")
+        loaded.join(lines, ["kind", "src_file"], "left").select(
+            "kind", "src_file", F.coalesce("n_lines", F.lit(0)).cast("bigint").alias("n_lines"),
+            F.current_timestamp().alias("ingested_at"),
         ),
         files_path(out),
         ["kind", "src_file"],
     )
 
 
+def _drop_lines(spark: SparkSession, out: str, kind: str, file: str) -> None:
+    """Remove the loaded lines of one file."""
+    escape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    drop_table(spark, f"{bronze_path(out)}/kind={escape(kind)}/src_file={escape(file)}")
+
+
 def _ingest_files(spark: SparkSession, root: str, out: str, checkpoint: str, kind: str, per_batch: int) -> None:
     try:
         stream = (
@@ -87,7 +97,7 @@ def _ingest_files(spark: SparkSession, root: str, out: str, checkpoint: str, kin
 
     def load(batch: DataFrame, _: int) -> None:
         with_ids = batch.withColumn("mid", F.monotonically_increasing_id())
-        write_bronze(ln.as_bronze(ln.number_lines(with_ids, per_batch), kind), out)
+        write_bronze(ln.as_bronze(ln.number_lines(with_ids), kind), out)
 
     query = (
         placed.writeStream.foreachBatch(load)
@@ -124,12 +134,16 @@ def ingest_available(
 def redo_files(spark: SparkSession, root: str, out: str, files: Sequence[str]) -> None:
     """Load the given files again, whatever the checkpoint says. Other files keep their rows.
 
+    The old lines go first, so a file that is empty now has none; it is noted with 0 lines.
+
     Only bronze is replaced. The typed tables are computed from it, so calls of another file that
     hang off a run of this one cannot be lost.
     """
     for kind, folder in ln.KINDS.items():
         mine = [f for f in files if f.startswith(folder + "/")]
         if mine:
+            for file in mine:
+                _drop_lines(spark, out, kind, file)
             text = spark.read.text([f"{root}/{f}" for f in mine])
             placed = text.select(
                 F.concat(F.lit(folder + "/"), F.col("_metadata.file_name")).alias("src_file"),
@@ -137,7 +151,8 @@ def redo_files(spark: SparkSession, root: str, out: str, files: Sequence[str]) -
                 F.monotonically_increasing_id().alias("mid"),
                 "value",
             )
-            write_bronze(ln.as_bronze(ln.number_lines(placed), kind), out)
+            named = spark.createDataFrame([(kind, f) for f in mine], "kind string, src_file string")
+            write_bronze(ln.as_bronze(ln.number_lines(placed), kind), out, named)
         members = [f for f in files if ".zip!" in f]
         if members:
             rows = zipped_lines(spark, root, folder).filter(F.col("src_file").isin(members))

@@ -169,8 +169,7 @@ select se10, run_key, run_id, call_index, src_file, src_line, unnest(entries) qu
     out["anomaly_summary"] = logs("""
 select code, 'weblogs' stage, count(*) n, count(distinct src_file) n_files from log_anomalies group by code""")
     out["anomaly_payload"] = logs("""
-select code, src_file, count(*) n, count(*) filter (has_excerpt and rn <= 20) n_excerpts
-from (select *, row_number() over (partition by code, src_file order by src_line) rn from log_anomalies) group by all""")
+select code, src_file, count(*) n, count(*) filter (has_excerpt) n_excerpts from log_anomalies group by all""")
     out["anomaly_samples"] = logs("""
 select * from (select code, se10, src_file, src_line, row_number() over (partition by src_file order by src_line) rn
   from log_anomalies where code = 'QUERY_REQUOTED') order by rn, src_file, src_line limit 10""")
@@ -204,7 +203,7 @@ from (select unnest({columns}) column_name), (select count(*) n, count(*) filter
               "Authorized_Signer_Physical_Address Seller_City_Name Significant_Owner_City_Name Significant_Owner_Postal_Code "
               "sell_pstl_cd Business_Phone_No Seller_Email_Address Significant_Owner_Name Primary_Authorized_Signer_Name").split()
     out["schema_keys"] = entities(f"""
-, head as (select * from kept order by src_file, src_line limit 200),
+, head as (select * from kept),
 found as (
   select unnest(['se10', 'se_toc_name', 'Seller_City_Name', 'Business_Phone_No', 'website', 'state_name',
     'se_not_good_reason', 'wwic_industry_tagged']) "key", (select count(*) from head) n
@@ -220,7 +219,8 @@ select 'se_not_good_seller_ind' "key", count(*) n_records, count(*) filter (c %
 union all select 'se_not_good_reason', count(*), true, count(*), count(distinct c) from kept
 union all select 'HRSE_tagged_merchant_ind', count(*), false, 0, 0 from kept)""")
     out["label_values"] = entities("""
-select 'se_not_good_seller_ind' "key", 'Y' "value", count(*) n from kept where c % 9 = 0""")
+select 'se_not_good_seller_ind' "key", 'Y' "value", count(*) n, 0 n_withheld from kept where c % 9 = 0
+union all select 'se_not_good_reason', null, count(*), count(distinct c) from kept having count(distinct c) > 8""")
     out["customer_terms"] = """
 select cast(c_custkey as varchar) se10, 'name' field, lower(c_name) value_norm from customer
 union all select cast(c_custkey as varchar), 'city', lower(c_mktsegment) from customer"""

@@ -135,6 +135,6 @@ def test_gate_withholds_verbatim_queries(spark):
 def test_label_values_hide_free_text(spark):
     raw = [('{"a": "%d", "b": "Y"}' % i,) for i in range(20)] + [("nope",)]
     m = spark.createDataFrame(raw, "raw_json string")
-    assert rows(health.label_values(m, ["a", "b", "c"])) == [("b", "Y", 20)]
+    assert rows(health.label_values(m, ["a", "b", "c"])) == [("a", None, 20, 20), ("b", "Y", 20, 0)]
     got = {r.key: (r.is_present, r.n_filled, r.n_distinct, r.n_records) for r in health.label_candidates(m, ["a", "b", "c"]).collect()}
     assert got == {"a": (True, 20, 20, 20), "b": (True, 20, 1, 20), "c": (False, 0, 0, 20)}

@@ -17,16 +17,23 @@ def test_spread_join_equals_plain_join(spark):
     big = skewed(spark)
     side = big.select("k").distinct().filter("k <> 'k7'").withColumn("v", F.length("k"))
     for how in ("left", "inner"):
-        mine = skew.spread_join(big, side, ["k"], how, ["id"], min_rows=100, salts=8)
+        mine = skew.spread_join(big, side, ["k"], how, ["id"], min_rows=100)
         assert rows(mine, "id", "k", "v") == rows(big.join(side, "k", how), "id", "k", "v")
 
 
 def test_hot_key_is_cut(spark):
     hot = rows(skew.hot_keys(skewed(spark), ["k"], 100))
-    assert hot == [("hot",)]
+    assert hot == [("hot", 11)]
     assert skew.hot_keys(skewed(spark), ["k"], 10_000).count() == 0
 
 
+def test_every_hot_key_is_cut(spark):
+    many = spark.range(6000).select((F.col("id") % 1500).alias("k"), "id")
+    assert skew.hot_keys(many, ["k"], 3).count() == 1500
+    side = many.select("k").distinct().withColumn("v", F.col("k") + 1)
+    assert rows(skew.spread_join(many, side, ["k"], min_rows=3), "id", "v") == rows(many.join(side, "k"), "id", "v")
+
+
 def test_numbered_equals_row_number(spark):
     from pyspark.sql import Window
 
@@ -48,6 +55,7 @@ def test_payload_cap_keeps_every_row(spark):
         F.lit("x").alias("raw_excerpt"), F.lit(None).cast("string").alias("context"),
         F.lit("d").alias("detail"), F.current_timestamp().alias("ts_recorded"), F.lit(0).cast("bigint").alias("seq"),
     )
+    assert an.cap_payload(df).filter("raw_excerpt is not null").count() == 500
     capped = an.cap_payload(df, rows=10, width=37)
     assert capped.count() == 500
     kept = capped.filter("raw_excerpt is not null")

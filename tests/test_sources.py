@@ -1,4 +1,5 @@
 import json
+import os
 import zipfile
 
 import pytest
@@ -87,6 +88,11 @@ def test_resume_and_redo(spark, corpus, tmp_path):
     resume.redo_files(spark, str(corpus), out, ["logs/jsonl/b.jsonl"])
     bronze = resume.read_bronze(spark, out)
     assert bronze.filter("src_file = 'logs/jsonl/b.jsonl'").count() == 1 and bronze.count() == len(before) + 1 - 3
+    (corpus / "logs/jsonl/b.jsonl").write_text("")
+    resume.redo_files(spark, str(corpus), out, ["logs/jsonl/b.jsonl"])
+    assert resume.read_bronze(spark, out).filter("src_file = 'logs/jsonl/b.jsonl'").count() == 0
+    noted = resume.ingested_files(spark, out).filter("src_file = 'logs/jsonl/b.jsonl'")
+    assert rows(noted, "kind", "n_lines") == [("weblog", 0)] and resume.ingested_files(spark, out).count() == 6
 
 
 def test_batch_ingest_agrees_with_stream(spark, corpus, tmp_path):
@@ -128,6 +134,13 @@ def test_pipeline_end_to_end(spark, corpus, tmp_path):
     assert rows(found.filter("stage = 'analyze'").groupBy("code").count()) == [
         ("ARCHETYPE_GROUP_UNMATCHED", 1), ("TEMPLATE_NO_PII_TERMS", 4)
     ]
+    cured = spark.createDataFrame([("<NAME> reviews", "reviews")], "template string, archetype string")
+    pipeline.mask(spark, out, cured)  # the group nothing matched is gone, and so is its anomaly
+    found = spark.read.parquet(f"{out}/anomalies")
+    assert rows(found.filter("stage = 'analyze'").groupBy("code").count()) == [("TEMPLATE_NO_PII_TERMS", 4)]
+    tables.replace_stages(found.filter("stage = 'none'"), f"{out}/anomalies", ["analyze"])
+    assert spark.read.parquet(f"{out}/anomalies").filter("stage = 'analyze'").count() == 0
+    masked = pipeline.mask(spark, out, groups)
     t = dict(tables.read_tables(spark, out, pipeline.TABLES))
     reports = pipeline.reports(t, masked, rates_table(spark, {"standard": {}}))
     for name, df in reports.items():
@@ -139,6 +152,8 @@ def test_pipeline_end_to_end(spark, corpus, tmp_path):
     before = rows(t["search_calls"], "se10", "call_index", "raw_json")
     assert rows(pipeline.reparse(spark, out), "se10", "call_index", "raw_json") == before
     assert "template" not in spark.read.parquet(f"{out}/query_instances").columns
+    assert not os.path.exists(f"{out}/masked_queries")
+    assert spark.read.parquet(f"{out}/anomalies").filter("stage = 'analyze'").count() == 0
 
 
 def test_masked_text_holds_no_live_term(spark, corpus, tmp_path):

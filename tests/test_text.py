@@ -44,6 +44,8 @@ def test_hostname(spark):
 
 def test_capped_list(spark):
     got = column(spark, ["x"], lambda _: tx.capped_list(F.sequence(F.lit(1), F.lit(14))))
+    assert got == [", ".join(map(str, range(1, 15)))]
+    got = column(spark, ["x"], lambda _: tx.capped_list(F.sequence(F.lit(1), F.lit(14)), 12))
     assert got == ["1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, ... (+2 more)"]
 
 
