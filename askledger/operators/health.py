@@ -1,6 +1,6 @@
 """Health of a loaded corpus, as rows (section, metric, key, value).
 
-A table is read once for all its breakdowns and once for all its totals.
+All breakdowns of a table come from one pass, and so do all its totals; a table's sections are separate passes.
 """
 
 from __future__ import annotations
@@ -46,6 +46,17 @@ def keyed(df: DataFrame, section: str, metric: str, key: str, value: str) -> Dat
     )
 
 
+def keyed_cells(df: DataFrame, section: str, key: str, metrics: Sequence[str]) -> DataFrame:
+    """Several values of each keyed row as metric rows, in one pass."""
+    cells = F.array(
+        *[
+            F.struct(F.lit(n).alias("metric"), F.col(key).cast("string").alias("key"), F.col(n).cast("double").alias("value"))
+            for n in metrics
+        ]
+    )
+    return df.select(F.lit(section).alias("section"), F.inline(cells))
+
+
 def breakdowns(df: DataFrame, section: str, dims: Mapping[str, Column]) -> DataFrame:
     """Row counts by each of several dimensions, in one pass over `df`."""
     pairs = F.explode(
@@ -351,8 +362,8 @@ def templating(masked: DataFrame) -> list[DataFrame]:
     ]
 
 
-def health(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Every metric of the tables given; missing tables leave their section out.
+def health(tables: Mapping[str, DataFrame], asked: int = QUESTIONS_ASKED) -> DataFrame:
+    """Every metric of the tables given; missing tables leave their section out. `asked`: questions of a full run.
 
     Known tables: merchants, terms, runs, calls, queries (masked), records, questions, answers,
     citations, votes, anomalies.
@@ -376,16 +387,13 @@ def health(tables: Mapping[str, DataFrame]) -> DataFrame:
             keyed(
                 keys.filter("is_present"), "input", "key_seen", "key", "n_records"
             ),
-            *[
-                keyed(labels.withColumn(n, F.col(n).cast("double")), "labels", n, "key", n)
-                for n in ("is_present", "n_filled", "n_distinct", "fill_share")
-            ],
+            keyed_cells(labels, "labels", "key", ("is_present", "n_filled", "n_distinct", "fill_share")),
             keyed(
                 label_values(m).withColumn("key", F.concat_ws("=", "key", "value")), "labels", "value", "key", "n"
             ),
         ]
     if "questions" in t:
-        out.append(as_metrics(question_count(t["questions"]), "questions"))
+        out.append(as_metrics(question_count(t["questions"], asked), "questions"))
     if "calls" in t:
         out.append(call_breakdowns(t["calls"]))
     if "queries" in t:
@@ -404,11 +412,8 @@ def health(tables: Mapping[str, DataFrame]) -> DataFrame:
             as_metrics(answer_totals(a), "answers"),
             answer_breakdowns(a),
             as_metrics(unreadable_runs(a), "unreadable"),
-            *[
-                keyed(tallies, "agreement", n, "other", n)
-                for n in ("n_agree", "n_differ", "n_not_comparable", "differ_rate")
-            ],
-            as_metrics(answer_sources(a), "answer_sources"),
+            keyed_cells(tallies, "agreement", "other", ("n_agree", "n_differ", "n_not_comparable", "differ_rate")),
+            as_metrics(answer_sources(a, asked), "answer_sources"),
             as_metrics(evidence_links(a), "evidence_links"),
         ]
     if "citations" in t:
