@@ -80,13 +80,19 @@ def anomaly(
     )
 
 
-def from_problems(df: DataFrame, stage: str, column: str = "problems", base: int = 0) -> DataFrame:
+def run_number(*run: Column) -> Column:
+    """A number that keeps the problems of the runs of one line apart, with room for 2^32 of them."""
+    return F.shiftleft(F.pmod(F.xxhash64(*run), F.lit(1 << 30)), 32)
+
+
+def from_problems(df: DataFrame, stage: str, column: str = "problems", base: int | Column = 0) -> DataFrame:
     """Anomaly rows from an array of problems; `base` keeps several arrays of a line apart."""
     keep = [c for c in ("se10", "src_file", "src_line") if c in df.columns]
-    flat = df.select(*keep, F.posexplode(column).alias("_pos", "_p"))
+    base = base if isinstance(base, Column) else F.lit(base)
+    flat = df.select(*keep, base.alias("_base"), F.posexplode(column).alias("_pos", "_p"))
     return anomaly(
         flat, stage, F.col("_p.code"), F.col("_p.detail"), F.col("_p.excerpt"),
-        seq=F.col("_pos") + F.lit(base),
+        seq=F.col("_pos") + F.col("_base"),
     )
 
 

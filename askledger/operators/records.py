@@ -631,13 +631,14 @@ def anomalies(
     return an.union_all(
         [
             an.from_problems(lines, STAGE),
-            an.from_problems(runs, STAGE, base=100),
+            an.from_problems(runs, STAGE, base=an.run_number(F.col("run_key")) + 100),
             an.anomaly(
                 short_runs(runs, records), STAGE, "ANSWER_BLOCK_COUNT",
                 F.format_string(
                     "run %s: %d of %d expected answer blocks; missing Q%s",
                     "run_key", "n_seen", "n_canonical", numbers("missing"),
                 ),
+                seq=an.run_number(F.col("run_key")),
             ),
             an.anomaly(
                 drift, STAGE, "QUESTION_SET_DRIFT",

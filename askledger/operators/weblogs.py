@@ -284,7 +284,7 @@ def runs(shredded: DataFrame) -> DataFrame:
 def duplicate_runs(shredded: DataFrame, min_hot: int = HOT_ROWS) -> DataFrame:
     """Later copies of a run, with the place of the first."""
     keys = ["se10", "run_key"]
-    rows = shredded.filter("is_run").select(*keys, "src_rank", "src_file", "src_line")
+    rows = shredded.filter("is_run").select(*keys, "src_rank", "src_file", "src_line", "ent_pos", "run_pos")
     repeated = (
         rows.groupBy(*keys)
         .agg(F.min(F.struct(*ORDER)).alias("first"), F.count(F.lit(1)).alias("n_copies"))
@@ -322,15 +322,20 @@ def query_instances(calls: DataFrame) -> DataFrame:
 
 def call_anomalies(calls: DataFrame, stage: str) -> DataFrame:
     notes = calls.select(
-        "se10", "src_file", "src_line", "run_id", "call_index", "raw_json",
+        "se10", "src_file", "src_line", "run_key", "call_index", "raw_json",
         F.posexplode("notes").alias("pos", "p"),
     )
     return an.anomaly(
         notes, stage, F.col("p.code"), F.col("p.detail"), F.col("raw_json"),
-        seq=F.col("call_index") * 10 + F.col("pos"),
+        seq=an.run_number(F.col("se10"), F.col("run_key")) + F.shiftleft(F.col("call_index").cast("bigint"), 8) + F.col("pos"),
     )
 
 
+def _place() -> Column:
+    """Number of a run in its line, by entity and run, with room for 33 million problems of the run."""
+    return F.shiftleft(F.coalesce("ent_pos", F.lit(0)).cast("bigint"), 41) + F.shiftleft(F.coalesce("run_pos", F.lit(0)).cast("bigint"), 25)
+
+
 def _all_problems(shredded: DataFrame) -> DataFrame:
     """Every problem found inside a row, with the entity it belongs to, by one explode."""
 
@@ -360,7 +365,7 @@ def _all_problems(shredded: DataFrame) -> DataFrame:
     ]
     flat = shredded.select(
         "src_file", "src_line",
-        (F.coalesce("ent_pos", F.lit(0)) * 1_000_000 + F.coalesce("run_pos", F.lit(0)) * 10_000).alias("base"),
+        _place().alias("base"),
         F.posexplode(F.concat(*[F.coalesce(part, none) for part in parts])).alias("pos", "x"),
     ).select("src_file", "src_line", "x.se10", "x.p", (F.col("base") + F.col("pos")).alias("seq"))
     return an.anomaly(
@@ -376,6 +381,7 @@ def anomalies(shredded: DataFrame, min_hot: int = HOT_ROWS) -> DataFrame:
             "run %s was already read at %s:%d; its calls join that one",
             "run_key", "first.src_file", "first.src_line",
         ),
+        seq=_place(),
     )
     return _all_problems(shredded).unionByName(copies)
 

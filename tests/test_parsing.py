@@ -215,3 +215,13 @@ def test_malformed_records_never_fail(bronze):
     assert records.count() == len(lines)
     for df in (rc.answers(runs), rc.citations(runs), rc.votes(records), an.from_problems(runs, "outputs")):
         df.collect()
+
+
+def test_order_numbers_tell_all_problems_of_a_line_apart(spark, bronze):
+    call = {"action_type": "odd", "query": "a", "queries": ["b"]}
+    line = json.dumps({e: {f"run_{r}": {"web_search_calls": [call] * 4} for r in (0, 1, 2)} for e in ("1", "2")})
+    found = wl.anomalies(wl.shred(bronze([line, line])))
+    again = wl.call_anomalies(wl.search_calls(wl.shred(bronze([line]))), "reparse")
+    for df in (found, again):
+        key = df.groupBy("stage", "code", "src_file", "src_line", "seq").count()
+        assert df.count() > 20 and key.filter("count > 1").count() == 0
