@@ -494,11 +494,15 @@ def customer_terms(s, d):
 
 
 def _records(s, d):
-    return staged(rc.shred_records(jb.output_lines(s, d)).drop("run_parts"))
+    return staged(rc.shred_records(jb.output_lines(s, d)))
 
 
 def _output_runs(s, d):
-    return staged(rc.shred_runs(rc.shred_records(jb.output_lines(s, d))))
+    return _runs_of(_records(s, d))
+
+
+def _runs_of(shredded):
+    return staged(rc.shred_runs(shredded))
 
 
 @query
@@ -537,7 +541,8 @@ def output_votes(s, d):
 
 @query
 def short_runs(s, d):
-    return rc.short_runs(_output_runs(s, d), _records(s, d)).select(
+    shredded = _records(s, d)
+    return rc.short_runs(_runs_of(shredded), shredded).select(
         "src_file", "src_line", "run_key", "n_seen", "n_canonical", F.array_join("missing", ",").alias("missing")
     )
 
@@ -557,15 +562,16 @@ def field_conflicts(s, d):
 
 @query
 def output_anomalies(s, d):
-    runs = _output_runs(s, d)
-    found = rc.anomalies(_records(s, d), runs, en.merchants(_entities(s, d)))
+    shredded = _records(s, d)
+    found = rc.anomalies(shredded, _runs_of(shredded), en.merchants(_entities(s, d)))
     return found.groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("src_file", "src_line").alias("n_lines"))
 
 
 @query
 def ingest_metrics(s, d):
     bronze = an.union_all([jb.weblog_lines(s, d), jb.input_lines(s, d), jb.output_lines(s, d)])
-    return pl.ingest_metrics(bronze, _logs(s, d), _entities(s, d), _records(s, d), _output_runs(s, d))
+    shredded = _records(s, d)
+    return pl.ingest_metrics(bronze, _logs(s, d), _entities(s, d), shredded, _runs_of(shredded))
 
 
 @query
