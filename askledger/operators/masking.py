@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from askledger.functions import text as tx
 from askledger.operators import anomaly as an
-from askledger.operators.skew import HOT_ROWS, spread_join
 
 # The fields a term can belong to.
 FIELDS = ("name", "street", "city", "zip", "phone", "email", "owner")
@@ -23,10 +22,8 @@ HEAD_EXPORT = 200
 MIN_WORD = 4
 THIN_HEAD = 0.5
 
-# Terms of an entity are packed in this many parts; entities whose parts are all small,
-# which a single record can never exceed, are then packed into one row.
-PARTS = 64
-SMALL_PART = 16
+# Terms in one packed row at most, about: an entity with more has several rows.
+PACKED_TERMS = 1024
 
 
 def placeholder(field: Column) -> Column:
@@ -34,61 +31,42 @@ def placeholder(field: Column) -> Column:
     return F.concat(F.lit("<"), F.upper(field), F.lit(">"))
 
 
-def pack_terms(terms: DataFrame, parts: int = PARTS, small: int = SMALL_PART) -> tuple[DataFrame, DataFrame]:
-    """Term arrays per entity: (one row for small entities, `parts` rows for the others).
-
-    Distinct terms are first packed by (entity, hash of term). An entity goes into one array
-    only if each of its parts is small, so the array has at most parts * small terms.
-    The first frame also has a row, without terms, for each entity of the second.
-    """
+def pack_terms(terms: DataFrame, limit: int = PACKED_TERMS) -> DataFrame:
+    """Term arrays per entity: se10, n_parts, terms. An entity has one row for every `limit` distinct terms."""
     term = F.struct((-F.length("value_norm")).alias("rank"), "value_norm", "field")
-    packed = (
-        terms.filter("value_norm <> ''")
-        .groupBy("se10", F.pmod(F.xxhash64("value_norm", "field"), F.lit(parts)).alias("part"))
-        .agg(F.collect_set(term).alias("part_terms"))
-    )
-    fits = F.size("part_terms") <= small
-    single = packed.groupBy("se10").agg(
-        F.bool_and(fits).alias("small"),
-        F.flatten(F.collect_list(F.when(fits, F.col("part_terms")))).alias("all_terms"),
-    ).select("se10", "small", F.when(F.col("small"), F.col("all_terms")).alias("terms"))
-    wide = packed.join(single.filter("not small").select("se10"), "se10", "left_semi").select(
-        "se10", F.col("part_terms").alias("terms")
+    known = terms.filter("value_norm <> ''").select("se10", term.alias("term")).distinct()
+    sizes = known.groupBy("se10").agg(F.ceil(F.count(F.lit(1)) / F.lit(limit)).cast("int").alias("n_parts"))
+    return (
+        known.join(sizes, "se10")
+        .groupBy("se10", "n_parts", F.pmod(F.xxhash64("term"), F.col("n_parts")).alias("part"))
+        .agg(F.collect_list("term").alias("terms"))
+        .drop("part")
     )
-    return single, wide
 
 
 def attach_hits(
-    queries: DataFrame,
-    terms: DataFrame,
-    text: Column,
-    row_key: Sequence[str],
-    min_hot: int = HOT_ROWS,
-    parts: int = PARTS,
-    small: int = SMALL_PART,
+    queries: DataFrame, terms: DataFrame, text: Column, row_key: Sequence[str], limit: int = PACKED_TERMS
 ) -> DataFrame:
     """Queries with `_text`, the own entity's terms found in it (`_hits`) and `_has_terms`.
 
-    Hits are ordered longest first, then by value and field. Queries of an entity with very many
-    terms meet its parts one by one and are put together again by `row_key`, which must
-    identify a query; no entity is ever collected whole.
+    Hits are ordered longest first, then by value and field. Queries meet the packed terms in one join; a hot entity
+    is split there by Spark's own skew handling. Queries of an entity with several parts are put together again by
+    `row_key`, which must identify a query; no entity is ever collected whole.
     """
-    single, wide = pack_terms(terms, parts, small)
-    base = queries.withColumn("_text", text)
+    # The running id keeps the two filters below from moving under the join, so both read the same shuffled rows.
+    met = (
+        queries.withColumn("_text", text)
+        .join(pack_terms(terms, limit), "se10", "left")
+        .withColumn("_joined", F.monotonically_increasing_id())
+    )
     found = F.filter("terms", lambda t: F.contains(F.col("_text"), t["value_norm"]))
     keep = [*queries.columns, "_text"]
-    narrow = (
-        spread_join(base, single, ["se10"], "left", row_key, min_hot)
-        .filter("small is null or small")
-        .select(
-            *keep,
-            F.sort_array(F.coalesce(found, F.array())).alias("_hits"),
-            F.col("small").isNotNull().alias("_has_terms"),
-        )
+    whole = met.filter("n_parts is null or n_parts = 1").select(
+        *keep, F.sort_array(F.coalesce(found, F.array())).alias("_hits"), F.col("n_parts").isNotNull().alias("_has_terms")
     )
     rest = [c for c in keep if c not in row_key]
     by_parts = (
-        spread_join(base, wide, ["se10"], "inner", row_key, min_hot)
+        met.filter("n_parts > 1")
         .select(*keep, found.alias("_hits"))
         .groupBy(*row_key)
         .agg(
@@ -97,7 +75,7 @@ def attach_hits(
         )
         .select(*keep, "_hits", F.lit(True).alias("_has_terms"))
     )
-    return narrow.unionByName(by_parts)
+    return whole.unionByName(by_parts)
 
 
 def mask_text(text: Column, hits: Column) -> Column:

@@ -92,8 +92,22 @@ def test_masking_agrees_with_brute_force_for_wide_and_hot_entities(spark):
         [(e, f, v) for e, ts in terms.items() for f, v in ts], "se10 string, field string, value_norm string"
     )
     groups = spark.createDataFrame([], "template string, archetype string")
-    masked = mk.mask_queries(q, t, groups, ["se10", "q_ord"], min_hot=50, parts=8, small=4)
+    masked = mk.mask_queries(q, t, groups, ["se10", "q_ord"], limit=16)
     got = {(r.se10, r.q_ord): (r.template, r.n_placeholders, r.has_terms) for r in masked.collect()}
     assert len(got) == len(queries)
     for e, i, text in queries:
         assert got[e, i] == (*brute_mask(text, terms[e]), bool(terms[e]))
+
+
+def test_queries_are_scanned_and_shuffled_once_for_masking(spark, tmp_path):
+    q = spark.range(100).selectExpr("cast(id % 7 as string) se10", "cast(id as int) q_ord", "'a b' query_text", "true is_billed_query")
+    q.write.parquet(f"{tmp_path}/q")
+    t = spark.createDataFrame([("1", "name", "a")], "se10 string, field string, value_norm string")
+    masked = mk.mask_queries(spark.read.parquet(f"{tmp_path}/q"), t, spark.createDataFrame([], "template string, archetype string"), ["se10", "q_ord"])
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = masked._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    reads = [line for line in plan.splitlines() if "FileScan parquet" in line and "q_ord" in line]
+    assert len(reads) <= 2 and ("ReusedExchange" in plan or "Broadcast" in plan)
