@@ -11,6 +11,7 @@ from askledger.operators import anomaly as an
 from askledger.operators import defects as df_
 from askledger.operators import entities as en
 from askledger.operators import health as hl
+from askledger.operators import insight as ins
 from askledger.operators import masking as mk
 from askledger.operators import records as rc
 from askledger.operators import runs as rn
@@ -567,6 +568,39 @@ def output_anomalies(s, d):
     return found.groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("src_file", "src_line").alias("n_lines"))
 
 
+@query
+def fullest_records(s, d):
+    kept = ins.fullest_records(rc.output_records(_records(s, d)), ["src_rank", "src_file", "src_line"])
+    return kept.select("se10", "output_id", "n_answer_runs")
+
+
+@query
+def answer_spread(s, d):
+    return ins.answer_spread(b.answers(s, d))
+
+
+@query
+def calls_by_position(s, d):
+    return ins.calls_by_position(b.calls(s, d), b.citations(s, d))
+
+
+@query
+def calls_per_entity(s, d):
+    return ins.calls_per_entity(b.calls(s, d))
+
+
+@query
+def usage_capped_at_two(s, d):
+    used = ins.capped_usage(b.runs(s, d), b.calls(s, d), b.call_queries(s, d), ["tier"], 2)
+    return us.with_cost(used, b.rates(s))
+
+
+@query
+def label_value(s, d):
+    labels = b.table(s, d, "part").selectExpr("cast(p_partkey as string) as se10", "p_size % 2 as label")
+    return ins.label_value(b.answers(s, d), labels)
+
+
 @query
 def ingest_metrics(s, d):
     bronze = an.union_all([jb.weblog_lines(s, d), jb.input_lines(s, d), jb.output_lines(s, d)])

@@ -309,6 +309,34 @@ select count(*) n_runs, sum(input_tokens)::bigint input_tokens, sum(cache_read):
   sum(reasoning)::bigint / nullif(sum(output_tokens)::bigint, 0) reasoning_share from b_runs""")
     out["tier_mix"] = _with(B_RUNS, select="""
 select coalesce(service_tier, '<unset>') tier, count(*) n from b_runs group by 1""")
+    # --- further reads
+    said = _answer("prose")
+    out["answer_spread"] = _with(B_ANSWERS, select=f"""
+select qnum, count(*) n_records, round(avg(most / n), 6) majority_share,
+  round(avg(greatest(log2(n) - clogc / n, 0)), 6) entropy, count(*) filter (most * 2 > n) n_majority
+from (select qnum, output_id, sum(c) n, max(c) most, sum(c * log2(c)) clogc from (
+    select qnum, output_id, norm(coalesce({said}, '')) said, count(*) c from b_answers where run_id is not null group by all)
+  group by all) group by qnum""")
+    out["calls_by_position"] = _with(B_CALLS, B_CITATIONS, select="""
+, cited as (select distinct se10, url from b_citations where url <> '')
+select *, n_cited / nullif(n_opened, 0) cited_share from (
+  select call_index, count(*) n_calls, count(*) filter (action_type = 'search') n_search,
+    count(*) filter (action_type = 'open_page') n_open_page, count(*) filter (action_type = 'find_in_page') n_find_in_page,
+    count(*) filter (action_type = 'open_page' and b_calls.url <> '') n_opened,
+    count(*) filter (action_type = 'open_page' and cited.url is not null) n_cited
+  from b_calls left join cited using (se10, url) group by call_index)""")
+    out["calls_per_entity"] = _with(B_CALLS, select="""
+select count(*) n_entities, sum(n)::bigint n_calls, quantile_cont(n, 0.5) median_calls, quantile_cont(n, 0.9) p90_calls,
+  max(n) most_calls from (select count(*) n from b_calls group by se10)""")
+    capped = B_CALLS.replace("from lineitem", "from lineitem where l_linenumber <= 2", 1)
+    out["usage_capped_at_two"] = _with(B_RUNS, capped, B_RATES, tier, select="select * from priced")
+    out["label_value"] = _with(B_ANSWERS, select=f"""
+select *, null_rate - said_rate gap from (
+  select *, n_null_labelled / nullif(n_null, 0) null_rate, n_said_labelled / nullif(n_said, 0) said_rate from (
+    select qnum, count(*) filter (nul) n_null, count(*) filter (nul and label = 1) n_null_labelled,
+      count(*) filter (not nul) n_said, count(*) filter (not nul and label = 1) n_said_labelled
+    from (select qnum, lower(trim(coalesce({said}, ''))) = 'null' nul, p_size % 2 label
+      from b_answers join part on se10 = cast(p_partkey as varchar)) group by qnum))""")
     # --- third run
     for name, source in (("third_run", "prose"), ("third_run_ce", "ce")):
         out[name] = _with(B_ANSWERS, _third(source), select="select * from third")

@@ -242,6 +242,9 @@ select 1 qnum, 'What is sold by ' || source || '?' text from seed union all sele
     out["duplicate_records"] = outputs("""
 select se10, src_file, src_line, n_copies, false identical from rec where rn > 1""", *with_input)
     out["field_conflicts"] = outputs("select output_id, has_input, clashes from clash", *with_input)
+    out["fullest_records"] = outputs("""
+select se10, output_id, n n_answer_runs from (select *, row_number() over (partition by se10 order by n desc, src_file desc, src_line desc) place
+  from (select *, case when said then 2 else 0 end n from rec)) where place = 1""", *with_input)
     out["output_anomalies"] = outputs("""
 , found as (
   select 'BAD_JSON_LINE' code, src_file, src_line from doc where i % 50 = 48
