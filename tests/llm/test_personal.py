@@ -1,4 +1,6 @@
 import hashlib
+import math
+import random
 import re
 
 import pytest
@@ -60,6 +62,52 @@ def test_terms_that_give_an_entity_away(documents):
     assert all(found[k].spans == "" for k in range(10, 40)) and found[50].spans.count(":") == 2
 
 
+def brute_force_terms(rows):
+    """Term spans of every document by the definitions, plainly."""
+    seen, holds, words, near = {}, {}, {}, {}
+    for i, text in rows:
+        spans = brute_force(text)
+        found = [(m.start(), m.end(), m.group().lower()) for m in re.finditer(r"[^\W\d_]{3,}", text)]
+        for w in {w for _, _, w in found}:
+            words[w] = words.get(w, 0) + 1
+        free = [w for w in found if not any(a < w[1] and w[0] < z for a, _, _, z in spans)]
+        for a, _, kind, z in spans:
+            value = text[a:z].lower() if kind == "email" else text[a:z] if kind == "ip" else re.sub("[^0-9]", "", text[a:z])
+            holds.setdefault((kind, value), set()).add(i)
+            before, after = [w for w in free if w[0] < a], [w for w in free if w[0] >= a]
+            for start, end, w in before[-personal.REACH :] + after[: personal.REACH]:
+                seen.setdefault(((kind, value), w), set()).add(i)
+                near.setdefault(i, set()).add(((kind, value), w, start, end))
+    out = {}
+    for i, places in near.items():
+        for e, w, start, end in places:
+            n, together, alone = len(rows), len(seen[e, w]), len(holds[e])
+            if together >= personal.SUPPORT and alone < n:
+                told = math.log2(together * n / (alone * words[w])) / -math.log2(alone / n)
+                kind = "removed" if told >= personal.REMOVE else "general" if told >= personal.GENERALISE else None
+                if kind:
+                    out.setdefault(i, {})[start, end] = max(kind, out.get(i, {}).get((start, end), ""))
+    return out
+
+
+def test_terms_match_brute_force(documents, prose):
+    rng = random.Random(2)
+    rows = []
+    for k in range(80):
+        words = prose(rng.randint(5, 60), k).split()
+        for _ in range(k % 3):
+            e = rng.choice(["a1@mail.example", "10.0.0.7", "+1 (234) 555-7713", "b2@mail.example"])
+            at = rng.randrange(len(words))
+            words[at:at] = [rng.choice(["Zeb", "the", "Quux"]), e, rng.choice(["Orla", "an"])]
+        rows.append((k, " ".join(words)))
+    found = {r.doc_id: r.spans for r in personal.digest(personal.find(documents(rows))).collect()}
+    expected = brute_force_terms(rows)
+    assert sum(map(len, expected.values())) > 20
+    for i, spans in found.items():
+        mine = {(int(a), int(z)): n for n, a, z in (s.split(":") for s in spans.split(",") if s) if n in ("removed", "general")}
+        assert mine == expected.get(i, {})
+
+
 def test_odd_rows_and_sanitised_text(documents, odd_rows):
     found = personal.digest(personal.find(documents(odd_rows))).collect()
     assert sorted(str(r.doc_id) for r in found) == sorted(str(r[0]) for r in odd_rows)
