@@ -6,15 +6,20 @@ import glob
 import io
 import json
 import os
+import sys
 import zipfile
 from collections.abc import Iterator
 from pathlib import PurePosixPath
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 BATCH = 4096
 
+# The source's classes go to the workers by value: they need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 class Member(InputPartition):
     """One member of one archive."""
@@ -91,12 +96,14 @@ class ZippedLinesReader(DataSourceReader):
 class ZippedLines(DataSource):
     """format("zipped_lines"): path = directory of archives, subdir = directory inside them."""
 
+    SCHEMA = "src_file string, src_line bigint, value string"
+
     @classmethod
     def name(cls) -> str:
         return "zipped_lines"
 
     def schema(self) -> str:
-        return "src_file string, src_line bigint, value string"
+        return self.SCHEMA
 
     def reader(self, schema) -> ZippedLinesReader:
         return ZippedLinesReader(self.options)
@@ -105,8 +112,13 @@ class ZippedLines(DataSource):
 def zipped_lines(spark: SparkSession, root: str, subdir: str, skip: str = "[]") -> DataFrame:
     """Lines of the archives in a directory that every executor can read as a local path.
 
-    `skip` is a JSON list of provenance names to leave out.
+    `skip` is a JSON list of provenance names to leave out. Without any archive no Python source is started.
     """
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/*.zip")
+    if not spark._jvm.org.apache.hadoop.fs.FileUtil.stat2Paths(
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where)
+    ):
+        return spark.createDataFrame([], ZippedLines.SCHEMA)
     spark.dataSource.register(ZippedLines)
     reader = spark.read.format("zipped_lines").option("subdir", subdir).option("skip", skip)
     return reader.load(root.removeprefix("file://"))
