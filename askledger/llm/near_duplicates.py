@@ -6,9 +6,11 @@
    pairs as members. Pairs are first estimated from the registers (corrected for accidental collisions), those at
    `LEAST_ESTIMATE` or more are checked on the full sets.
 3. Components of the confirmed links. What a star can miss is a link between members of one bucket that are still in
-   different components. Each pair of components that meet in a bucket is compared completely: the smaller one's
-   documents against the larger one's, in blocks of bounded size, registers first and then full sets; a block reports
-   at most one link for each document of the smaller side, never pairs.
+   different components. Such components gather in camps: each follows the heaviest component that it meets in a bucket,
+   and in turn the one that that follows.
+   Camps that meet in a bucket (and the followers of one camp among themselves) are compared completely, but not a
+   component with itself: in blocks of bounded size, registers first and then full sets. A block reports at most one
+   link for each component in it, never pairs.
 4. Components again, over components.
 
 A pair at the threshold is missed with probability (1 - 0.75^5)^51, about one in a million, smaller for closer pairs.
@@ -34,9 +36,10 @@ from askledger.llm.graph import components
 from askledger.llm.words import WordHashes
 
 PERCENT = 75
-LEAST_ESTIMATE = 0.6
+LEAST_ESTIMATE = 0.62
 #: Shingles of one side of a block comparison.
 BLOCK_SHINGLES = 1 << 18
+JUMPS = 2
 
 
 def shingle_sets(texts: list[str | None], hashes: WordHashes) -> list[np.ndarray]:
@@ -101,26 +104,31 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _between(left: pa.Table, right: pa.Table) -> pa.Table:
-    """Links between a block of documents of smaller components and a block of one larger component."""
-    if not left.num_rows or not right.num_rows:
-        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-    own = left.column("own").to_pylist()
-    sizes, others = np.array(left.column("n").to_pylist()), np.array(right.column("n").to_pylist())
-    mine, theirs = _registers_of(left.column("regs").to_pylist()), _registers_of(right.column("regs").to_pylist())
-    sets = [np.frombuffer(x, np.uint64) for x in right.column("shingles").to_pylist()]
-    found: set[tuple[int, int]] = set()
-    target = right.column("comp")[0].as_py()
-    for k, mark in enumerate(left.column("shingles").to_pylist()):
-        if (own[k], target) in found:
-            continue
-        near = np.flatnonzero((np.minimum(others, sizes[k]) * 100 >= PERCENT * np.maximum(others, sizes[k])))
-        if not len(near):
-            continue
-        estimate = sig.estimated_jaccard(mine[k][None, :], theirs[near], np.full(len(near), sizes[k]), others[near])
-        near = near[estimate >= LEAST_ESTIMATE]
-        one = np.frombuffer(mark, np.uint64)
-        if any(linked(len(np.intersect1d(one, sets[j], assume_unique=True)), len(one), len(sets[j])) for j in near):
-            found.add((own[k], target))
+    """Links between documents of two blocks that lie in different components; a spanning set of them is enough."""
+    found: list[tuple[int, int]] = []
+    if left.num_rows and right.num_rows:
+        ids, comps = right.column("id").to_numpy(), right.column("comp").to_numpy()
+        sizes, regs = right.column("n").to_numpy(), _registers_of(right.column("regs").to_pylist())
+        sets = [np.frombuffer(x, np.uint64) for x in right.column("shingles").to_pylist()]
+        own = {c: left.column(c).to_pylist() for c in ("id", "comp", "n", "shingles", "same")}
+        mine = _registers_of(left.column("regs").to_pylist())
+        names, root = np.unique(np.concatenate((comps, np.array(own["comp"], np.int64))), return_inverse=True)
+        there, here = root[: len(comps)], root[len(comps) :]
+        joined = np.arange(len(names))  # the smallest component each one is known to reach
+        for k in range(left.num_rows):
+            n, one = own["n"][k], np.frombuffer(own["shingles"][k], np.uint64)
+            open_ = (joined[there] != joined[here[k]]) & (100 * np.minimum(sizes, n) >= PERCENT * np.maximum(sizes, n))
+            if own["same"][k]:  # both of one camp: each pair once
+                open_ &= ids > own["id"][k]
+            near = np.flatnonzero(open_)
+            if len(near):
+                estimate = sig.estimated_jaccard(mine[k][None, :], regs[near], n, sizes[near])
+                near = near[estimate >= LEAST_ESTIMATE]
+            for j in near:
+                a, b = joined[here[k]], joined[there[j]]
+                if a != b and linked(len(np.intersect1d(one, sets[j], assume_unique=True)), n, sizes[j]):
+                    found.append((int(names[a]), int(names[b])))
+                    joined[joined == max(a, b)] = min(a, b)
     return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
 
@@ -152,23 +160,38 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     meeting = members.join(within, "id").select("key", "comp").distinct()
     mixed = meeting.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("key")
     meeting = meeting.join(mixed, "key")
-    pairs = meeting.select("key", F.col("comp").alias("x")).join(meeting.select("key", F.col("comp").alias("y")), "key").where("x < y").select("x", "y").distinct()
     weights = within.join(sets.select("id", "n"), "id").groupBy("comp").agg(F.sum("n").alias("weight"))
-    weighed = pairs.join(weights.toDF("x", "wx"), "x").join(weights.toDF("y", "wy"), "y")
-    heavier = F.col("wx") >= F.col("wy")
-    turned = stored(
-        weighed.select(F.when(heavier, F.col("y")).otherwise(F.col("x")).alias("own"), F.when(heavier, F.col("x")).otherwise(F.col("y")).alias("comp"), F.least("wx", "wy").alias("small"), F.greatest("wx", "wy").alias("large")),
-        "meeting",
+    weighed = meeting.join(weights, "comp")
+    heaviest = weighed.groupBy("key").agg(F.max(F.struct("weight", (-F.col("comp")).alias("minus"))).alias("top"))
+    anchors = weighed.join(heaviest, "key").groupBy("comp").agg((-F.max("top")["minus"]).alias("anchor"))
+    for _ in range(JUMPS):  # follow the one that one's anchor follows: chains of small components end in one camp
+        further = anchors.select(F.col("comp").alias("anchor"), F.col("anchor").alias("next"))
+        anchors = anchors.join(further, "anchor").select("comp", F.col("next").alias("anchor"))
+    anchors = stored(anchors.select("comp", F.struct("anchor", (F.col("comp") == F.col("anchor")).alias("core")).alias("camp")), "camps")
+
+    full = within.join(anchors, "comp").join(sets, "id").select("id", "comp", "camp", "n", "regs", "shingles")
+    weight = full.groupBy("camp").agg(F.sum("n").alias("w"))
+    met_in = meeting.join(anchors, "comp").select("key", "camp").distinct()
+    pairs = (
+        met_in.withColumnRenamed("camp", "x").join(met_in.withColumnRenamed("camp", "y"), "key")
+        .where("x < y OR x = y AND NOT x.core").select("x", "y").distinct()
+        .join(weight.toDF("x", "wx"), "x").join(weight.toDF("y", "wy"), "y")
     )
-    parts = turned.groupBy("comp").agg(F.ceil(F.max("large") / BLOCK_SHINGLES).cast("int").alias("nb"), F.ceil(F.sum("small") / BLOCK_SHINGLES).cast("int").alias("nl"))
-    full = within.join(sets, "id")
-    where = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    left = (
-        turned.select("own", "comp").join(parts, "comp").join(full.toDF("id", "own", "n", "regs", "shingles"), "own")
-        .select("comp", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("block"), where("nl").alias("lot"), "own", "n", "regs", "shingles")
+    # The heavier camp of a pair is the host. A host's guests come together, so that its documents move once.
+    first_hosts = F.col("wx") >= F.col("wy")
+    hosted = stored(
+        pairs.select(F.when(first_hosts, F.col("x")).otherwise(F.col("y")).alias("host"), F.when(first_hosts, F.col("y")).otherwise(F.col("x")).alias("guest"), F.greatest("wx", "wy").alias("wh"), F.least("wx", "wy").alias("wg")),
+        "hosts",
     )
-    right = full.toDF("id", "comp", "n", "regs", "shingles").join(parts, "comp").select("comp", where("nb").alias("block"), F.explode(F.sequence(F.lit(0), F.col("nl") - 1)).alias("lot"), "n", "regs", "shingles")
-    key = ["comp", "block", "lot"]
+    pieces = lambda w: F.ceil(w / BLOCK_SHINGLES).cast("int")
+    parts = hosted.groupBy("host").agg(pieces(F.max("wh")).alias("np"), pieces(F.sum("wg")).alias("nl"))
+    part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    guests = hosted.select("host", "guest").join(parts, "host").join(full.toDF("id", "comp", "guest", "n", "regs", "shingles"), "guest")
+    left = guests.select("host", every("np").alias("part"), part("nl").alias("lot"), F.expr("host = guest").alias("same"), "id", "comp", "n", "regs", "shingles")
+    hosts = full.toDF("id", "comp", "host", "n", "regs", "shingles").join(parts, "host")
+    right = hosts.select("host", part("np").alias("part"), every("nl").alias("lot"), "id", "comp", "n", "regs", "shingles")
+    key = ["host", "part", "lot"]
     between = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_between, "a long, b long")
     second = stored(components(between), "components").toDF("comp", "last")
 
@@ -184,3 +207,20 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     """The documents that stay when one of each component does, all columns kept."""
     gone = near_duplicates(docs, id_column, text_column).where("NOT kept").select(F.col("doc_id").alias(id_column)).distinct()
     return docs.join(gone, id_column, "left_anti").select(*docs.columns)
+
+
+#: The same result in SQL: all pairs that share a shingle, and everything reachable. For small tables.
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN coalesce(len(ws), 0) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct([array_to_string(ws[i:i+4], ' ') FOR i IN range(1, len(ws) - 3)]) END AS shingles FROM w),
+e AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM s),
+l AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b USING (shingle) WHERE a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+r AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT doc_id, len(shingles)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
+FROM s JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a) USING (doc_id)
+"""

@@ -74,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_near_dedup": near_duplicates.ORACLE_SQL,
     "op2_tool_calls": chat.ORACLE_SQL,
     "op10_secrets": secrets.oracle_sql(),
 }
