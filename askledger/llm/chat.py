@@ -6,9 +6,10 @@ Input is a table of calls (conv_id, call_id, position, name, arguments as JSON t
 plus a count, before they meet the calls in an equi-join; nothing else is gathered by conversation, so a conversation of
 any length is spread like all others.
 
-The topological level of a call is 0 without dependencies, else one more than the highest among them. Levels are found in
-rounds, each resolving the calls whose dependencies are all resolved, over rows of two identifiers that are checkpointed;
-there are as many rounds as the longest chain has calls. (level, position, call_id) is the order of a conversation's calls.
+The topological level of a call is 0 without dependencies, else one more than the highest among them. Calls with
+one dependency form chains, whose lengths are found by doubling, in as many rounds as the length has binary digits; calls
+with several are resolved in rounds after that, as many as such calls follow one another. Rounds go over rows of two
+identifiers and are checkpointed. (level, position, call_id) is the order of a conversation's calls.
 
 Canonical JSON has no spaces, sorts the keys of every object and leaves null fields out.
 
@@ -65,21 +66,54 @@ def argument_errors(name: Column, arguments: Column, schemas: Schemas) -> Column
     return F.array_sort(F.when(keys.isNull(), unread).when(~F.coalesce(known, F.lit(False)), unknown).otherwise(fitting))
 
 
+def _chains(single: DataFrame) -> DataFrame:
+    """call_id, to, away: where a chain of calls with one dependency each ends, and how many steps away.
+
+    Every round doubles the steps. A call that still moves after more steps than there are calls is caught in a cycle.
+    """
+    jump = single.select("call_id", F.col("on").alias("to"), F.lit(1).cast("long").alias("away"), F.lit(True).alias("moved")).checkpoint()
+    reach, calls = 1, jump.count()
+    while reach <= 2 * calls and not jump.where("moved").isEmpty():
+        further = jump.select(F.col("call_id").alias("to"), F.col("to").alias("next"), F.col("away").alias("more"))
+        jump = jump.join(further, "to", "left").select(
+            "call_id", F.coalesce("next", "to").alias("to"), (F.col("away") + F.coalesce("more", F.lit(0))).alias("away"), F.col("next").isNotNull().alias("moved")
+        ).checkpoint()
+        reach *= 2
+    return jump.where("NOT moved").drop("moved")
+
+
 def levels(ids: DataFrame, needs: DataFrame) -> DataFrame:
-    """call_id, level: null for calls on a cycle or behind one. `needs` (call_id, on) names existing calls only."""
+    """call_id, level: null for calls on a cycle or behind one. `needs` (call_id, on) names existing calls only.
+
+    Calls with one dependency form chains, measured by doubling; what stays are calls with several dependencies. They are
+    resolved in rounds, each taking those whose chains all end at resolved calls.
+    """
     spark = ids.sparkSession
     spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    open_ = needs.distinct().checkpoint()
-    done = ids.join(open_.select("call_id").distinct(), "call_id", "left_anti").select("call_id", F.lit(0).alias("level")).checkpoint()
+    needs = needs.distinct().checkpoint()
+    degree = needs.groupBy("call_id").agg(F.count("*").alias("n"), F.min("on").alias("on"))
+    chain = _chains(degree.where("n = 1").select("call_id", "on"))
+    roots = ids.select("call_id").join(degree.select("call_id"), "call_id", "left_anti").select("call_id", F.lit(0).cast("long").alias("level"))
+    single = degree.where("n = 1").select("call_id")
+    several = needs.join(degree.where("n > 1").select("call_id"), "call_id", "left_semi")
+    ends = (
+        several.join(chain.withColumnRenamed("call_id", "on"), "on", "left")
+        .join(single.select(F.col("call_id").alias("on"), F.lit(True).alias("is_single")), "on", "left")
+        # a chain without an end leads into a cycle: a place no call has keeps it open
+        .select("call_id", F.when(F.col("is_single") & F.col("to").isNull(), F.lit(None)).otherwise(F.coalesce("to", "on")).alias("to"), F.coalesce("away", F.lit(0)).alias("away"))
+    )
+    open_ = ends.checkpoint()
+    done = roots.checkpoint()
     fresh = done
     while not open_.isEmpty() and not fresh.isEmpty():
-        met = open_.join(done.select(F.col("call_id").alias("on"), "level"), "on", "left")
-        ready = met.groupBy("call_id").agg(F.count("*").alias("n"), F.count("level").alias("met"), (F.max("level") + 1).alias("level"))
+        met = open_.join(done.select(F.col("call_id").alias("to"), "level"), "to", "left")
+        ready = met.groupBy("call_id").agg(F.count("*").alias("n"), F.count("level").alias("met"), (F.max(F.col("level") + F.col("away")) + 1).alias("level"))
         fresh = ready.where("n = met").select("call_id", "level").checkpoint()
         done = done.union(fresh).checkpoint()
         open_ = open_.join(fresh.select("call_id"), "call_id", "left_anti").checkpoint()
-    waiting = open_.select("call_id").distinct().select("call_id", F.lit(None).cast("int").alias("level"))
-    return done.union(waiting)
+    along = chain.join(done.select(F.col("call_id").alias("to"), "level"), "to").select("call_id", (F.col("level") + F.col("away")).alias("level"))
+    known = done.union(along)
+    return ids.select("call_id").join(known, "call_id", "left").select("call_id", F.col("level").cast("int"))
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:

@@ -35,6 +35,15 @@ def test_links_orders_checks_and_serialises(spark):
     assert (None, "no_id", 1) in found and ("a", "repeated", 9) in found and found["zz", "orphan", 1].valid and (None, "orphan", 2) in found
 
 
+def test_levels_of_long_chains_and_joins_of_them(spark):
+    chain = [(f"c{k}", [f"c{k - 1}"] if k else []) for k in range(300)]
+    more = [("m", ["c7", "c250", "x"]), ("x", []), ("n", ["m"]), ("o", ["n", "c2"]), ("p", ["q", "c1"]), ("q", ["r"]), ("r", ["q"]), ("s", ["p"])]
+    found = linked(spark, [(1, i, 0, "add", "{}", on) for i, on in chain + more], [])
+    level = {k[0]: r.level for k, r in found.items()}
+    assert all(level[f"c{k}"] == k for k in range(300))
+    assert (level["m"], level["n"], level["o"], level["x"]) == (251, 252, 253, 0) and all(level[k] is None for k in "pqrs")
+
+
 def test_empty(spark):
     assert linked(spark, [], []) == {}
 
