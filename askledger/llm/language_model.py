@@ -2,11 +2,14 @@
 
 Building. Every task counts the n-grams of its texts and sends them, as sorted hash lists, to the segments of the filter
 that own those hashes. A segment sums the lists of all tasks and sets its bits: an n-gram with count c is inserted once
-for each level 1 .. 1 + floor(log2 c). The finished segments form one filter of at most `MAX_BITS` bits (64 MB), the
-proven bound on what is broadcast; it grows with the corpus up to there, beyond it the error rate grows instead
-(no n-gram is left out). Segments are as many as the corpus needs for each to fit in one task.
-
-Scoring. Workers probe levels 1, 2, ... of an n-gram until one is missing; level q stands for a count of about 1.5 * 2^(q-1).
+for each level 1 .. 1 + floor(log2 c). Segments are as many as the corpus needs for each to fit in one task, and each has
+`BITS` to 2 `BITS` bits for every insertion, so at most 1 - exp(-2 / BITS) = 11.8 % of its bits are set and an n-gram that
+was never seen passes a level with probability 1.4 % at most, whatever the size of the corpus. Inside a segment n-grams
+are told apart by 32 bits, which adds less than 0.2 % (`SEGMENT_BYTES` of text hold under 2^23 n-grams). The segments stay
+a table; nothing that grows with the corpus is collected or broadcast.
+
+Scoring. Texts are read in slices. A slice sends its distinct n-grams to their segments, which probe levels 1, 2, ...
+until one is missing, and the levels come back to the slice; level q stands for a count of about 1.5 * 2^(q-1).
 With those counts c~,
 
     p(w | v) = 0.6 * min(1, c~(v w) / c~(v)) + 0.4 * (c~(w) + 0.1) / (N + 0.1 (V + 1))
@@ -22,23 +25,24 @@ every token is unknown; other columns are ignored.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from askledger.llm.common import sliced, stored
 from askledger.llm.words import WordHashes, mixed
 
-MAX_BITS = 1 << 29
-BITS_PER_WORD = 12
-SEGMENT_BYTES = 16 << 20
+BITS = 16
+SEGMENT_BYTES = 8 << 20
 FREQUENT = 1 << 20
 #: Bytes of text that a task counts or scores at a time.
-COUNT_BYTES, SCORE_BYTES = 8 << 20, 3 << 20
+COUNT_BYTES, SCORE_BYTES = 8 << 20, 8 << 20
 PROBES = 2
 WEIGHT = 0.6
 ADDED = 0.1
@@ -85,11 +89,27 @@ class Filter:
     def segment_of(hashes: np.ndarray, segments: int) -> np.ndarray:
         return hashes >> np.uint64(64 - (segments.bit_length() - 1))
 
+    @staticmethod
+    def local(hashes: np.ndarray, segments: int) -> np.ndarray:
+        """The 32 bits after those that choose the segment."""
+        return ((hashes << np.uint64(segments.bit_length() - 1)) >> np.uint64(32)).astype(np.uint32)
+
+    @classmethod
+    def of_counts(cls, local: np.ndarray, counts: np.ndarray) -> Filter:
+        """One segment that holds these n-grams, sized by its insertions."""
+        level = np.floor(np.log2(np.maximum(counts, 1))).astype(np.int64) + 1
+        bits = 1 << max(6, (BITS * int(level.sum()) - 1).bit_length())
+        there, grams = np.zeros(bits, bool), local.astype(np.uint64)
+        for k in range(1, int(level.max(initial=0)) + 1):
+            for place in cls.places(grams[level >= k], k, bits):
+                there[place] = True
+        return cls(np.packbits(there, bitorder="little"), bits, 1)
+
     def levels(self, hashes: np.ndarray) -> np.ndarray:
         """How many levels of each n-gram are present."""
         found = np.zeros(len(hashes), np.int64)
         alive = np.arange(len(hashes))
-        at = self.segment_of(hashes, self.segments) * np.uint64(self.segment_bits)
+        at = self.segment_of(hashes, self.segments) * np.uint64(self.segment_bits) if self.segments > 1 else np.zeros(len(hashes), np.uint64)
         for level in range(1, 65):
             there = np.ones(len(alive), bool)
             for place in self.places(hashes[alive], level, self.segment_bits):
@@ -107,9 +127,9 @@ def counts_of(levels: np.ndarray) -> np.ndarray:
     return np.where(levels <= 1, levels, 1.5 * np.exp2(levels - 1))
 
 
-def _summed(blobs: list[bytes], numbers: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes in order and the sum of their counts over several sorted lists."""
-    hashes = np.frombuffer(b"".join(blobs), np.uint64)
+def _summed(blobs: list[bytes], numbers: list[bytes], kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes in order and the sum of their counts over several lists."""
+    hashes = np.frombuffer(b"".join(blobs), kind)
     counts = np.frombuffer(b"".join(numbers), np.uint32)
     order = np.argsort(hashes, kind="stable")
     hashes, counts = hashes[order], counts[order].astype(np.int64)
@@ -119,70 +139,65 @@ def _summed(blobs: list[bytes], numbers: list[bytes]) -> tuple[np.ndarray, np.nd
 
 @dataclass
 class Model:
-    filter: Filter
+    #: segment, bits
+    filter: DataFrame | None
+    segments: int
     frequent: np.ndarray
     frequent_counts: np.ndarray
     total: int
     distinct: int
-    rare: DataFrame
+    rare: DataFrame | None
 
     def log_probability(self, count: np.ndarray) -> np.ndarray:
         return np.log10((count + ADDED) / (self.total + ADDED * (self.distinct + 1)))
 
 
+def by_segment(grams: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The segment of each n-gram, the order that brings them together, and where each segment begins in it."""
+    owner = Filter.segment_of(grams, segments).astype(np.uint16 if segments <= 1 << 16 else np.uint32)
+    order = np.argsort(owner, kind="stable")
+    return owner, order, np.searchsorted(owner[order], np.arange(segments + 1))
+
+
 def train(docs: DataFrame, usable: Column, text_column: str = "text") -> Model:
     """Count all texts where `usable` holds; keep counts in a filter, exact token counts beside it in a table."""
-    spark = docs.sparkSession
     texts = docs.where(usable).select(F.col(text_column).alias("text"))
     size = texts.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     segments = 1 << max(4, math.ceil(math.log2(max(1, size / SEGMENT_BYTES))))
-    bits = min(MAX_BITS, 1 << math.ceil(math.log2(max(1 << 16, size / 6 * BITS_PER_WORD))))
-    segment_bits = max(64, bits // segments)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for b in sliced(batches, 0, COUNT_BYTES):
             tokens, before, _ = tokens_of(*hashes.of(b.column(0).to_pylist()))
-            for kind, grams in (("token", tokens), ("gram", one_gram(tokens)), ("gram", two_gram(before, tokens))):
-                values, n = np.unique(grams, return_counts=True)
-                n = n.astype(np.uint32)
-                cuts = np.searchsorted(Filter.segment_of(values, segments), np.arange(segments + 1))
-                parts = [(s, a, z) for s, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if z > a]
-                yield pa.record_batch(
-                    [
-                        pa.array([s for s, _, _ in parts], pa.int64()), pa.array([kind] * len(parts), pa.string()),
-                        pa.array([values[a:z].tobytes() for _, a, z in parts], pa.binary()), pa.array([n[a:z].tobytes() for _, a, z in parts], pa.binary()),
-                    ],
-                    ["segment", "kind", "hashes", "counts"],
-                )
+            ones, n = np.unique(tokens, return_counts=True)
+            _, order, cut = by_segment(one_gram(ones), segments)
+            ones, n = ones[order], n[order].astype(np.uint32)
+            pairs, m = np.unique(two_gram(before, tokens), return_counts=True)
+            at = np.searchsorted(Filter.segment_of(pairs, segments), np.arange(segments + 1))
+            pairs, m = Filter.local(pairs, segments), m.astype(np.uint32)
+            own = [s for s in range(segments) if cut[s + 1] > cut[s] or at[s + 1] > at[s]]
+            part = lambda x, c: pa.array([x[c[s] : c[s + 1]].tobytes() for s in own], pa.binary())  # noqa: E731, B023
+            yield pa.record_batch([pa.array(own, pa.int64()), part(ones, cut), part(n, cut), part(pairs, at), part(m, at)], ["segment", "ones", "n", "pairs", "m"])
 
     def build(table: pa.Table) -> pa.Table:
-        kinds, blobs, numbers = (table.column(c).to_pylist() for c in ("kind", "hashes", "counts"))
-        pick = lambda kind, values: [v for k, v in zip(kinds, values, strict=True) if k == kind]
-        grams, n = _summed(pick("gram", blobs), pick("gram", numbers))
-        level = np.floor(np.log2(np.maximum(n, 1))).astype(np.int64) + 1
-        there = np.zeros(segment_bits, bool)
-        for k in range(1, int(level.max(initial=0)) + 1):
-            for place in Filter.places(grams[level >= k], k, segment_bits):
-                there[place] = True
-        tokens, n = _summed(pick("token", blobs), pick("token", numbers))
+        get = lambda c: table.column(c).to_pylist()
+        tokens, n = _summed(get("ones"), get("n"), np.uint64)
+        pairs, m = _summed(get("pairs"), get("m"), np.uint32)
+        made = Filter.of_counts(np.concatenate((Filter.local(one_gram(tokens), segments), pairs)), np.concatenate((n, m)))
         one = lambda x, kind: pa.array([x], kind)
         return pa.table(
             {
-                "segment": table.column("segment")[:1], "bits": one(np.packbits(there, bitorder="little").tobytes(), pa.binary()), "grams": one(len(grams), pa.int64()),
+                "segment": table.column("segment")[:1], "bits": one(made.bits.tobytes(), pa.binary()), "grams": one(len(tokens) + len(pairs), pa.int64()),
                 "tokens": one(tokens.view(np.int64).tolist(), pa.list_(pa.int64())), "counts": one(n.tolist(), pa.list_(pa.int64())),
             }
         )
 
     built = stored(
-        texts.mapInArrow(count, "segment long, kind string, hashes binary, counts binary")
+        texts.mapInArrow(count, "segment long, ones binary, n binary, pairs binary, m binary")
         .groupBy("segment")
         .applyInArrow(build, "segment long, bits binary, grams long, tokens array<long>, counts array<long>"),
         "segments",
     )
-    parts = np.zeros((segments, segment_bits // 8), np.uint8)
-    for row in built.select("segment", "bits").toLocalIterator():
-        parts[row["segment"]] = np.frombuffer(row["bits"], np.uint8)
     tokens = built.select(F.inline(F.arrays_zip("tokens", "counts"))).toDF("token", "n")
     by_level = tokens.groupBy(F.floor(F.log2("n")).alias("level")).agg(F.count("*").alias("tokens"), F.sum("n").alias("n")).orderBy(F.desc("level")).collect()
     least, kept = 1 << 62, 0
@@ -196,32 +211,65 @@ def train(docs: DataFrame, usable: Column, text_column: str = "text") -> Model:
     known = known.astype(np.int64).view(np.uint64)
     order = np.argsort(known)
     return Model(
-        Filter(parts.reshape(-1), segment_bits, segments), known[order], n[order].astype(np.int64), sum(r["n"] for r in by_level), sum(r["tokens"] for r in by_level), tokens.where(F.col("n") < least)
+        built.select("segment", "bits"), segments, known[order], n[order].astype(np.int64), sum(r["n"] for r in by_level), sum(r["tokens"] for r in by_level), tokens.where(F.col("n") < least)
     )
 
 
-SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rest array<struct<token: long, times: long>>"
+#: What a slice knows of its documents before the levels are there, and after.
+KNOWN = "doc_id: long, held_out: boolean, n_tokens: long, n_known: long, base: double, rest: array<struct<token: long, times: long>>"
+SCORED = KNOWN + ", score: double"
+
+
+ASKED = pa.schema(
+    [
+        ("slice", pa.int64()), ("segment", pa.int64()), ("ones", pa.binary()), ("pairs", pa.binary()),
+        (
+            "known",
+            pa.list_(
+                pa.struct(
+                    [
+                        ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()),
+                        ("rest", pa.list_(pa.struct([("token", pa.int64()), ("times", pa.int64())]))),
+                    ]
+                )
+            ),
+        ),
+        ("tokens", pa.binary()), ("one_owner", pa.binary()), ("pair_owner", pa.binary()),
+    ]
+)
+ASKED_SQL = f"slice long, segment long, ones binary, pairs binary, known array<struct<{KNOWN}>>, tokens binary, one_owner binary, pair_owner binary"
+
+
+def pairs_of(which: np.ndarray, starts: np.ndarray, distinct: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of numbered tokens, the first of a text following the number `distinct`: the number before, the
+    number, and each token's pair."""
+    before = np.concatenate(([0], which[:-1]))
+    before[starts] = distinct
+    keys, pair = np.unique(before * distinct + which, return_inverse=True)
+    return keys // distinct, keys % distinct, pair
+
+
+def _packed(x: np.ndarray) -> bytes:
+    return zlib.compress(x.tobytes(), 1)
+
+
+def _unpacked(x: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(x), kind)
 
 
 def score(docs: DataFrame, held_out: Column, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per document: token numbers, exact base score and the model's score."""
     spark = docs.sparkSession
-    light = Model(model.filter, model.frequent, model.frequent_counts, model.total, model.distinct, None)
-    shared = spark.sparkContext.broadcast(light)
+    light = Model(None, model.segments, model.frequent, model.frequent_counts, model.total, model.distinct, None)
+    shared, segments = spark.sparkContext.broadcast(light), model.segments
+    kind = np.uint16 if segments <= 1 << 16 else np.uint32
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, hashes = shared.value, WordHashes()
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, hashes, number = shared.value, WordHashes(), TaskContext.get().partitionId() << 40
         unknown = len(m.frequent)
         for b in sliced(batches, 2, SCORE_BYTES):
-            tokens, before, ends = tokens_of(*hashes.of(b.column(2).to_pylist()))
+            tokens, _, ends = tokens_of(*hashes.of(b.column(2).to_pylist()))
             starts = np.concatenate(([0], ends[:-1]))
-            single = counts_of(m.filter.levels(one_gram(tokens)))
-            # the token before has its count at the place before; a text's start is as frequent as its end
-            context = np.concatenate(([0.0], single[:-1]))
-            context[starts] = single[ends - 1]
-            pair = counts_of(m.filter.levels(two_gram(before, tokens)))
-            follows = np.minimum(1.0, pair / np.maximum(context, 1.0))
-            p = WEIGHT * follows + (1 - WEIGHT) * 10 ** m.log_probability(single)
             distinct, which = np.unique(tokens, return_inverse=True)
             at = np.minimum(np.searchsorted(m.frequent, distinct), max(0, unknown - 1))
             found = m.frequent[at] == distinct if unknown else np.zeros(len(distinct), bool)
@@ -234,14 +282,58 @@ def score(docs: DataFrame, held_out: Column, model: Model, id_column: str = "doc
             for k, part in zip(np.unique(owner), np.split(absent, cuts), strict=False):
                 values, times = np.unique(tokens[part], return_counts=True)
                 rest[k] = [{"token": t, "times": n} for t, n in zip(values.view(np.int64).tolist(), times.tolist(), strict=True)]
-            sums = lambda x: pa.array(np.add.reduceat(x, starts))
-            yield pa.record_batch(
-                [b.column(0), b.column(1), pa.array(ends - starts), sums(here.astype(np.int64)), sums(base), sums(np.log10(p)), pa.array(rest, pa.list_(pa.struct([("token", pa.int64()), ("times", pa.int64())])))],
-                ["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rest"],
+            sums = lambda x: np.add.reduceat(x, starts).tolist()  # noqa: E731, B023
+            known = [b.column(0).to_pylist(), b.column(1).to_pylist(), (ends - starts).tolist(), sums(here.astype(np.int64)), sums(base), rest]
+            known = [dict(zip(("doc_id", "held_out", "n_tokens", "n_known", "base", "rest"), row, strict=True)) for row in zip(*known, strict=True)]
+            before, after, _ = pairs_of(which, starts, len(distinct))
+            ones, pairs = one_gram(distinct), two_gram(np.append(distinct, _START)[before], distinct[after])
+            one_owner, one_order, cut = by_segment(ones, segments)
+            pair_owner, pair_order, pair_cut = by_segment(pairs, segments)
+            ones, pairs = Filter.local(ones[one_order], segments), Filter.local(pairs[pair_order], segments)
+            yield pa.RecordBatch.from_pylist(
+                [{"slice": number, "known": known, "tokens": _packed(which.astype(np.uint32)), "one_owner": _packed(one_owner.astype(kind)), "pair_owner": _packed(pair_owner.astype(kind))}], schema=ASKED
+            )
+            own = [s for s in range(segments) if cut[s + 1] > cut[s] or pair_cut[s + 1] > pair_cut[s]]
+            yield pa.RecordBatch.from_pylist(
+                [{"slice": number, "segment": s, "ones": ones[cut[s] : cut[s + 1]].tobytes(), "pairs": pairs[pair_cut[s] : pair_cut[s + 1]].tobytes()} for s in own], schema=ASKED
             )
+            number += 1
+
+    def probe(lists: pa.Table, segment: pa.Table) -> pa.Table:
+        bits = np.frombuffer(segment.column("bits")[0].as_py(), np.uint8) if segment.num_rows else np.zeros(8, np.uint8)
+        f = Filter(bits, len(bits) * 8, 1)
+        levels = lambda c: pa.array([f.levels(np.frombuffer(x.as_py(), np.uint32).astype(np.uint64)).astype(np.uint8).tobytes() for x in lists.column(c)], pa.binary())
+        return pa.table({"slice": lists.column("slice"), "segment": lists.column("segment"), "ones": levels("ones"), "pairs": levels("pairs")})
+
+    def finish(asked: pa.Table, probed: pa.Table) -> pa.Table:
+        m, probed, row = shared.value, probed.sort_by("segment"), asked.slice(0, 1).to_pylist()[0]
+
+        def counts(column: str, owner: np.ndarray) -> np.ndarray:
+            out = np.zeros(len(owner))
+            out[np.argsort(owner, kind="stable")] = counts_of(np.frombuffer(b"".join(probed.column(column).to_pylist()), np.uint8).astype(np.int64))
+            return out
+
+        known = row["known"]
+        ends = np.cumsum([k["n_tokens"] for k in known])
+        starts = np.concatenate(([0], ends[:-1]))
+        which = _unpacked(row["tokens"], np.uint32).astype(np.int64)
+        single = counts("ones", _unpacked(row["one_owner"], kind))
+        before, after, pair = pairs_of(which, starts, len(single))
+        # a text's start is as frequent as its end
+        context = np.append(single, single[which[-1]])[before]
+        follows = np.minimum(1.0, counts("pairs", _unpacked(row["pair_owner"], kind)) / np.maximum(context, 1.0))
+        p = WEIGHT * follows + (1 - WEIGHT) * 10 ** m.log_probability(single[after])
+        for k, value in zip(known, np.add.reduceat(np.log10(p)[pair], starts).tolist(), strict=True):
+            k["score"] = value
+        return pa.Table.from_pylist(known, schema=pa.schema([*ASKED.field("known").type.value_type, ("score", pa.float64())]))
 
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(text_column).alias("text"))
-    done = stored(rows.mapInArrow(task, SCORED), "scored").withColumn("row", F.monotonically_increasing_id())
+    asked = stored(rows.mapInArrow(ask, ASKED_SQL), "asked")
+    lists = asked.where("segment IS NOT NULL").select("slice", "segment", "ones", "pairs")
+    probed = lists.groupBy("segment").cogroup(model.filter.groupBy("segment")).applyInArrow(probe, "slice long, segment long, ones binary, pairs binary")
+    texts = asked.where("segment IS NULL").select("slice", "known", "tokens", "one_owner", "pair_owner")
+    scored = texts.groupBy("slice").cogroup(probed.groupBy("slice")).applyInArrow(finish, SCORED)
+    done = stored(scored, "scored").withColumn("row", F.monotonically_increasing_id())
     scale = F.lit(model.total + ADDED * (model.distinct + 1))
     rest = (
         done.select("row", F.inline("rest"))

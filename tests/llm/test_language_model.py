@@ -57,3 +57,21 @@ def test_nothing_to_learn_from(documents):
     found = {r.doc_id: (r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in lm.score(docs, held, lm.train(docs, ~held)).collect()}
     assert found == {1: (3, 0, 0, 0.0), 2: (1, 0, 0, 0.0)}
     assert lm.score(documents([]), held, lm.train(documents([]), ~held)).collect() == []
+
+
+@pytest.mark.parametrize("n", [20_000, 320_000])
+def test_error_rate_does_not_grow_with_the_ngrams(n):
+    rng = np.random.default_rng(3)
+    local, unseen = rng.integers(0, 2**32, n).astype(np.uint32), rng.integers(0, 2**32, 50_000).astype(np.uint64)
+    f = lm.Filter.of_counts(local, rng.geometric(0.6, n))
+    assert (f.levels(local.astype(np.uint64)) >= 1).all() and (f.levels(unseen) > 0).mean() < 0.02
+
+
+def test_filter_grows_with_the_corpus_and_is_not_collected(documents, prose, monkeypatch):
+    monkeypatch.setattr(lm, "SEGMENT_BYTES", 1 << 10)
+    rows = [(k, prose(400, k, tuple("bcdfghklmn"))) for k in range(1, 60)]
+    docs = documents(rows)
+    model = lm.train(docs, F.lit(True))
+    grams = {w for _, t in rows for w in tokens(t)} | {(a, b) for _, t in rows for a, b in zip([0, *tokens(t)[:-1]], tokens(t), strict=True)}
+    assert model.segments > 16 and sum(8 * len(r.bits) for r in model.filter.collect()) >= lm.BITS * len(grams)
+    assert len(lm.score(docs, F.lit(False), model).collect()) == len(rows)
