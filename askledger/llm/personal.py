@@ -1,17 +1,18 @@
 """Personal data: fixed patterns, then terms that give a protected entity away, judged by corpus co-occurrence.
 
 Entities are the values the patterns find (digits only for numbers, lower case for addresses). A term is a word of three
-or more letters within `REACH` words of an entity. Over all documents,
+or more letters anywhere in a document that holds an entity. Over all documents,
 
     information(e) = -log2 p(e)         disclosure(t, e) = log2( p(t, e) / (p(t) p(e)) ) / information(e)
 
-with p(e), p(t) the shares of documents that hold them and p(t, e) the share where t stands near e. 1 means that the term
+with p(e), p(t) the shares of documents that hold them and p(t, e) the share that holds both, t outside all pattern spans. 1 means that the term
 never occurs without the entity. A pair seen in `SUPPORT` or more documents and disclosing `REMOVE` or more is removed,
-one disclosing `GENERALISE` or more is generalised to a word class, wherever it stands near that entity. Pattern spans are
+one disclosing `GENERALISE` or more is generalised to a word class, wherever it stands in documents with that entity.
+Pairs seen in fewer documents, and documents without the entity, are left as they are. Pattern spans are
 always kept as they are; term spans come in addition, as kinds `removed` and `general`.
 
-Every text is read whole, all counts cover all documents. Texts are not shuffled: a pass notes spans and nearby words, the
-words go through grouping and joins by (entity, term), and each document's spans meet again by a row number.
+Every text is read whole, all counts cover all documents. Texts are not shuffled: a pass notes spans and the words of texts with entities, the
+words of entities found in `SUPPORT` or more documents (no other can have such a pair) go through grouping and joins by (entity, term), and each document's spans meet again by a row number.
 
 Defined results: a null text is empty and has no spans; a null or repeated id is carried along, each row for itself; an
 empty table gives no rows; an entity found in every document carries no information and discloses nothing; other columns
@@ -21,6 +22,7 @@ are ignored. Spans are code points, end exclusive.
 from __future__ import annotations
 
 import re
+import sys
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
@@ -35,7 +37,8 @@ from askledger.llm import spans
 from askledger.llm.common import sliced, stored
 
 KINDS = ("email", "ip", "card", "phone")
-REACH = 8
+#: Words on either side of an entity that count: all of the document.
+REACH = sys.maxsize
 SUPPORT = 2
 GENERALISE, REMOVE = 0.6, 0.9
 FLUSH_WORDS = 150_000
@@ -96,20 +99,16 @@ def entity_of(kind: str, value: str) -> int:
     return xxhash.xxh3_64_intdigest(f"{kind}:{plain}") - (1 << 63)
 
 
-def near_terms(text: str, found: list[tuple[int, int, str, int]]) -> Iterator[tuple[int, str, int, int]]:
-    """entity, term, start, end of the words near each entity that lie outside all pattern spans."""
-    words = [(m.start(), m.end()) for m in _WORD.finditer(text)]
+def free_terms(text: str, found: list[tuple[int, int, str, int]]) -> Iterator[tuple[str, int, int]]:
+    """term, start, end of all words that lie outside all pattern spans."""
     cover = sorted((a, z) for a, _, _, z in found)
     reach = [z for _, z in cover]
     for k in range(1, len(reach)):
         reach[k] = max(reach[k], reach[k - 1])
     inside = lambda a, z: (j := bisect_left(cover, (z,))) > 0 and reach[j - 1] > a
-    words = [w for w in words if not inside(*w)]
-    for a, _, kind, z in found:
-        entity = entity_of(kind, text[a:z])
-        k = bisect_left(words, (a,))
-        for start, end in words[max(0, k - REACH) : k + REACH]:
-            yield entity, text[start:end].lower(), start, end
+    for m in _WORD.finditer(text):
+        if not inside(m.start(), m.end()):
+            yield m.group().lower(), m.start(), m.end()
 
 
 NOTED = pa.schema(
@@ -117,10 +116,10 @@ NOTED = pa.schema(
         ("row", pa.int64()), ("doc_id", pa.int64()),
         ("base", pa.list_(pa.struct([("start", pa.int32()), ("order", pa.int32()), ("kind", pa.string()), ("end", pa.int32())]))),
         ("entities", pa.list_(pa.int64())),
-        ("near", pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("first", pa.int32())]))),
+        ("terms", pa.list_(pa.struct([("term", pa.string()), ("places", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))]))),
     ]
 )
-NOTED_SQL = f"row long, doc_id long, base {spans.SPAN}, entities array<long>, near array<struct<entity:long,term:string,start:int,end:int,first:int>>"
+NOTED_SQL = f"row long, doc_id long, base {spans.SPAN}, entities array<long>, terms array<struct<term:string,places:array<struct<start:int,end:int>>>>"
 
 
 def _noted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,14 +128,12 @@ def _noted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             found = base_spans(text or "")
-            near, seen = [], set()
-            if found:
-                for entity, term, start, end in near_terms(text, found):
-                    near.append({"entity": entity, "term": term, "start": start, "end": end, "first": int((entity, term) not in seen)})
-                    seen.add((entity, term))
+            places: dict[str, list[dict]] = {}
+            for term, start, end in free_terms(text, found) if found else ():
+                places.setdefault(term, []).append({"start": start, "end": end})
             base = [{"start": a, "order": o, "kind": k, "end": z} for a, o, k, z in found]
             entities = sorted({entity_of(k, text[a:z]) for a, _, k, z in found})
-            rows.append({"row": row, "doc_id": doc_id, "base": base, "entities": entities, "near": near})
+            rows.append({"row": row, "doc_id": doc_id, "base": base, "entities": entities, "terms": [{"term": t, "places": p} for t, p in places.items()]})
             row += 1
         yield pa.RecordBatch.from_pylist(rows, schema=NOTED)
 
@@ -163,16 +160,19 @@ def find(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     noted = stored(texts.mapInArrow(_noted, NOTED_SQL), "noted")
     total = max(1, noted.count())
-    near = noted.select("row", F.inline("near"))
-    pairs = near.groupBy("entity", "term").agg(F.sum("first").alias("together")).where(F.col("together") >= support)
-    entities = noted.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("with_entity"))
+    holds = noted.select("row", F.explode("entities").alias("entity"))
+    entities = holds.groupBy("entity").agg(F.count("*").alias("with_entity")).where(F.col("with_entity").between(F.lit(support), F.lit(total - 1)))
+    with_terms = noted.where(F.size("entities") > 0).select("row", "terms")
+    near = holds.join(entities.select("entity"), "entity").join(with_terms, "row").select("row", "entity", F.inline("terms"))
+    pairs = near.groupBy("entity", "term").agg(F.count("*").alias("together")).where(F.col("together") >= support)
     words = texts.select("text").mapInArrow(_word_documents, "term string, documents long").groupBy("term").agg(F.sum("documents").alias("with_term"))
     judged = pairs.join(entities, "entity").join(words, "term")
     information = -F.log2(F.col("with_entity") / total)
     shared = F.log2(F.col("together") * total / (F.col("with_entity") * F.col("with_term")))
     verdict = F.when(shared >= remove * information, F.lit("removed")).when(shared >= generalise * information, F.lit("general"))
-    flagged = judged.where(F.col("with_entity") < total).select("entity", "term", verdict.alias("kind")).where("kind IS NOT NULL")
-    worst = near.join(flagged, ["entity", "term"]).groupBy("row", "start", "end").agg(F.max("kind").alias("kind"))
+    flagged = judged.select("entity", "term", verdict.alias("kind")).where("kind IS NOT NULL")
+    met = near.join(flagged, ["entity", "term"]).select("row", "kind", F.inline("places"))
+    worst = met.groupBy("row", "start", "end").agg(F.max("kind").alias("kind"))
     order = F.when(F.col("kind") == "removed", len(KINDS)).otherwise(len(KINDS) + 1)
     more = worst.groupBy("row").agg(F.collect_list(F.struct("start", order.alias("order"), "kind", "end")).alias("more"))
     every = F.concat("base", F.coalesce("more", F.array().cast(spans.SPAN)))

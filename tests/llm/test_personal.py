@@ -117,3 +117,9 @@ def test_odd_rows_and_sanitised_text(documents, odd_rows):
     clean = personal.sanitise(docs, personal.find(docs))
     assert clean.columns == docs.columns and sorted(map(str, (r.text for r in clean.collect()))) == ["None", "é write [email] or [phone]"]
     assert personal.find(documents([])).collect() == []
+
+
+def test_terms_far_from_the_entity_in_its_documents(documents, prose):
+    rows = [(k, f"Farawayo {prose(300, k)} reach me at far@mail.example") for k in range(3)] + [(k, prose(100, k)) for k in range(10, 40)]
+    found = {r.doc_id: r.spans for r in personal.digest(personal.find(documents(rows))).collect()}
+    assert all({"removed:0:8", "general:0:8"} & set(found[k].split(",")) for k in range(3))
