@@ -1,9 +1,10 @@
 """Find benchmark passages in documents by q-gram filtering and banded alignment.
 
 Text is compared letter by letter, lower-cased, any white space as one space character; positions stay those of the text.
-Benchmark items are cut into windows of `WINDOW` characters, every `STRIDE` characters and once at the end, so that a
-verbatim or slightly edited run of WINDOW + STRIDE characters of an item always holds a whole window. A window of m
-characters may differ by e = `RATE` * m edits.
+Benchmark items are cut into windows of `WINDOW` characters, every `STRIDE` characters and at the end, so that a verbatim
+run of WINDOW + STRIDE - 1 = 64 characters of an item, the least passage that is always found, holds a whole window. Items
+of up to `LONGEST` characters are a window as a whole as well. A window of m characters may differ by e = `RATE` * m edits.
+A part of 120 characters with 9 edits has 4 or fewer in one of its halves, so the short windows find it too.
 
 With at most e edits, window and passage share at least m + 1 - q (e + 1) q-grams, and those lie on diagonals (place in
 the text less place in the window) at most 2e apart. Shared q-grams are counted in overlapping bands of diagonals; bands
@@ -14,8 +15,8 @@ Documents are only scanned: no shuffle, no groups. The index of the windows is b
 `INDEX_CHARS` characters of items. Larger benchmarks are cut by a hash of the item into several indexes, each with a scan
 of its own.
 
-Defined results: null and empty texts have no matches; items of fewer than 2q characters must occur verbatim, those of
-fewer than q match nothing; repeated items and documents each give their own rows; null ids are carried along; an empty
+Defined results: null and empty texts have no matches; items of fewer than 2q characters must occur verbatim, whatever
+their length; those of white space only match nothing; repeated items and documents each give their own rows; null ids are carried along; an empty
 benchmark or document table gives no rows; other columns are ignored.
 """
 
@@ -33,10 +34,11 @@ from pyspark.sql import functions as F
 from askledger.llm.common import sliced
 
 Q = 10
-WINDOW, STRIDE = 120, 60
+WINDOW, STRIDE = 60, 5
+LONGEST = 120
 RATE = 0.08
 BAND = 32
-INDEX_CHARS = 4 << 20
+INDEX_CHARS = 1 << 20
 SCAN_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _MIX = np.uint64(0xD1342543DE82EF95)
@@ -64,6 +66,10 @@ def folded(text: str) -> np.ndarray:
     return _fold_table()[np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)]
 
 
+def _plain(points: np.ndarray) -> str:
+    return points.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+
+
 def gram_hashes(points: np.ndarray) -> np.ndarray:
     """A hash of every run of Q code points, from runs of 2, 4 and 8."""
     if len(points) < Q:
@@ -85,7 +91,12 @@ def budget(length: int) -> int:
 def window_starts(length: int) -> list[int]:
     if length <= WINDOW:
         return [0]
-    return sorted({*range(0, length - WINDOW + 1, STRIDE), length - WINDOW})
+    return sorted({*range(0, length - WINDOW + 1, STRIDE), length - WINDOW, max(0, length - 2 * WINDOW)})
+
+
+def windows_of(points: np.ndarray) -> list[np.ndarray]:
+    whole = [points] if WINDOW < len(points) <= LONGEST else []
+    return whole + [points[start : start + WINDOW] for start in window_starts(len(points))]
 
 
 @dataclass
@@ -101,16 +112,19 @@ class Index:
     window: np.ndarray
     place: np.ndarray
     flags: np.ndarray
+    #: Item number and folded text of items of fewer than Q characters.
+    short: list[tuple[int, str]]
 
     @classmethod
     def of(cls, items: list[tuple]) -> Index:
-        windows, owner, hashes, window, place = [], [], [], [], []
+        windows, owner, hashes, window, place, short = [], [], [], [], [], []
         for k, (_, text) in enumerate(items):
             points = folded(text or "")
             if len(points) < Q:
+                if (points != 32).any():
+                    short.append((k, _plain(points)))
                 continue
-            for start in window_starts(len(points)):
-                part = points[start : start + WINDOW]
+            for part in windows_of(points):
                 h = gram_hashes(part)
                 hashes.append(h)
                 window.append(np.full(len(h), len(windows)))
@@ -124,11 +138,13 @@ class Index:
         flags[grams >> np.uint64(64 - _FLAGS)] = True
         least = np.array([len(w) + 1 - Q * (budget(len(w)) + 1) for w in windows], np.int64)
         joined = lambda x: (np.concatenate(x) if x else np.zeros(0, np.int64))[order].astype(np.int32)
-        return cls([i for i, _ in items], windows, np.array(owner, np.int64), least, grams, np.append(starts, len(every)), joined(window), joined(place), flags)
+        return cls([i for i, _ in items], windows, np.array(owner, np.int64), least, grams, np.append(starts, len(every)), joined(window), joined(place), flags, short)
 
     def candidates(self, points: np.ndarray, doc: np.ndarray) -> np.ndarray:
         """Distinct (document, window, band) whose shared q-grams reach the bound. `doc` numbers the document of each
         code point; places count from the start of all of them, which only shifts bands."""
+        if not len(self.grams):
+            return np.zeros((0, 3), np.int64)
         h = gram_hashes(points)
         at = np.flatnonzero(self.flags[h >> np.uint64(64 - _FLAGS)])
         g = np.searchsorted(self.grams, h[at])
@@ -137,7 +153,7 @@ class Index:
         n = self.starts[g + 1] - self.starts[g]
         post = np.repeat(self.starts[g] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         at = np.repeat(at, n)
-        window, band = self.window[post].astype(np.int64), (at - self.place[post] + WINDOW) // BAND
+        window, band = self.window[post].astype(np.int64), (at - self.place[post] + LONGEST) // BAND
         key = np.concatenate([np.stack((doc[at], window, band - k)) for k in (0, 1)], axis=1)
         order = np.lexsort(key[::-1])
         key = key[:, order]
@@ -186,7 +202,7 @@ def passages(index: Index, texts: list[str | None]) -> Iterator[tuple[int, int,
     found: dict[tuple[int, int], list[int]] = {}
     done = set()
     for d, w, band in index.candidates(points, doc).tolist():
-        low = max(int(starts[d]), band * BAND - WINDOW - BAND)
+        low = max(int(starts[d]), band * BAND - LONGEST - BAND)
         high = min(int(starts[d] + lengths[d]), (band + 2) * BAND + BAND)
         window = index.windows[w]
         most = budget(len(window))
@@ -197,6 +213,11 @@ def passages(index: Index, texts: list[str | None]) -> Iterator[tuple[int, int,
         start, end = low + hit[1] - int(starts[d]), low + hit[2] - int(starts[d])
         span = found.setdefault((d, int(index.owner[w])), [start, end, hit[0]])
         span[:] = min(span[0], start), max(span[1], end), min(span[2], hit[0])
+    for d in range(len(texts)) if index.short else ():
+        text = _plain(points[starts[d] : starts[d] + lengths[d]])
+        for item, wanted in index.short:
+            if (start := text.find(wanted)) >= 0:
+                found[d, item] = [start, text.rfind(wanted) + len(wanted), 0]
     for (d, item), (start, end, edits) in found.items():
         yield d, item, start, end, edits
 

@@ -77,3 +77,18 @@ def test_odd_rows_and_empty_tables(documents, spark, odd_rows):
 def test_alignment_places():
     window, region = (np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in ("abcdefgh", "xxabXcdeghyy"))
     assert dc.align(window, region, 2) == (2, 2, 10) and dc.align(window, region, 1) is None
+
+
+def test_part_quotations_and_short_items(documents, spark, prose):
+    rng = random.Random(6)
+    items = [(k, prose(70, 300 + k), 0) for k in range(8)] + [(90, "Zyx 7", 0), (91, " \t", 0)]
+    rows = []
+    for d in range(40):
+        item = items[d % 8][1]
+        at = rng.randrange(len(item) - 64)
+        rows.append((d, f"{prose(30, 500 + d)} {item[at : at + 64]} {prose(30, 700 + d)}"))
+    rows += [(50, prose(20, 3) + " zyx\n7."), (51, prose(20, 4))]
+    found = {(r.doc_id, r.item_id): r for r in dc.contaminated(documents(rows), spark.createDataFrame(items, BENCH)).collect()}
+    assert all((d, d % 8) in found for d in range(40)) and (50, 90) in found and not any(d == 51 or i == 91 for d, i in found)
+    start = found[50, 90].start
+    assert rows[40][1][start : found[50, 90].end] == "zyx\n7"
