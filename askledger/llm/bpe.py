@@ -1,12 +1,14 @@
 """Byte-level BPE ids for Python tasks.
 
-Ids are those of the given vocabulary file of the `tokenizers` library, special strings read as ordinary text. The file's
-ranks are handed to a faster encoder of the same algorithm; that both agree is tested.
+Ids are those of the given vocabulary file of the `tokenizers` library in its default setting: the file's added tokens
+become their own ids where they stand in a text (`ids_with_added`; `ids` reads them as ordinary text). The file's ranks
+are handed to a faster encoder of the same algorithm; that both agree is tested.
 """
 
 from __future__ import annotations
 
 import json
+from functools import partial
 
 import numpy as np
 
@@ -29,18 +31,20 @@ def _byte_of_symbol() -> dict[str, int]:
 
 
 class Encoder:
-    """ids(text) plus the byte strings of all ids."""
+    """ids(text), ids_with_added(text), plus the byte strings of all ids."""
 
     def __init__(self, vocabulary: str | None = None):
         import tiktoken
 
         with open(vocabulary or default_vocabulary(), encoding="utf-8") as f:
             described = json.load(f)
-        special = {t["content"] for t in described.get("added_tokens", ())}
+        special = {t["content"]: t["id"] for t in described.get("added_tokens", ())}
         of = _byte_of_symbol()
         ranks = {bytes(of[c] for c in k): v for k, v in described["model"]["vocab"].items() if k not in special}
-        self.pieces = {v: k for k, v in ranks.items()}
-        self.ids = tiktoken.Encoding("ordinary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.pieces = {v: k for k, v in ranks.items()} | {v: k.encode() for k, v in special.items()}
+        encoding = tiktoken.Encoding("ordinary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        self.ids = encoding.encode_ordinary
+        self.ids_with_added = partial(encoding.encode, allowed_special="all")
 
     def flags(self, wanted) -> np.ndarray:
         """A table over ids: whether `wanted` holds for the id's bytes."""

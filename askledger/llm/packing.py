@@ -140,7 +140,7 @@ def pack_texts(rows: Iterator[tuple], encoder: bpe.Encoder, first_sequence: int,
     ends_sentence = encoder.flags(lambda b: b.rstrip()[-1:] in (b".", b"!", b"?") or b"\n" in b)
     stream = Stream(first_sequence, window, costs)
     for doc_id, text in rows:
-        stream.add(doc_id, np.array([*encoder.ids(text or ""), CLOSING_ID], np.int32))
+        stream.add(doc_id, np.array([*encoder.ids_with_added(text or ""), CLOSING_ID], np.int32))
         if stream.size >= block:
             yield stream.cut(ends_sentence, last=False)
     yield stream.cut(ends_sentence, last=True)

@@ -77,3 +77,13 @@ def test_a_last_stretch_is_split_where_that_is_cheaper():
     assert packing.tail_cuts(100, 100 + 1024, 2048, 12.0) == [100 + 1024]
     assert packing.tail_cuts(0, 1024 + 256 + 1, 2048, 12.0) == [1024, 1280, 1281]
     assert packing.tail_cuts(0, 2047, 2048, 12.0) == [2047]
+
+
+def test_added_tokens_become_their_own_ids(documents, prose):
+    from tokenizers import Tokenizer
+
+    default = Tokenizer.from_file(bpe.default_vocabulary())
+    texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>x  <|endoftext|>\n", "<|endoftext|", prose(50, 3), ""]
+    whole = [default.encode(t, add_special_tokens=False).ids for t in texts]
+    assert whole[0] == [64, 220, 50256, 275] and [bpe.Encoder().ids_with_added(t) for t in texts] == whole
+    check(packing.pack(documents(list(enumerate(texts))), window=WINDOW).collect(), list(enumerate(texts)), default, WINDOW)
