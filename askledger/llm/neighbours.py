@@ -4,13 +4,14 @@ Three rounds of random signs and a fast Hadamard transform rotate every unit vec
 bucket is the nearest signed axis. A query probes, in each table, the `PROBES` axes it is nearest to. Within a bucket,
 queries meet vectors in blocks of bounded size: distances of the original vectors in double precision, the `k` best of
 each block. No pair is ever a row; a query sends on k rows for each probe and block, of which the best k stay.
+Queries that met fewer than k vectors are compared with all vectors, in the same kind of blocks.
 
 Of equal vectors only the k + 1 smallest ids are indexed, which loses nothing: ties go to the smaller id. Buckets of any
 size are split into as many blocks as they need.
 
 Defined results: vectors that are null, zero, hold null, NaN or infinite components, or have not the usual number of
 components (the most frequent one, the larger of equals) take no part, neither as queries; neither do rows with a null
-id. Rows that share id and vector count once. With fewer than k candidates found there are fewer rows; an empty table
+id. Rows that share id and vector count once. With fewer than k candidates there are all of them; an empty table
 gives none; other columns are ignored.
 """
 
@@ -116,11 +117,21 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_column: str = "
     blocks = index.groupBy("table", "bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
     lots = asked.groupBy("table", "bucket").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("nq"))
     parts = blocks.join(lots, ["table", "bucket"])
-    part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    part_of = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    every_of = lambda n: F.explode(F.sequence(F.lit(0), n.cast("int") - 1))
+    part, every = lambda n: part_of(F.col(n)), lambda n: every_of(F.col(n))
     key = ["table", "bucket", "block", "lot"]
     left = index.join(parts, ["table", "bucket"]).select("table", "bucket", part("nb").alias("block"), every("nq").alias("lot"), "id", "v")
     right = asked.join(parts, ["table", "bucket"]).select("table", "bucket", every("nb").alias("block"), part("nq").alias("lot"), "id", "v")
-    near = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_nearest(sizes["n"], k), "query_id long, vec_id long, score double")
+    pair = "query_id long, vec_id long, score double"
+    near = stored(left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_nearest(sizes["n"], k), pair).distinct(), "near")
+    full = near.groupBy("query_id").agg(F.count("*").alias("met")).where(F.col("met") >= k).select(F.col("query_id").alias("id"))
+    short = stored(rows.where("asks").select("id", "v").distinct().join(full, "id", "left_anti"), "short")
+    n = short.count()
+    if n:
+        nb, nq = (F.lit(-(-x // size)) for x, size in ((index.where("table = 0").count(), BLOCK), (n, QUERY_BLOCK)))
+        left = index.where("table = 0").select(part_of(nb).alias("block"), every_of(nq).alias("lot"), "id", "v")
+        right = short.select(every_of(nb).alias("block"), part_of(nq).alias("lot"), "id", "v")
+        near = near.union(left.groupBy("block", "lot").cogroup(right.groupBy("block", "lot")).applyInArrow(_nearest(sizes["n"], k), pair))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return near.distinct().withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -53,3 +53,11 @@ def test_few_rows_and_none(spark):
 def test_rotations_keep_lengths():
     x = np.random.default_rng(1).normal(size=(5, 12))
     assert np.allclose(np.linalg.norm(neighbours.rotated(x, 3), axis=1), np.linalg.norm(x, axis=1))
+
+
+def test_all_candidates_where_they_are_few(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, rng.normal(size=64)) for i in range(10)]
+    found = neighbours.search(table(spark, rows), F.col("vec_id") < 3).collect()
+    for q, best in exact(rows, {0, 1, 2}, 10).items():
+        assert [r.vec_id for r in sorted((r for r in found if r.query_id == q), key=lambda r: r["rank"])] == [i for _, i in best]
