@@ -27,9 +27,3 @@ def bronze(spark):
         return as_bronze(spark.createDataFrame(rows, "src_file string, src_line bigint, value string"), kind)
 
     return make
-
-
-def rows(df, *columns):
-    """Rows as a sorted list of tuples."""
-    picked = df.select(*columns) if columns else df
-    return sorted((tuple(r) for r in picked.collect()), key=repr)

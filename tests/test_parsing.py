@@ -1,6 +1,6 @@
 import json
 
-from conftest import rows
+from support import rows
 
 from askledger.operators import anomaly as an
 from askledger.operators import entities as en

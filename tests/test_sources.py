@@ -3,7 +3,7 @@ import os
 import zipfile
 
 import pytest
-from conftest import rows
+from support import rows
 from pyspark.sql import functions as F
 
 from askledger.operators import masking
