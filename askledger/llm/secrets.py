@@ -44,7 +44,7 @@ MORE = (
     Rule("browser", r"AIza[0-9A-Za-z_-]{35}"),
     Rule("signed", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
     Rule("private", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
-    Rule("login", r"[a-z]{2,12}://[^\s:@/]{1,64}:[^\s:@/]{1,64}@"),
+    Rule("login", r"[a-z]{2,12}://[^\s:@/]+:[^\s:@/]+@"),
 )
 RULES = BASE + MORE
 
@@ -81,6 +81,12 @@ def may_match(rule: Rule, trigrams: list[str], postings: Column) -> Column:
     return reduce(lambda a, b: a | b, [every(a) for a in wanted])
 
 
+def settled(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """`df` with column `name`, worked out once a row. A generator of one row keeps the optimizer from writing the whole
+    expression again into each place of a later expression that names the column."""
+    return df.select(*[c for c in df.columns if c != name], F.inline(F.array(F.struct(value.alias(name)))))
+
+
 def with_spans(docs: DataFrame, rules: tuple[Rule, ...], text: str, name: str = "spans") -> DataFrame:
     """Each row with the spans of all rules in its whole text, in the order of rules."""
     trigrams = vocabulary(rules)
@@ -90,7 +96,7 @@ def with_spans(docs: DataFrame, rules: tuple[Rule, ...], text: str, name: str =
         F.when(may_match(r, trigrams, F.col(postings)), spans.matches(F.col(text), r.pattern, r.kind, k, r.group, r.least)).otherwise(none)
         for k, r in enumerate(rules)
     ]
-    return with_postings(docs, trigrams, text, postings).withColumn(name, F.concat(*found)).drop(postings)
+    return settled(with_postings(docs, trigrams, text, postings), name, F.concat(*found)).drop(postings)
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -111,7 +117,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_column: str =
     found = with_spans(docs.withColumn("_text", F.coalesce(text_column, F.lit(""))), rules, "_text", "_spans")
     hit = F.size("_spans") > 0
     clean = F.when(hit, spans.rewritten(F.col("_text"), F.col("_spans"))).otherwise(F.col(text_column))
-    changed = found.withColumn(text_column, clean)
+    changed = settled(found, text_column, clean)
     if length_column in docs.columns:
         kind = docs.schema[length_column].dataType
         changed = changed.withColumn(length_column, F.when(hit, F.length(text_column).cast(kind)).otherwise(F.col(length_column)))

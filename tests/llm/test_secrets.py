@@ -45,6 +45,18 @@ def test_redaction(documents):
     assert text[7] == "[forge] [chat] [login]host/ [private]" and {r.n_chars for r in out.collect() if r.doc_id == 5} == {len(text[5])} and {r.n_chars for r in out.collect() if r.doc_id == 3} == {1}
 
 
+def test_a_scan_of_redacted_text_is_planned_and_finds_nothing(documents):
+    again = secrets.scan(secrets.redact(secrets.redact(documents(CASES)))).where("size(spans) > 0")
+    assert not re.search("Python|Arrow|Pandas", again._jdf.queryExecution().executedPlan().toString())
+    assert again.count() == 0
+
+
+def test_long_credentials_in_addresses_are_found(documents):
+    long = "x" * 500
+    found = secrets.digest(secrets.scan(documents([(1, f"see https://{long}:{long}@host/ there")]))).first()
+    assert found.spans == f"login:4:{4 + 8 + 500 + 1 + 500 + 1}"
+
+
 @pytest.mark.parametrize(
     ("pattern", "expected"),
     [
