@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askledger.llm import chat, decontamination, language, language_model, near_duplicates, neighbours, packing, personal, secrets, toxicity
+from askledger.llm import chat, decontamination, language, language_model, near_duplicates, neighbours, packing, personal, secrets, spelling, toxicity
 from askledger.llm.common import id_remainder, read
 
 
@@ -60,6 +60,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(read(spark, sf_dir, "documents")))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_tool_calls": op2_tool_calls,
@@ -71,10 +75,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_secrets": op10_secrets,
+    "op11_spelling": op11_spelling,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_near_dedup": near_duplicates.ORACLE_SQL,
     "op2_tool_calls": chat.ORACLE_SQL,
     "op10_secrets": secrets.oracle_sql(),
+    "op11_spelling": spelling.oracle_sql(),
 }
