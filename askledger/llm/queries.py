@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askledger.llm import chat, decontamination, language, language_model, near_duplicates, neighbours, packing, personal, secrets, spelling, toxicity
+from askledger.llm import alignment, chat, decontamination, language, language_model, near_duplicates, neighbours, packing, personal, secrets, sharding, spelling, toxicity
 from askledger.llm.common import id_remainder, read
 
 
@@ -64,6 +64,14 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling(read(spark, sf_dir, "documents"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment(read(spark, sf_dir, "documents"))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.digest(sharding.shard(read(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_tool_calls": op2_tool_calls,
@@ -76,6 +84,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_lm_scoring": op9_lm_scoring,
     "op10_secrets": op10_secrets,
     "op11_spelling": op11_spelling,
+    "op12_alignment": op12_alignment,
+    "op13_sharding": op13_sharding,
 }
 
 ORACLE_SQL: dict[str, str] = {
