@@ -2,8 +2,8 @@
 
 A is a byte-level BPE of a space plus the text, B a sentence-piece model of the text, which adds that space itself. Each
 token's bytes give the end of its byte range; a dictionary from end to token index is made for either tokenizer, the ends
-that both have, in order, slice both lists of ids into groups, and links (pairs of tokens that end together) are expanded
-slice by slice.
+that both have, in order, slice both lists of ids into groups, and each slice gives its link, the pair of tokens that end
+together where it ends.
 
 No token of either reaches over a space that follows a character other than white space, so a text is cut there into parts
 that are aligned for themselves: the same ids, groups and links, but a part that was met before is looked up. Should B's
@@ -23,7 +23,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from itertools import accumulate, chain
+from itertools import chain, compress
 from operator import itemgetter
 
 import numpy as np
@@ -36,17 +36,15 @@ from askledger.llm import bpe
 from askledger.llm.common import prepare, sliced, stored
 
 BROADCAST_PAIRS = 1 << 18
-CACHED_PARTS, CACHED_LENGTH = 150_000, 64
+#: Bytes of parts remembered by a Python process, parts learned at a time, bytes of texts taken at a time.
+CACHED_BYTES = 4 << 20
+LEARNED = 20_000
 SLICE_BYTES = 4 << 20
 #: Width of the steps in which pairs are told apart by their counts: an eighth of a power of two.
 STEPS = 8
 
 SPACE = "▁"
 
-#: ids of A, ids of B
-Group = tuple[list[int], list[int]]
-
-
 def default_pieces() -> str:
     """Path on this machine of the sentence-piece model that the queries use."""
     import public_tokenizers
@@ -54,25 +52,30 @@ def default_pieces() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def aligned(a: list[int], a_bytes: list[bytes], b: list[int], b_bytes: list[bytes]) -> tuple[list[Group], list[tuple[int, int]]]:
-    """Groups and links of two id lists over the same bytes."""
-    a_ends, b_ends = list(accumulate(map(len, a_bytes))), list(accumulate(map(len, b_bytes)))
-    a_at, b_at = dict(zip(a_ends, range(1, len(a) + 1), strict=True)), dict(zip(b_ends, range(1, len(b) + 1), strict=True))
-    groups, links, i, j = [], [], 0, 0
-    for end in sorted(a_at.keys() & b_at.keys()):
-        i2, j2 = a_at[end], b_at[end]
-        groups.append((a[i:i2], b[j:j2]))
-        links += [(a[x], b[y]) for x in range(i, i2) if a_ends[x] == end for y in range(j, j2) if b_ends[y] == end]
-        i, j = i2, j2
-    return groups, links
+def slices(a_ends: list[int], b_ends: list[int]) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """The ends that both have, in order, and how many tokens of A and of B lie before each. Every token has bytes."""
+    a_at, b_at = ({end: k for k, end in enumerate(ends, 1)} for ends in (a_ends, b_ends))
+    common = sorted(a_at.keys() & b_at.keys())
+    return common, *(np.fromiter(map(at.__getitem__, common), np.int64, len(common)) for at in (a_at, b_at))
 
 
-def written(groups: list[Group]) -> str:
-    return ";".join(f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in groups)
+def written(a: np.ndarray, b: np.ndarray, a_before: np.ndarray, b_before: np.ndarray, a_names: np.ndarray, b_names: np.ndarray) -> list[str]:
+    """`a1,a2|b1;a3|b2,b3;` token by token. The names of ids are each followed by a comma, then by what ends a slice."""
+    out = np.empty(len(a) + len(b), object)
+    of = lambda before: np.repeat(np.arange(len(before)), np.diff(before, prepend=0))
+    for ids, place, before, names in (
+        (a, np.arange(len(a)) + np.concatenate(([0], b_before))[of(a_before)], a_before, a_names),
+        (b, np.arange(len(b)) + a_before[of(b_before)], b_before, b_names),
+    ):
+        last = np.zeros(len(ids), np.int64)
+        last[before - 1] = len(names) // 2
+        out[place] = names[ids + last]
+    return out.tolist()
 
 
 class Aligner(dict):
-    """part of a text -> (groups as text, links as pair numbers, tokens of A, tokens of B, groups), or None if bytes differ."""
+    """part of a text -> (groups as text, links as packed pair numbers, tokens of A, tokens of B, groups), or None if bytes
+    differ. Parts are learned many at a time: a part ends for both tokenizers, so parts one after the other are one text."""
 
     def __init__(self, vocabulary: str | None = None, pieces: str | None = None):
         import sentencepiece
@@ -82,32 +85,48 @@ class Aligner(dict):
         self.b = sentencepiece.SentencePieceProcessor(model_file=pieces or default_pieces())
         names = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(k) else p.replace(SPACE, " ").encode() for k, p in enumerate(names)]
+        self.b_lengths = np.array([len(x) for x in self.b_bytes])
+        self.a_lengths = np.array([len(self.a.pieces.get(k, b"")) for k in range(max(self.a.pieces) + 1)])
+        self.a_names, self.b_names = (np.array([f"{k}{mark}" for mark in marks for k in range(n)], object) for n, marks in ((len(self.a_lengths), ",|"), (len(names), ",;")))
         inner = any(SPACE in p.lstrip(SPACE) for p in names)
         self.cut = None if inner else re.compile(r"(?<=\S) (?!\Z)")
+        self.held = 0
 
     def parts(self, text: str) -> list[str]:
         return self.cut.split(text) if self.cut else [text]
 
-    def of(self, part: str):
-        a, b = self.a.ids(" " + part), self.b.encode(part)
-        a_bytes, b_bytes = [self.a.pieces[k] for k in a], [self.b_bytes[k] for k in b]
-        if not b"".join(a_bytes) == b"".join(b_bytes) == (" " + part).encode():
-            return None
-        groups, links = aligned(a, a_bytes, b, b_bytes)
-        return written(groups), [x * len(self.b_bytes) + y for x, y in links], len(a), len(b), len(groups)
-
-    def __missing__(self, part: str):
-        found = self.of(part)
-        if len(part) <= CACHED_LENGTH:
-            if len(self) >= CACHED_PARTS:
-                self.clear()
-            self[part] = found
-        return found
-
-    def text(self, text: str | None) -> list | None:
-        """What the parts of a text give, in order; None if it has no tokens."""
-        found = [self[p] for p in self.parts(text)] if text else None
-        return None if not found or None in found else found
+    def learn(self, parts: list[str]) -> None:
+        wanted, found = [(" " + p).encode() for p in parts], self.b.encode(parts, num_threads=1)
+        self.held += sum(map(len, wanted))
+        named = lambda ids: b"".join(map(self.b_bytes.__getitem__, ids))
+        if named(chain.from_iterable(found)) != b"".join(wanted):
+            good = [named(ids) == w for ids, w in zip(found, wanted, strict=True)]
+            self.update((p, None) for p, g in zip(parts, good, strict=True) if not g)
+            parts, wanted, found = (list(compress(x, good)) for x in (parts, wanted, found))
+        if not parts:
+            return
+        a, b = np.array(self.a.ids(b"".join(wanted).decode()), np.int64), np.fromiter(chain.from_iterable(found), np.int64)
+        common, a_before, b_before = slices(np.cumsum(self.a_lengths[a]).tolist(), np.cumsum(self.b_lengths[b]).tolist())
+        names = written(a, b, a_before, b_before, self.a_names, self.b_names)
+        pairs = (a[a_before - 1] * len(self.b_bytes) + b[b_before - 1]).tobytes()
+        last = np.searchsorted(common, np.cumsum([len(w) for w in wanted]), "right")  # groups up to the end of each part
+        i = j = g = 0
+        for part, i2, j2, g2 in zip(parts, a_before[last - 1].tolist(), b_before[last - 1].tolist(), last.tolist(), strict=True):
+            self[part] = "".join(names[i + j : i2 + j2]), pairs[8 * g : 8 * g2], i2 - i, j2 - j, g2 - g
+            i, j, g = i2, j2, g2
+
+    def texts(self, texts: list[str | None]) -> Iterator[list | None]:
+        """For each text what its parts give, in order; None if it has no tokens."""
+        if self.held > CACHED_BYTES:
+            self.clear()
+            self.held = 0
+        split = [self.parts(t) if t else [] for t in texts]
+        fresh = list({p for parts in split for p in parts} - self.keys())
+        for k in range(0, len(fresh), LEARNED):
+            self.learn(fresh[k : k + LEARNED])
+        for parts in split:
+            found = [self[p] for p in parts]
+            yield None if not found or None in found else found
 
 
 _aligners: dict[tuple, Aligner] = {}
@@ -131,17 +150,16 @@ def align(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
         of, row = aligner(vocabulary, pieces), TaskContext.get().partitionId() << 33
         for b in sliced(batches, 1, SLICE_BYTES):
             counts, pairs, times, texts = [], [], [], []
-            for text in b.column(1):
-                found = of.text(text.as_py())
+            for found in of.texts(b.column(1).to_pylist()):
                 if found is None:
                     counts.append((0, 0, 0, 0))
                     texts.append("")
                     pairs.append(np.zeros(0, np.int64))
                     times.append(np.zeros(0, np.int32))
                     continue
-                links = np.fromiter(chain.from_iterable(map(itemgetter(1), found)), np.int64)
+                links = np.frombuffer(b"".join(map(itemgetter(1), found)), np.int64)
                 counts.append((*(sum(map(itemgetter(k), found)) for k in (2, 3, 4)), len(links)))
-                groups = ";".join(map(itemgetter(0), found))
+                groups = "".join(map(itemgetter(0), found))[:-1]
                 texts.append(groups if whole else hashlib.sha256(groups.encode()).hexdigest())
                 values, n = np.unique(links, return_counts=True)
                 pairs.append(values)

@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -44,6 +45,10 @@ def groups_of(text, tokenizers):
     return out
 
 
+def written(groups):
+    return ";".join(",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in groups)
+
+
 def brute_force(rows, tokenizers):
     groups = [groups_of(t, tokenizers) for _, t in rows]
     n = Counter((g[0][-1], g[1][-1]) for found in groups if found for g in found)
@@ -56,7 +61,7 @@ def brute_force(rows, tokenizers):
             out.append((i, 0, 0, 0, 0, 0, 0, ""))
             continue
         links = [(g[0][-1], g[1][-1]) for g in found]
-        text = ";".join(",".join(map(str, g[0])) + "|" + ",".join(map(str, g[1])) for g in found)
+        text = written(found)
         out.append((i, sum(len(g[0]) for g in found), sum(len(g[1]) for g in found), len(found), len(links), sum(n[p] == most[p[1]] for p in links), sum(n[p] for p in links), hashlib.sha256(text.encode()).hexdigest()))
     return sorted(out, key=repr)
 
@@ -87,15 +92,14 @@ def test_whole_groups(documents, tokenizers):
     rows = [(k, t) for k, t in enumerate(ODD)]
     for r in alignment.alignment(documents(rows), whole=True).collect():
         wanted = groups_of(rows[r.doc_id][1], tokenizers)
-        assert r.groups == (alignment.written(wanted) if wanted else "")
+        assert r.groups == (written(wanted) if wanted else "")
 
 
 def test_slices_by_common_ends():
-    groups, links = alignment.aligned([1, 2, 3], [b"ab", b"c", b"de"], [7, 8, 9], [b"a", b"bc", b"de"])
-    assert groups == [([1, 2], [7, 8]), ([3], [9])] and links == [(2, 8), (3, 9)] and alignment.written(groups) == "1,2|7,8;3|9"
-    # tokens without bytes end where the one before them ends
-    groups, links = alignment.aligned([1, 2], [b"a", b""], [7, 8], [b"a", b""])
-    assert groups == [([1, 2], [7, 8])] and links == [(1, 7), (1, 8), (2, 7), (2, 8)]
+    common, a_before, b_before = alignment.slices([2, 3, 5], [1, 3, 5])
+    assert common == [3, 5] and a_before.tolist() == [2, 3] and b_before.tolist() == [2, 3]
+    names = np.array([f"{k}{m}" for m in ",|" for k in range(10)], object), np.array([f"{k}{m}" for m in ",;" for k in range(10)], object)
+    assert "".join(alignment.written(np.array([1, 2, 3]), np.array([7, 8, 9]), a_before, b_before, *names)) == "1,2|7,8;3|9;"
 
 
 def test_common_pairs_are_bounded(spark):
