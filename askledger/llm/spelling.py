@@ -148,16 +148,19 @@ class Reduced:
 
 
 def neighbours(words: DataFrame, size: int) -> DataFrame:
-    """wid, other: each word with the hash of every reduced word up to one edit from its own."""
+    """wid, other: each word with the hashes of reduced words up to one edit from its own, of those from its own hash up:
+    of two words whose reduced words differ, one has the other in its half."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Reduced(size)
         for b in batches:
             held, rows = [], 0
-            for wid, word in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                for codes in of.neighbours(word.as_py()):
-                    held.append((wid, codes.view(np.int64)))
-                    rows += len(codes)
+            for wid, word in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                own = of.code(word)
+                for codes in of.neighbours(word):
+                    codes = codes.view(np.int64)
+                    held.append((wid, codes[codes >= own]))
+                    rows += len(held[-1][1])
                     if rows > 200_000:
                         yield joined(held)
                         held, rows = [], 0
@@ -187,8 +190,9 @@ def near_words(words: DataFrame, size: int) -> DataFrame:
     """wid, near_wid, near, near_n: every ordered pair of words exactly one edit apart. `words` has wid, word, n."""
     met = neighbours(words, size).join(coded(words, size).toDF("other", "near_wid", "near", "near_n"), "other")
     pairs = met.where("wid != near_wid").select("wid", "near_wid", "near", "near_n")
-    checked = pairs.join(words.select("wid", "word"), "wid").where(F.levenshtein("word", "near", 1) == 1)
-    return checked.select("wid", "near_wid", "near", "near_n").distinct()
+    checked = pairs.join(words, "wid").where(F.levenshtein("word", "near", 1) == 1)
+    both = F.explode(F.array(F.struct("wid", "near_wid", "near", "near_n"), F.struct(F.col("near_wid").alias("wid"), F.col("wid").alias("near_wid"), F.col("word").alias("near"), F.col("n").alias("near_n"))))
+    return checked.select(both.alias("p")).select("p.*").distinct()
 
 
 def ends(links: DataFrame) -> DataFrame:
