@@ -83,6 +83,11 @@ def gram_hashes(points: np.ndarray) -> np.ndarray:
     return (eight[:n] * b[1] + two[8 : 8 + n]) * _MIX
 
 
+def _distinct(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values)
+    return values[np.append(True, values[1:] != values[:-1])] if len(values) else values
+
+
 def budget(length: int) -> int:
     """Edits allowed in a window: RATE of it, as long as the q-gram bound stays positive."""
     return max(0, min(int(RATE * length), (length + 1) // Q - 2)) if length >= 2 * Q else 0
@@ -141,7 +146,7 @@ class Index:
         return cls([i for i, _ in items], windows, np.array(owner, np.int64), least, grams, np.append(starts, len(every)), joined(window), joined(place), flags, short)
 
     def candidates(self, points: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        """Distinct (document, window, band) whose shared q-grams reach the bound. `doc` numbers the document of each
+        """Distinct (document, window, band) in which as many q-grams of the window are met as the bound asks. `doc` numbers the document of each
         code point; places count from the start of all of them, which only shifts bands."""
         if not len(self.grams):
             return np.zeros((0, 3), np.int64)
@@ -154,13 +159,14 @@ class Index:
         post = np.repeat(self.starts[g] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         at = np.repeat(at, n)
         window, band = self.window[post].astype(np.int64), (at - self.place[post] + LONGEST) // BAND
-        key = np.concatenate([np.stack((doc[at], window, band - k)) for k in (0, 1)], axis=1)
-        order = np.lexsort(key[::-1])
-        key = key[:, order]
-        first = np.flatnonzero(np.concatenate(([True], (key[:, 1:] != key[:, :-1]).any(0)))) if key.shape[1] else np.zeros(0, np.int64)
-        count = np.diff(np.append(first, key.shape[1]))
-        key = key[:, first]
-        return key[:, count >= self.least[key[1]]].T
+        # one number for document, window, band and place: batches are bounded in rows and bytes, so it fits 63 bits
+        bands = int(band.max(initial=0)) + 2
+        key = _distinct(((doc[at] * len(self.windows) + window) * bands + band + 1) * LONGEST + self.place[post])
+        # every band also counts with the one before it; a place that several runs of the text match counts once
+        group, count = np.unique(_distinct(np.concatenate((key, key - LONGEST))) // LONGEST, return_counts=True)
+        group, band = np.divmod(group, bands)
+        found, window = np.divmod(group, len(self.windows))
+        return np.stack((found, window, band - 1), axis=1)[count >= self.least[window]]
 
 
 def align(window: np.ndarray, region: np.ndarray, most: int) -> tuple[int, int, int] | None:

@@ -92,3 +92,13 @@ def test_part_quotations_and_short_items(documents, spark, prose):
     assert all((d, d % 8) in found for d in range(40)) and (50, 90) in found and not any(d == 51 or i == 91 for d, i in found)
     start = found[50, 90].start
     assert rows[40][1][start : found[50, 90].end] == "zyx\n7"
+
+
+def test_repeated_grams_of_a_text_count_once(documents, spark):
+    item = "row 10 of a table: " + "=" * 41 + " and no more of it is quoted anywhere else in this collection"
+    bench = spark.createDataFrame([(1, item, 0)], BENCH)
+    index = dc.Index.of([(1, item)])
+    rule = dc.folded("x" + "=" * 5000)
+    assert len(index.candidates(rule, np.zeros(len(rule), int))) == 0
+    found = dc.contaminated(documents([(1, "=" * 5000), (2, "=" * 500 + " " + item + "=" * 500)]), bench).collect()
+    assert [(r.doc_id, r.start, r.end) for r in found] == [(2, 501, 501 + len(item))]
