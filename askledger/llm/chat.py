@@ -165,17 +165,17 @@ TOOLS: Schemas = {
 
 
 def from_conversations(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Read user turns as calls and assistant turns as results of the turn before. Every row makes one call or result;
-    some calls get a wrong type, lack a parameter, or carry one that their tool does not know, by rules on their ids."""
+    """Read user turns as calls and assistant turns as results of the turn before; turns of other roles are `messages`.
+    Some calls get a wrong type or a parameter that their tool does not know, by rules on their ids; one without a text
+    lacks a parameter."""
     turn, conv = F.col("turn"), F.col("conv_id")
     name = lambda t: F.concat(F.lit("c"), conv, F.lit("."), t)
     chars = F.length("text")
     before = F.when((turn >= 2) & (conv % 2 == 0), name(turn - 2))
     wrong = F.pmod(turn + conv, F.lit(7)) == 3
-    content = F.when(F.pmod(conv, F.lit(11)) != 5, F.col("text"))
     arguments = F.when(
-        wrong, F.to_json(F.struct(content.alias("text"), chars.cast("string").alias("chars"), before.alias("after")))
-    ).otherwise(F.to_json(F.struct(content.alias("text"), chars.alias("chars"), before.alias("after"))))
+        wrong, F.to_json(F.struct("text", chars.cast("string").alias("chars"), before.alias("after")))
+    ).otherwise(F.to_json(F.struct("text", chars.alias("chars"), before.alias("after"))))
     tool = F.element_at(F.array(*[F.lit(t) for t in ("search", "lookup", "summarise")]), (F.pmod(conv + turn, F.lit(3)) + 1).cast("int"))
     calls = conversations.where("role = 'user'").select(
         "conv_id", name(turn).alias("call_id"), turn.alias("position"), tool.alias("name"), arguments.alias("arguments"), F.array_compact(F.array(before)).alias("depends_on")
@@ -184,10 +184,26 @@ def from_conversations(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     return calls, results
 
 
+def messages(conversations: DataFrame) -> DataFrame:
+    """Turns that are neither call nor result (role system, tool, unknown or null), in the columns of `link`: status
+    `message`, no identifier, no level; the record has role and text. Exact repeats count once."""
+    fields = F.struct(F.col("text").alias("content"), "role", F.lit("message").alias("status"))
+    none = F.lit(None)
+    return conversations.where("role IS NULL OR role NOT IN ('user', 'assistant')").select("conv_id", "turn", "role", "text").distinct().select(
+        "conv_id", none.cast("string").alias("call_id"), F.lit("message").alias("status"), none.cast("int").alias("level"), F.col("turn").alias("position"),
+        F.lit(True).alias("valid"), F.lit("").alias("errors"), F.lit(0).cast("long").alias("n_results"), F.to_json(fields).alias("record"),
+    )
+
+
+def linked_turns(conversations: DataFrame) -> DataFrame:
+    """Every turn of the conversations: calls with their results, results without a call, and messages."""
+    return link(*from_conversations(conversations), TOOLS).unionByName(messages(conversations))
+
+
 ORACLE_SQL = """
 WITH RECURSIVE u AS (
   SELECT DISTINCT conv_id, turn, 'c' || conv_id || '.' || turn AS call_id, text, ['search', 'lookup', 'summarise'][(conv_id + turn) % 3 + 1] AS name,
-    (turn + conv_id) % 7 = 3 AS wrong, conv_id % 11 <> 5 AND text IS NOT NULL AS has_text,
+    (turn + conv_id) % 7 = 3 AS wrong, text IS NOT NULL AS has_text,
     CASE WHEN turn >= 2 AND conv_id % 2 = 0 THEN 'c' || conv_id || '.' || (turn - 2) END AS after
   FROM conversations WHERE role = 'user'),
 k AS (SELECT u.*, p.call_id IS NOT NULL AS known FROM u LEFT JOIN (SELECT DISTINCT call_id FROM u) p ON u.after = p.call_id),
@@ -216,4 +232,9 @@ SELECT conv_id, call_id, status, level, position, valid, errors, n_results, '{'
     CASE WHEN name IS NOT NULL THEN '"name":"' || name || '"' END, CASE WHEN content IS NOT NULL THEN '"result":' || to_json(content) END,
     '"status":"' || status || '"'], lambda x: x IS NOT NULL), ',') || '}' AS record
 FROM j
+UNION ALL
+SELECT conv_id, NULL, 'message', NULL, turn, true, '', 0, '{' || array_to_string(list_filter([
+    CASE WHEN text IS NOT NULL THEN '"content":' || to_json(text) END, CASE WHEN role IS NOT NULL THEN '"role":' || to_json(role) END,
+    '"status":"message"'], lambda x: x IS NOT NULL), ',') || '}'
+FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE role IS NULL OR role NOT IN ('user', 'assistant'))
 """

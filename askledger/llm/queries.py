@@ -16,7 +16,7 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.link(*chat.from_conversations(read(spark, sf_dir, "conversations")), chat.TOOLS)
+    return chat.linked_turns(read(spark, sf_dir, "conversations"))
 
 
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

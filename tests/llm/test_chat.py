@@ -52,5 +52,17 @@ def test_derived_conversations_agree_with_sql(spark):
     folder = "/root/testdata/sf0.001"
     con = duckdb.connect()
     con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{folder}/conversations.parquet'")
-    mine = chat.link(*chat.from_conversations(spark.read.parquet(f"{folder}/conversations.parquet")), chat.TOOLS)
+    mine = chat.linked_turns(spark.read.parquet(f"{folder}/conversations.parquet"))
     assert sorted(map(tuple, mine.collect()), key=repr) == sorted(con.sql(chat.ORACLE_SQL).fetchall(), key=repr)
+
+
+def test_every_turn_has_its_row(spark):
+    turns = [(1, 0, "system", 'be "brief"'), (1, 1, "user", "q"), (1, 2, "assistant", "a"), (1, 3, "tool", "t"), (1, 3, "tool", "t"), (1, 4, None, None), (5, 0, "user", "whole"), (6, 0, "critic", "")]
+    frame = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    con = duckdb.connect()
+    con.register("conversations", frame.toPandas())
+    mine = sorted(map(tuple, chat.linked_turns(frame).collect()), key=repr)
+    assert mine == sorted(con.sql(chat.ORACLE_SQL).fetchall(), key=repr) and len(mine) == 6
+    records = {(r[0], r[4]): r[8] for r in mine}
+    assert records[1, 0] == '{"content":"be \\"brief\\"","role":"system","status":"message"}' and records[1, 4] == '{"status":"message"}'
+    assert '"text":"whole"' in records[5, 0] and '"result":"a"' in records[1, 1]
