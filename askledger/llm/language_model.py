@@ -26,8 +26,9 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -264,40 +265,53 @@ def score(docs: DataFrame, held_out: Column, model: Model, id_column: str = "doc
     shared, segments = spark.sparkContext.broadcast(light), model.segments
     kind = np.uint16 if segments <= 1 << 16 else np.uint32
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, hashes, number = shared.value, WordHashes(), TaskContext.get().partitionId() << 40
+    def slices(of_slice: Callable) -> Callable:
+        """A task that calls `of_slice` on each slice. Texts and questions come from two runs over the same rows, so a
+        slice is named by its place and its content: runs that cut the rows differently cannot be mistaken for alike."""
+
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            hashes, partition = WordHashes(), TaskContext.get().partitionId()
+            for k, b in enumerate(sliced(batches, 2, SCORE_BYTES)):
+                tokens, _, ends = tokens_of(*hashes.of(b.column(2).to_pylist()))
+                name = blake2b(f"{partition} {k} {b.column(0).to_pylist()}".encode() + ends.tobytes() + tokens.tobytes(), digest_size=8)
+                number = int.from_bytes(name.digest(), "little", signed=True)
+                distinct, which = np.unique(tokens, return_inverse=True)
+                yield pa.RecordBatch.from_pylist([{"slice": number, **row} for row in of_slice(b, tokens, ends, distinct, which)], schema=ASKED)
+
+        return task
+
+    def grams_of(ends: np.ndarray, distinct: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        before, after, _ = pairs_of(which, np.concatenate(([0], ends[:-1])), len(distinct))
+        return one_gram(distinct), two_gram(np.append(distinct, _START)[before], distinct[after])
+
+    def ask(b: pa.RecordBatch, tokens: np.ndarray, ends: np.ndarray, distinct: np.ndarray, which: np.ndarray) -> Iterator[dict]:
+        ones, pairs = grams_of(ends, distinct, which)
+        _, one_order, cut = by_segment(ones, segments)
+        _, pair_order, pair_cut = by_segment(pairs, segments)
+        ones, pairs = Filter.local(ones[one_order], segments), Filter.local(pairs[pair_order], segments)
+        for s in np.flatnonzero((cut[1:] > cut[:-1]) | (pair_cut[1:] > pair_cut[:-1])).tolist():
+            yield {"segment": s, "ones": ones[cut[s] : cut[s + 1]].tobytes(), "pairs": pairs[pair_cut[s] : pair_cut[s + 1]].tobytes()}
+
+    def keep(b: pa.RecordBatch, tokens: np.ndarray, ends: np.ndarray, distinct: np.ndarray, which: np.ndarray) -> Iterator[dict]:
+        m = shared.value
         unknown = len(m.frequent)
-        for b in sliced(batches, 2, SCORE_BYTES):
-            tokens, _, ends = tokens_of(*hashes.of(b.column(2).to_pylist()))
-            starts = np.concatenate(([0], ends[:-1]))
-            distinct, which = np.unique(tokens, return_inverse=True)
-            at = np.minimum(np.searchsorted(m.frequent, distinct), max(0, unknown - 1))
-            found = m.frequent[at] == distinct if unknown else np.zeros(len(distinct), bool)
-            base = np.where(found, m.log_probability(m.frequent_counts[at]), 0.0)[which] if unknown else np.zeros(len(tokens))
-            here = found[which]
-            rest = [None] * len(ends)
-            absent = np.flatnonzero(~here)
-            owner = np.searchsorted(ends, absent, side="right")
-            cuts = np.flatnonzero(np.diff(owner)) + 1
-            for k, part in zip(np.unique(owner), np.split(absent, cuts), strict=False):
-                values, times = np.unique(tokens[part], return_counts=True)
-                rest[k] = [{"token": t, "times": n} for t, n in zip(values.view(np.int64).tolist(), times.tolist(), strict=True)]
-            sums = lambda x: np.add.reduceat(x, starts).tolist()  # noqa: E731, B023
-            known = [b.column(0).to_pylist(), b.column(1).to_pylist(), (ends - starts).tolist(), sums(here.astype(np.int64)), sums(base), rest]
-            known = [dict(zip(("doc_id", "held_out", "n_tokens", "n_known", "base", "rest"), row, strict=True)) for row in zip(*known, strict=True)]
-            before, after, _ = pairs_of(which, starts, len(distinct))
-            ones, pairs = one_gram(distinct), two_gram(np.append(distinct, _START)[before], distinct[after])
-            one_owner, one_order, cut = by_segment(ones, segments)
-            pair_owner, pair_order, pair_cut = by_segment(pairs, segments)
-            ones, pairs = Filter.local(ones[one_order], segments), Filter.local(pairs[pair_order], segments)
-            yield pa.RecordBatch.from_pylist(
-                [{"slice": number, "known": known, "tokens": _packed(which.astype(np.uint32)), "one_owner": _packed(one_owner.astype(kind)), "pair_owner": _packed(pair_owner.astype(kind))}], schema=ASKED
-            )
-            own = [s for s in range(segments) if cut[s + 1] > cut[s] or pair_cut[s + 1] > pair_cut[s]]
-            yield pa.RecordBatch.from_pylist(
-                [{"slice": number, "segment": s, "ones": ones[cut[s] : cut[s + 1]].tobytes(), "pairs": pairs[pair_cut[s] : pair_cut[s + 1]].tobytes()} for s in own], schema=ASKED
-            )
-            number += 1
+        starts = np.concatenate(([0], ends[:-1]))
+        at = np.minimum(np.searchsorted(m.frequent, distinct), max(0, unknown - 1))
+        found = m.frequent[at] == distinct if unknown else np.zeros(len(distinct), bool)
+        base = np.where(found, m.log_probability(m.frequent_counts[at]), 0.0)[which] if unknown else np.zeros(len(tokens))
+        here = found[which]
+        rest = [None] * len(ends)
+        absent = np.flatnonzero(~here)
+        owner = np.searchsorted(ends, absent, side="right")
+        cuts = np.flatnonzero(np.diff(owner)) + 1
+        for k, part in zip(np.unique(owner), np.split(absent, cuts), strict=False):
+            values, times = np.unique(tokens[part], return_counts=True)
+            rest[k] = [{"token": t, "times": n} for t, n in zip(values.view(np.int64).tolist(), times.tolist(), strict=True)]
+        sums = lambda x: np.add.reduceat(x, starts).tolist()
+        known = [b.column(0).to_pylist(), b.column(1).to_pylist(), (ends - starts).tolist(), sums(here.astype(np.int64)), sums(base), rest]
+        known = [dict(zip(("doc_id", "held_out", "n_tokens", "n_known", "base", "rest"), row, strict=True)) for row in zip(*known, strict=True)]
+        one_owner, pair_owner = (by_segment(g, segments)[0] for g in grams_of(ends, distinct, which))
+        yield {"known": known, "tokens": _packed(which.astype(np.uint32)), "one_owner": _packed(one_owner.astype(kind)), "pair_owner": _packed(pair_owner.astype(kind))}
 
     def probe(lists: pa.Table, segment: pa.Table) -> pa.Table:
         bits = np.frombuffer(segment.column("bits")[0].as_py(), np.uint8) if segment.num_rows else np.zeros(8, np.uint8)
@@ -306,7 +320,9 @@ def score(docs: DataFrame, held_out: Column, model: Model, id_column: str = "doc
         return pa.table({"slice": lists.column("slice"), "segment": lists.column("segment"), "ones": levels("ones"), "pairs": levels("pairs")})
 
     def finish(asked: pa.Table, probed: pa.Table) -> pa.Table:
-        m, probed, row = shared.value, probed.sort_by("segment"), asked.slice(0, 1).to_pylist()[0]
+        if asked.num_rows != 1 or not probed.num_rows:
+            raise ValueError("the rows of the input came in another order when read again: write them to a table first")
+        m, probed, row = shared.value, probed.sort_by("segment"), asked.to_pylist()[0]
 
         def counts(column: str, owner: np.ndarray) -> np.ndarray:
             out = np.zeros(len(owner))
@@ -328,12 +344,11 @@ def score(docs: DataFrame, held_out: Column, model: Model, id_column: str = "doc
         return pa.Table.from_pylist(known, schema=pa.schema([*ASKED.field("known").type.value_type, ("score", pa.float64())]))
 
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(text_column).alias("text"))
-    asked = stored(rows.mapInArrow(ask, ASKED_SQL), "asked")
-    lists = asked.where("segment IS NOT NULL").select("slice", "segment", "ones", "pairs")
+    lists = rows.mapInArrow(slices(ask), ASKED_SQL).select("slice", "segment", "ones", "pairs")
     probed = lists.groupBy("segment").cogroup(model.filter.groupBy("segment")).applyInArrow(probe, "slice long, segment long, ones binary, pairs binary")
-    texts = asked.where("segment IS NULL").select("slice", "known", "tokens", "one_owner", "pair_owner")
+    texts = rows.mapInArrow(slices(keep), ASKED_SQL).select("slice", "known", "tokens", "one_owner", "pair_owner")
     scored = texts.groupBy("slice").cogroup(probed.groupBy("slice")).applyInArrow(finish, SCORED)
-    done = stored(scored, "scored").withColumn("row", F.monotonically_increasing_id())
+    done = stored(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
     scale = F.lit(model.total + ADDED * (model.distinct + 1))
     rest = (
         done.select("row", F.inline("rest"))
