@@ -216,6 +216,23 @@ def entity_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+CITED_URL = (
+    "case o_orderkey % 5 when 0 then null when 1 then 'https://other.example/x' "
+    "else concat('https://www.Shop', o_custkey % 7, '.example/p') end"
+)
+CITED_QUESTION = (
+    "case o_orderkey % 7 when 0 then 'Are there complaints about the shop?' when 1 then 'What kind of shop is it?' "
+    "when 2 then 'Customer reviews near building' when 3 then null else 'zzz' end"
+)
+
+
+def entity_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A citation per order, of its customer; the fourth run made no query."""
+    return table(spark, sf_dir, "orders").selectExpr(
+        "cast(o_custkey as string) as se10", "o_orderkey % 4 as run_id", f"{CITED_URL} as url", f"{CITED_QUESTION} as question"
+    )
+
+
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers with a merchants row."""
     return table(spark, sf_dir, "customer").filter("c_custkey % 17 <> 5").selectExpr(

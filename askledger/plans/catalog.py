@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from askledger.functions import text as tx
 from askledger.operators import anomaly as an
+from askledger.operators import attribution as at
 from askledger.operators import defects as df_
 from askledger.operators import entities as en
 from askledger.operators import health as hl
@@ -413,6 +415,14 @@ def anomaly_payload(s, d):
     )
 
 
+@query
+def anomaly_payload_of_three(s, d):
+    """The payload cap where it bites: texts on the first three rows of a code in a file."""
+    return an.cap_payload(wl.anomalies(_logs(s, d)), rows=3).groupBy("code", "src_file").agg(
+        F.count(F.lit(1)).alias("n"), F.count("raw_excerpt").alias("n_excerpts")
+    )
+
+
 @query
 def anomaly_samples(s, d):
     return an.anomaly_samples(wl.anomalies(_logs(s, d)), "QUERY_REQUOTED", 10).select(
@@ -579,6 +589,12 @@ def answer_spread(s, d):
     return ins.answer_spread(b.answers(s, d))
 
 
+@query
+def citation_queries(s, d):
+    asked = b.entity_queries(s, d).withColumn("run_id", F.col("call_index") % 3)
+    return at.best_queries(b.entity_citations(s, d).withColumn("domain", tx.hostname(F.col("url"))), asked)
+
+
 @query
 def calls_by_position(s, d):
     return ins.calls_by_position(b.calls(s, d), b.citations(s, d))

@@ -330,6 +330,32 @@ select count(*) n_entities, sum(n)::bigint n_calls, quantile_cont(n, 0.5) median
   max(n) most_calls from (select count(*) n from b_calls group by se10)""")
     capped = B_CALLS.replace("from lineitem", "from lineitem where l_linenumber <= 2", 1)
     out["usage_capped_at_two"] = _with(B_RUNS, capped, B_RATES, tier, select="select * from priced")
+    # every citation against every query of its entity
+    out["citation_queries"] = _with(f"""
+q as (
+  select *, list_distinct(regexp_extract_all(lower(query_text), '[a-z0-9]+')) w,
+    list_transform(regexp_extract_all(lower(query_text), '[a-z0-9-]+(?:\\.[a-z0-9-]+)+'), lambda x: regexp_replace(x, '^www\\.', '')) h
+  from (select distinct cast(o_custkey as varchar) se10, o_orderkey % 3 query_run, {b.QUERY_TEXT.format(text="varchar")} query_text
+    from (select *, unnest(range(0, 6)) k from orders))
+), c as (
+  select se10, run_id, domain, question, count(*) n_citations,
+    coalesce(list_distinct(regexp_extract_all(lower(question), '[a-z0-9]+')), []) w
+  from (select cast(o_custkey as varchar) se10, o_orderkey % 4 run_id, {b.CITED_QUESTION} question,
+    lower(nullif(regexp_extract({b.CITED_URL}, 'https://([^/]+)', 1), '')) as domain from orders) group by all
+), p as (
+  select c.*, query_text, query_run, len(list_intersect(c.w, q.w)) shared,
+    coalesce(list_contains(h, regexp_replace(domain, '^www\\.', '')), false) has_host
+  from c left join q using (se10)
+), r as (
+  select *, case when has_host or shared > 0 then has_host::int * 100 + coalesce(60 * shared // nullif(len(w), 0), 0)
+    + (run_id = query_run)::int * 20 end score from p
+), n as (
+  select *, row_number() over (partition by se10, run_id, domain, question order by score desc nulls last, query_text, query_run) rn from r)""", select="""
+select se10, run_id, domain, question, max(n_citations) n_citations, max(query_text) filter (rn = 1 and score is not null) query_text,
+  max(query_run) filter (rn = 1 and score is not null) query_run, max(score) filter (rn = 1)::bigint score,
+  max(score) filter (rn = 2)::bigint runner_up,
+  coalesce(max(score) filter (rn = 1) - max(score) filter (rn = 2) <= 10, false) is_ambiguous
+from n group by se10, run_id, domain, question""")
     out["label_value"] = _with(B_ANSWERS, select=f"""
 select *, null_rate - said_rate gap from (
   select *, n_null_labelled / nullif(n_null, 0) null_rate, n_said_labelled / nullif(n_said, 0) said_rate from (

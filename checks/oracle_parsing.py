@@ -170,6 +170,9 @@ select se10, run_key, run_id, call_index, src_file, src_line, unnest(entries) qu
 select code, 'weblogs' stage, count(*) n, count(distinct src_file) n_files from log_anomalies group by code""")
     out["anomaly_payload"] = logs("""
 select code, src_file, count(*) n, count(*) filter (has_excerpt) n_excerpts from log_anomalies group by all""")
+    out["anomaly_payload_of_three"] = logs("""
+select code, src_file, count(*) n, count(*) filter (has_excerpt and rn <= 3) n_excerpts from (
+  select *, row_number() over (partition by code, src_file order by src_line) rn from log_anomalies) group by code, src_file""")
     out["anomaly_samples"] = logs("""
 select * from (select code, se10, src_file, src_line, row_number() over (partition by src_file order by src_line) rn
   from log_anomalies where code = 'QUERY_REQUOTED') order by rn, src_file, src_line limit 10""")
