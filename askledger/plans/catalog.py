@@ -15,6 +15,7 @@ from askledger.operators import entities as en
 from askledger.operators import health as hl
 from askledger.operators import insight as ins
 from askledger.operators import masking as mk
+from askledger.operators import merging as mg
 from askledger.operators import records as rc
 from askledger.operators import runs as rn
 from askledger.operators import scorecard as sc
@@ -262,6 +263,16 @@ def withheld_templates(s, d):
     return mk.withheld_count(_masked(s, d))
 
 
+@query
+def merged_templates(s, d):
+    return mg.merged_templates(mk.billed_templates(_masked(s, d)))
+
+
+@query
+def merged_counts(s, d):
+    return mg.merged_counts(merged_templates(s, d))
+
+
 # --- health and defects --------------------------------------------------------------------
 
 

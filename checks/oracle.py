@@ -414,6 +414,27 @@ select *, least(100, n_distinct) head_size, head_covered / nullif(n_billed, 0) h
   n_distinct <= 100 head_is_whole, coalesce(head_covered / nullif(n_billed, 0) < 0.5, false) thin_head
 from (select sum(n)::bigint n_billed, count(*) n_distinct, count(*) filter (n = 1) n_singleton,
   (select sum(n)::bigint from (select n from t order by n desc limit 100)) head_covered from t)""")
+    # pairs that share one of their rarest grams, compared on all grams; then everything reachable
+    out["merged_templates"] = masking("""
+, t as (select template, count(*) n from masked where template is not null and is_billed_query group by 1)
+, g as materialized (select template, unnest(case when length(low) < 3 then [low] else list_distinct(
+    flatten(list_transform([3, 4, 5], lambda k: list_transform(range(1, length(low) - k + 2), lambda i: substr(low, i, k))))) end) gram
+  from (select template, lower(template) low from t))
+, o as materialized (select template, list(gram order by df, gram) s
+  from g join (select gram, count(*) df from g group by 1) using (gram) group by 1)
+, k as materialized (select template, unnest(s[1:len(s) - (85 * len(s) + 99) // 100 + 1]) gram from o)
+, p as materialized (select a, b from (
+    select a, b, len(list_intersect(x.s, y.s)) shared, len(x.s) + len(y.s) total
+    from (select distinct l.template a, r.template b from k l join k r on l.gram = r.gram and l.template < r.template)
+    join o x on x.template = a join o y on y.template = b)
+  where 100 * shared >= 85 * (total - shared))
+, e as materialized (select a, b from p union all select b, a from p)
+, c as (with recursive r as (select template a, template b from t union select r.a, e.b from r join e on r.b = e.a) select * from r)
+select template, n, coalesce(n_similar, 0) n_similar, merged from t
+  join (select a template, first(b order by n desc, b) merged from c join t on t.template = c.b group by a) using (template)
+  left join (select a template, count(*) n_similar from e group by a) using (template)""")
+    out["merged_counts"] = f"""
+select merged, count(*) n_templates, sum(n)::bigint n_queries, max(n) n_largest from ({out['merged_templates']}) group by 1 having count(*) > 1"""
     out["placeholder_counts"] = masking("""
 select f field, count(*) filter (is_billed_query and contains(template, '<' || upper(f) || '>')) n
 from masked, (select unnest(['name', 'street', 'city', 'zip', 'phone', 'email', 'owner']) f) group by f""")

@@ -13,7 +13,7 @@ SQL = entry.oracle_sql()
 SOME = [
     "scorecard", "third_run_totals", "usage_by_run", "cut_to_two_runs", "url_overlap", "shared_prefix_by_source",
     "mask_queries", "leftover_by_field", "run_defects", "reconcile_runs", "weblog_calls", "anomaly_payload",
-    "citation_queries", "anomaly_payload_of_three", "input_terms", "output_answers", "output_citations", "health",
+    "citation_queries", "anomaly_payload_of_three", "merged_counts", "input_terms", "output_answers", "output_citations", "health",
 ]
 # Queries without SQL are tested against brute force with the operators they apply.
 NAMES = sorted(SQL) if os.environ.get("ALL_QUERIES") else SOME
