@@ -111,3 +111,23 @@ def test_queries_are_scanned_and_shuffled_once_for_masking(spark, tmp_path):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     reads = [line for line in plan.splitlines() if "FileScan parquet" in line and "q_ord" in line]
     assert len(reads) <= 2 and ("ReusedExchange" in plan or "Broadcast" in plan)
+
+
+def test_queries_meet_terms_that_are_packed_already(spark):
+    """The join has no packing in its tasks, and the parts of a large entity give the same hits as one row."""
+    queries = spark.createDataFrame([("a", 1, "Ann of Oak Street"), ("b", 2, "oak"), (None, 3, "ann")], "se10 string, k int, q string")
+    terms = spark.createDataFrame([("a", "name", "ann"), ("a", "street", "oak street"), ("a", "city", "rome"), (None, "name", "ann")], "se10 string, field string, value_norm string")
+    for limit in (2, 100):
+        found = mk.attach_hits(queries, terms, F.lower("q"), ["k"], limit)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in plan and "count(" not in plan
+        got = {r.k: ([h.value_norm for h in r._hits], r._has_terms) for r in found.collect()}
+        assert got == {1: (["oak street", "ann"], True), 2: ([], False), 3: ([], False)}
+
+
+def test_partitions_are_bounded(spark):
+    """Many partitions to start with, merged up to a fixed size: a task's memory does not follow the input."""
+    from askledger.session import ADVISED
+
+    assert ADVISED["spark.sql.adaptive.advisoryPartitionSizeInBytes"] == "16m"
+    assert int(ADVISED["spark.sql.adaptive.coalescePartitions.initialPartitionNum"]) >= 1000
