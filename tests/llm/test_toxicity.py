@@ -63,3 +63,21 @@ def test_best_threshold_is_best():
     logits, y = np.array([3.0, 2.0, 1.0, 0.5, -1.0]), np.array([1, 1, 0, 1, 0])
     f1 = lambda t: 2 * ((logits >= t) & (y > 0)).sum() / ((logits >= t).sum() + y.sum())
     assert f1(toxicity.best_threshold(logits, y)) == max(f1(t) for t in logits)
+
+
+def test_every_labelled_row_is_learned_from(spark, documents, prose, monkeypatch):
+    """A word of three rows among many is learned: no row is left out, whatever the number of tasks."""
+    rows = [(k, prose(6, k) + (" zzyzx" if k in (3, 703, 1101) else " scum" if k % 10 == 1 else ""), "en") for k in range(1200)]
+    docs = documents(rows)
+    marks = spark.createDataFrame([(k, 0, int("zzyzx" in t or "scum" in t)) for k, t, _ in rows], "doc_id long, quality int, toxic int")
+    seen = []
+    real = toxicity.started
+    monkeypatch.setattr(toxicity, "started", lambda slots, toxic, clean, share: seen.append((slots, toxic + clean)) or real(slots, toxic, clean, share))
+    profiles = language.learn(docs, F.lit(True))
+    net = toxicity.train(docs, marks, F.lit(True), profiles, task_rows=100)
+    front = {r.id for r in spark.range(1200).where("pmod(xxhash64(id), 5) != 0").collect()}
+    at = toxicity.WordRows()["scum"] // toxicity.START_ROWS
+    slots, n = seen[0]
+    assert n[slots == at].sum() == sum(k in front and "scum" in t for k, t, _ in rows)
+    found = {r.doc_id: r.predicted for r in toxicity.score(docs, net, profiles).collect()}
+    assert np.mean([found[k] == int("zzyzx" in t or "scum" in t) for k, t, _ in rows]) > 0.95
