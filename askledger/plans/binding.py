@@ -31,19 +31,24 @@ RATES = {
 }
 
 
+#: Rows of a table that one task turns into lines and parses, about.
+PARSED_ROWS = 50_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table in as many parts at least as there are cores: parsing costs far more than moving narrow rows once.
+def spread_table(spark: SparkSession, sf_dir: str, name: str, part_rows: int = PARSED_ROWS) -> DataFrame:
+    """A table in parts of about `part_rows` rows, in as many as there are cores at least: parsing costs far more than
+    moving narrow rows once, and a task's time must not follow the size of the table.
 
-    A table that the scan itself splits that far, as any large one, is left as it is. The number is given, so that adaptive
-    execution does not merge the parts again.
+    A table that the scan itself splits that far is left as it is. The number is given, so that adaptive execution does
+    not merge the parts again.
     """
     df = table(spark, sf_dir, name)
-    cores = spark.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, df.columns[0])
+    parts = max(spark.sparkContext.defaultParallelism, -(-df.count() // part_rows))
+    return df if df.rdd.getNumPartitions() >= parts else df.repartition(parts, df.columns[0])
 
 
 def rates(spark: SparkSession) -> DataFrame:

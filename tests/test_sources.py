@@ -165,3 +165,12 @@ def test_masked_text_holds_no_live_term(spark, corpus, tmp_path):
     )
     left = masked.join(t["terms"], "se10").filter(F.contains("template", "value_norm"))
     assert left.count() == 0 and masked.count() == t["query_instances"].count()
+
+
+def test_parts_follow_the_rows_of_a_table(spark, tmp_path):
+    """A task parses so many rows, not a share of the table."""
+    from askledger.plans import binding
+
+    spark.range(1000).write.parquet(f"{tmp_path}/t.parquet")
+    spread = binding.spread_table(spark, str(tmp_path), "t", part_rows=10)
+    assert spread.rdd.getNumPartitions() == 100 and spread.count() == 1000
