@@ -32,11 +32,12 @@ def spread_join(
     """Equi-join a possibly skewed `big` to `side`, cutting each hot key into pieces of about `min_rows` rows.
 
     Only the rows of `side` that belong to a hot key are repeated, once for each piece. The list of hot keys has
-    one row per `min_rows` rows of `big` at most; how it is joined is left to Spark's own size threshold.
+    one row per `min_rows` rows of `big` at most, so it is broadcast; otherwise both sides would be shuffled by the key to
+    meet it, and once more by key and piece.
     Rows spread by a hash of `spread_by` (all columns of `big` by default), which a retried task computes again
     identically.
     """
-    hot = hot_keys(big, keys, min_rows)
+    hot = F.broadcast(hot_keys(big, keys, min_rows))
     spread = [F.col(c) for c in (spread_by or big.columns)]
     left = big.join(hot, list(keys), "left").withColumn(
         "_salt",

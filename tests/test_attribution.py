@@ -32,3 +32,12 @@ def test_empty(spark):
     assert rows(attribution.best_queries(*none)) == []
     one = spark.createDataFrame([("1", 0, "a.example", "b", "x")], CITED)
     assert attribution.best_queries(one, none[1]).first().score is None
+
+
+def test_queries_in_several_packed_rows_find_the_same_and_no_word_is_shuffled(spark):
+    cited = spark.createDataFrame([(str(k % 2), k % 3, f"s{k % 5}.example", f"word{k % 7} shop", "x") for k in range(60)], CITED)
+    said = spark.createDataFrame([(str(k % 2), k % 4 or None, f"shop s{k % 6}.example word{k % 9}", "y") for k in range(60)], SAID)
+    whole, cut = (rows(attribution.best_queries(cited, said, limit=m)) for m in (1024, 4))
+    assert whole == cut and len(whole) == 60
+    # a packed row holds all distinct queries of a small entity, so as many rows meet as there are entities
+    assert attribution.pack_queries(said).count() == 2 and attribution.pack_queries(said, 4).count() > 4

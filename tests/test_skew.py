@@ -131,3 +131,11 @@ def test_partitions_are_bounded(spark):
 
     assert ADVISED["spark.sql.adaptive.advisoryPartitionSizeInBytes"] == "16m"
     assert int(ADVISED["spark.sql.adaptive.coalescePartitions.initialPartitionNum"]) >= 1000
+
+
+def test_sides_are_not_shuffled_to_meet_the_hot_keys(spark):
+    big = skewed(spark)
+    side = big.select("k").distinct()
+    # rows of `big` move once, by key and piece: the few hot keys come to them
+    plan = skew.spread_join(big, side, ["k"], "left", ["id"], min_rows=100)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=broadcast") == 2
