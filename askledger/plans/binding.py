@@ -1,7 +1,7 @@
 """The domain tables, read out of the shared test tables.
 
 Each view covers every row of the tables it is made from. Views are plain projections and
-in-row explodes: none of them shuffles.
+in-row explodes; those that make several wide rows of one first deal a large table over more parts.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ RATES = {
 
 #: Rows of a table that one task turns into lines and parses, about.
 PARSED_ROWS = 50_000
+#: Rows of a table that one task turns into six rows each, about: a task holds what it shuffles.
+EXPLODED_ROWS = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,7 +43,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def spread_table(spark: SparkSession, sf_dir: str, name: str, part_rows: int = PARSED_ROWS) -> DataFrame:
     """A table in parts of about `part_rows` rows, in as many as there are cores at least: parsing costs far more than
-    moving narrow rows once, and a task's time must not follow the size of the table.
+    moving narrow rows once, and a task's time and memory must not follow the size of the table.
 
     A table that the scan itself splits that far is left as it is. The number is given, so that adaptive execution does
     not merge the parts again.
@@ -209,7 +211,7 @@ QUERY_TEXT = (
 def entity_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queries per customer, six per order, of which two are not billed."""
     return (
-        table(spark, sf_dir, "orders")
+        spread_table(spark, sf_dir, "orders", EXPLODED_ROWS)
         .selectExpr("*", "explode(sequence(0, 5)) as k")
         .selectExpr(
             "cast(o_custkey as string) as se10",
@@ -263,7 +265,7 @@ def terms(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
     )
     return (
-        table(spark, sf_dir, "customer")
+        spread_table(spark, sf_dir, "customer", EXPLODED_ROWS)
         .filter("c_custkey % 13 <> 7 and c_custkey % 17 <> 5")
         .select(F.expr("cast(c_custkey as string) as se10"), packed.alias("t"))
         .select("se10", "t.field", "t.value_norm")

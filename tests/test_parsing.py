@@ -225,3 +225,15 @@ def test_order_numbers_tell_all_problems_of_a_line_apart(spark, bronze):
     for df in (found, again):
         key = df.groupBy("stage", "code", "src_file", "src_line", "seq").count()
         assert df.count() > 20 and key.filter("count > 1").count() == 0
+
+
+def test_rows_made_into_several_are_dealt_over_parts_first(spark, tmp_path, monkeypatch):
+    """A task's memory must not follow the size of the table: a table of one split gets a part for so many rows."""
+    from askledger.plans import binding
+
+    spark.range(300).selectExpr("id as o_orderkey", "id % 40 as o_custkey", "'F' as o_orderstatus", "'1-URGENT' as o_orderpriority").coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    spark.range(40).selectExpr("id as c_custkey", "concat('C#', id) as c_name", "'BUILDING' as c_mktsegment").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    monkeypatch.setattr(binding, "EXPLODED_ROWS", 10)
+    queries, terms = binding.entity_queries(spark, str(tmp_path)), binding.terms(spark, str(tmp_path))
+    assert queries.rdd.getNumPartitions() == 30 and queries.count() == 1800
+    assert terms.rdd.getNumPartitions() >= 4 and terms.select("se10").distinct().count() == 40 - len([k for k in range(40) if k % 13 == 7 or k % 17 == 5])
