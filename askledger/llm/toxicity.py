@@ -37,7 +37,8 @@ from pyspark.sql import functions as F
 from askledger.llm import language
 from askledger.llm.common import sliced, stored
 
-WORD_ROWS, START_ROWS = 1 << 19, 1 << 16
+START_BITS = 16
+WORD_ROWS, START_ROWS = 1 << 19, 1 << START_BITS
 START_LETTERS = 4
 WIDTH = 8
 SPANS = (1, 2, 3)
@@ -56,21 +57,29 @@ SLICE_BYTES = 2 << 20
 CACHE_WORDS = 200_000
 
 _WORD = re.compile(r"[^\W\d_]+")
+#: For texts of one byte a code point: what is no letter becomes a space.
+_LETTERS = bytes(c if _WORD.match(chr(c)) else 32 for c in range(256))
 
 
 class WordRows(dict):
     """word -> row in the word table, and row in the table of first letters, as one number."""
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: str | bytes) -> int:
+        word, known = word.decode("latin-1") if isinstance(word, bytes) else word, word
         own = xxhash.xxh3_64_intdigest(word.encode()) % (WORD_ROWS - 1) + 1
         start = xxhash.xxh3_64_intdigest(word[:START_LETTERS].encode(), 1) % (START_ROWS - 1) + 1
-        value = self[word] = own * START_ROWS + start
+        value = self[known] = own * START_ROWS + start
         return value
 
     def of(self, text: str | None) -> list[int]:
         if len(self) > CACHE_WORDS:
             self.clear()
-        return list(map(self.__getitem__, _WORD.findall((text or "").lower())))
+        text = (text or "").lower()
+        try:
+            words = text.encode("latin-1").translate(_LETTERS).split()
+        except UnicodeEncodeError:
+            words = _WORD.findall(text)
+        return list(map(self.__getitem__, words))
 
 
 @dataclass
@@ -87,11 +96,13 @@ class Network:
     threshold: float = 0.0
 
     def inputs(self, rows: np.ndarray) -> np.ndarray:
-        return np.concatenate((self.words[rows // START_ROWS], self.starts[rows % START_ROWS]), axis=1)
+        x = np.empty((len(rows), 2 * WIDTH), np.float32)
+        x[:, :WIDTH] = self.words[rows >> START_BITS]
+        x[:, WIDTH:] = self.starts[rows & START_ROWS - 1]
+        return x
 
-    def responses(self, rows: np.ndarray) -> list[np.ndarray]:
-        """Per filter width, what each filter gives at each place (a window begins there)."""
-        x = self.inputs(rows)
+    def responses(self, x: np.ndarray) -> list[np.ndarray]:
+        """Per filter width, what each filter gives at each place (a window begins there) of inputs."""
         return [sum(x[k : len(x) - span + 1 + k] @ w[k] for k in range(span)) for span, w in zip(SPANS, self.filters, strict=True)]
 
     def logits(self, texts: list[list[int]]) -> np.ndarray:
@@ -104,7 +115,7 @@ class Network:
             rows[s : s + len(t)] = t
         # only windows that begin in a text count, for an empty one the first of its gap
         bounds = np.stack((starts, starts + np.maximum(lengths, 1)), axis=1).reshape(-1)
-        pooled = np.concatenate([np.maximum.reduceat(r, bounds)[::2] for r in self.responses(rows)], axis=1)
+        pooled = np.concatenate([np.maximum.reduceat(r, bounds)[::2] for r in self.responses(self.inputs(rows))], axis=1)
         return np.maximum(pooled + self.bias, 0) @ self.out + self.level
 
     def score(self, logits: np.ndarray, languages: list[str]) -> np.ndarray:
@@ -168,19 +179,19 @@ def _weights(net: Network) -> list[np.ndarray]:
 def fit(net: Network, known: list[np.ndarray], squares: list[np.ndarray], share: float, texts: list[np.ndarray], labels: np.ndarray, seed: int) -> None:
     """One pass of Adagrad steps over texts given as word rows; changes `net` and `squares`."""
     weight = np.where(labels > 0, (1 - share) / share, 1.0) ** 0.5
+    gap, every = np.zeros(max(SPANS), np.int64), np.arange(FILTERS)
 
     def step(x: np.ndarray, s: np.ndarray, g: np.ndarray, at=...) -> None:
         s[at] += g * g
         x[at] -= STEP * g / np.sqrt(s[at])
 
     for d in np.random.default_rng(seed).permutation(len(texts)):
-        rows = np.pad(texts[d], (0, max(SPANS)))
+        rows = np.concatenate((texts[d], gap))
         x = net.inputs(rows)
         best = []
-        for span, w in zip(SPANS, net.filters, strict=True):
-            r = sum(x[k : len(x) - span + 1 + k] @ w[k] for k in range(span))
-            r = r[: max(1, len(texts[d]))]
-            best.append((r.argmax(0), r.max(0)))
+        for r in net.responses(x):
+            at = r[: max(1, len(texts[d]))].argmax(0)
+            best.append((at, r[at, every]))
         pooled = np.concatenate([m for _, m in best]) + net.bias
         feature = np.maximum(pooled, 0)
         error = weight[d] * (1 / (1 + np.exp(-np.clip(feature @ net.out + net.level, -40, 40))) - labels[d])
@@ -196,7 +207,7 @@ def fit(net: Network, known: list[np.ndarray], squares: list[np.ndarray], share:
                 at = rows[places + k]
                 back = g[:, None] * w[k].T
                 step(w, squares[2 + j], (x[places + k] * g[:, None]).T, k)
-                for table, s, own, cols, learned in ((net.words, squares[0], at // START_ROWS, slice(0, WIDTH), known[0]), (net.starts, squares[1], at % START_ROWS, slice(WIDTH, 2 * WIDTH), known[1])):
+                for table, s, own, cols, learned in ((net.words, squares[0], at >> START_BITS, slice(0, WIDTH), known[0]), (net.starts, squares[1], at & START_ROWS - 1, slice(WIDTH, 2 * WIDTH), known[1])):
                     real = learned[own]
                     if real.any():
                         u, inverse = np.unique(own[real], return_inverse=True)
@@ -286,16 +297,19 @@ def _calibrate(back: DataFrame, net: Network, profiles: language.Profiles) -> No
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column, profiles: language.Profiles, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", task_rows: int = TASK_ROWS) -> Network:
     marked = labels.where(F.col(id_column).isNotNull() & F.col(label_column).isNotNull()).groupBy(F.col(id_column).alias("id")).agg((F.max(label_column) > 0).cast("int").alias("y"))
-    known = docs.where(usable & F.col(text_column).isNotNull()).select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).join(marked, "id")
+    known = docs.where(usable & F.col(text_column).isNotNull()).select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), F.monotonically_increasing_id().alias("place")).join(marked.hint("shuffle_hash"), "id")
+    # Labels grow with the documents, so they are never broadcast, and long texts are not sorted to meet them.
     kept_back = F.pmod(F.xxhash64("id"), F.lit(5)) == 0
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = WordRows()
         for b in sliced(batches, 0, SLICE_BYTES):
-            yield pa.record_batch([pa.array([_packed(rows.of(t)) for t in b.column(0).to_pylist()], pa.binary()), b.column(1)], ["words", "y"])
+            yield pa.record_batch([pa.array([_packed(rows.of(t)) for t in b.column(0).to_pylist()], pa.binary()), b.column(1), b.column(2)], ["words", "y", "place"])
 
     tasks = max(1, -(-marked.count() // task_rows))
-    front = stored(known.where(~kept_back).select("text", "y").mapInArrow(task, "words binary, y int").coalesce(tasks), "training")
+    packed = known.where(~kept_back).select("text", "y", "place").mapInArrow(task, "words binary, y int, place long")
+    # A task's rows are trained on in the order of the input, not in that of the shuffle.
+    front = stored(packed.coalesce(tasks).sortWithinPartitions("place").select("words", "y"), "training")
     n, toxic = front.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
     if not n or toxic in (0, n):
         net = untrained(np.clip(toxic / n, 0.01, 0.99) if n else 0.5)

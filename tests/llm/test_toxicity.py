@@ -81,3 +81,22 @@ def test_every_labelled_row_is_learned_from(spark, documents, prose, monkeypatch
     assert n[slots == at].sum() == sum(k in front and "scum" in t for k, t, _ in rows)
     found = {r.doc_id: r.predicted for r in toxicity.score(docs, net, profiles).collect()}
     assert np.mean([found[k] == int("zzyzx" in t or "scum" in t) for k, t, _ in rows]) > 0.95
+
+
+def test_words_of_one_byte_letters_and_others():
+    """Texts of one byte a code point are cut without the expression, to the same words."""
+    every = "".join(map(chr, range(1, 0x250)))
+    for text in ("", None, "É²ß ªº À_1 x", every, every[:255], "日本 a", " a--b\x85c\xa0d "):
+        rows = toxicity.WordRows()
+        assert rows.of(text) == [toxicity.WordRows()[w] for w in toxicity._WORD.findall((text or "").lower())]
+
+
+def test_labels_are_not_broadcast(spark, documents, monkeypatch):
+    """The join is the same whatever the number of labels: no broadcast that grows with them."""
+    plans = []
+    real = toxicity.stored
+    monkeypatch.setattr(toxicity, "stored", lambda df, label: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df, label))
+    docs = documents([(k, "a b c") for k in range(20)])
+    marks = spark.createDataFrame([(k, 0, k % 2) for k in range(20)], "doc_id long, quality int, toxic int")
+    toxicity.train(docs, marks, F.lit(True), language.learn(docs, F.lit(True)))
+    assert "ShuffledHashJoin" in plans[0] and "BroadcastHashJoin" not in plans[0]
