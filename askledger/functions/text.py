@@ -35,6 +35,17 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITESPACE))
 
 
+def strip_long(text: Column) -> Column:
+    """Like strip, for a column that may be long: its end is searched only if its last character is white space."""
+    open_end = F.contains(F.lit(WHITESPACE), F.right(text, F.lit(1)))
+    return F.when(open_end, strip(text)).otherwise(F.ltrim(text, F.lit(WHITESPACE)))
+
+
+def is_blank(text: Column) -> Column:
+    """True for a text of white space alone. Looked at from the left only, up to its first other character."""
+    return F.ltrim(text, F.lit(WHITESPACE)) == ""
+
+
 def same_text(text: Column) -> Column:
     """Form under which two answers or two fields count as equal."""
     return fold(F.trim(collapse(text)))

@@ -23,6 +23,11 @@ def members(value: Column, keys: Sequence[str]) -> Column:
     return F.try_variant_get(value, "$", f"struct<{kind}>")
 
 
+def shaped(value: Column, kind: str) -> Column:
+    """A value read as the given type in one pass; parts of another type are NULL."""
+    return F.try_variant_get(value, "$", kind)
+
+
 def item(value: Column, index: int) -> Column:
     """Element of an array as VARIANT; NULL when absent."""
     return F.try_variant_get(value, f"$[{index}]", "variant")

@@ -28,6 +28,9 @@ USAGE_COLUMNS = {
     "reasoning": "bigint",
 }
 ORDER = ["src_rank", "src_file", "src_line"]
+_RUN = "struct<usage_metadata: struct<{}>, web_search_calls: array<variant>>".format(
+    ", ".join(f"{c}: variant" for c in USAGE_COLUMNS)
+)
 CALL_COLUMNS = ("call_id", "action_type", "status", "query_raw", "queries", "url", "details", "parse_conf")
 
 
@@ -47,7 +50,9 @@ def line_problems(value: Column, what: str) -> list[tuple[Column, Column]]:
 
 def parse_lines(bronze: DataFrame) -> DataFrame:
     """Lines that are not blank, parsed once; `v` is NULL where the text is not JSON."""
-    return bronze.filter(tx.strip(F.col("raw")) != "").withColumn("v", F.try_parse_json("raw"))
+    # The list of one keeps the filter here: below, it would have every line decoded, or made, a second time.
+    lines = bronze.select(F.explode_outer(F.array(F.struct(*bronze.columns))).alias("line")).select("line.*")
+    return lines.filter(~tx.is_blank(F.col("raw"))).withColumn("v", F.try_parse_json("raw"))
 
 
 _CALL_KEYS = ("id", "status", "action_type", "query", "queries", "url", "details")
@@ -87,13 +92,7 @@ def parse_calls(calls: Column) -> Column:
     read = F.transform(
         typed,
         lambda c: F.struct(
-            *[
-                c[f].alias(f)
-                for f in (
-                    "is_object", "any_status", "status", "query", "no_queries", "call_id", "url", "details",
-                    "raw_json", "call",
-                )
-            ],
+            c.alias("t"),
             F.when(c["is_object"] & (c["action"] != ""), tx.strip(c["action"])).otherwise("?").alias("action"),
             F.transform(
                 c["any_queries"],
@@ -101,40 +100,43 @@ def parse_calls(calls: Column) -> Column:
             ).alias("queries"),
         ),
     )
-    judged = F.transform(
-        read,
-        lambda c: F.struct(
+
+    def compared(c: Column) -> Column:
+        t = c["t"]
+        return F.struct(
             c.alias("c"),
             (~c["action"].isin(*KNOWN_ACTIONS)).alias("unknown"),
-            (~c["no_queries"] & c["queries"].isNull()).alias("odd_queries"),
-            ((c["action"] == "search") & c["query"].isNull()).alias("no_query"),
-            ((c["action"] == "open_page") & c["url"].isNull()).alias("no_url"),
+            (~t["no_queries"] & c["queries"].isNull()).alias("odd_queries"),
+            ((c["action"] == "search") & t["query"].isNull()).alias("no_query"),
+            ((c["action"] == "open_page") & t["url"].isNull()).alias("no_url"),
             # NULL when there is nothing to compare
-            F.when(F.array_contains(c["queries"], c["query"]), "exact")
-            .when(c["query"].isNull() | c["queries"].isNull(), F.lit(None))
+            F.when(F.array_contains(c["queries"], t["query"]), "exact")
+            .when(t["query"].isNull() | c["queries"].isNull(), F.lit(None))
             .when(
-                F.array_contains(F.transform(c["queries"], tx.query_text), tx.query_text(c["query"])),
+                F.array_contains(F.transform(c["queries"], tx.query_text), tx.query_text(t["query"])),
                 "requoted",
             )
             .otherwise("absent")
             .alias("match"),
-        ),
-    )
+        )
+
+    judged = F.transform(read, compared)
 
     def finished(j: Column) -> Column:
         c = j["c"]
+        t = c["t"]
         notes = an.problems(
             (
-                ~c["is_object"],
-                an.problem("CALL_NOT_AN_OBJECT", F.format_string("expected an object, got %s", va.describe(c["call"]))),
+                ~t["is_object"],
+                an.problem("CALL_NOT_AN_OBJECT", F.format_string("expected an object, got %s", va.describe(t["call"]))),
             ),
             (
-                c["is_object"] & j["unknown"],
+                t["is_object"] & j["unknown"],
                 an.problem("UNKNOWN_ACTION_TYPE", F.format_string("action_type %s is not known", c["action"])),
             ),
             (
-                c["any_status"].isNotNull() & ~c["status"].eqNullSafe(F.lit(COMPLETED)),
-                an.problem("CALL_STATUS_NOT_COMPLETED", F.format_string("status is %s, not completed", c["any_status"])),
+                t["any_status"].isNotNull() & ~t["status"].eqNullSafe(F.lit(COMPLETED)),
+                an.problem("CALL_STATUS_NOT_COMPLETED", F.format_string("status is %s, not completed", t["any_status"])),
             ),
             (j["odd_queries"], an.problem("QUERIES_NOT_A_LIST", F.lit("queries is not a list"))),
             (
@@ -151,18 +153,18 @@ def parse_calls(calls: Column) -> Column:
             (j["no_url"], an.problem("CALL_FIELD_MISSING", F.lit("open_page call has no url"))),
         )
         return F.struct(
-            c["call_id"].alias("call_id"),
+            t["call_id"].alias("call_id"),
             c["action"].alias("action_type"),
-            c["status"].alias("status"),
-            c["query"].alias("query_raw"),
+            t["status"].alias("status"),
+            t["query"].alias("query_raw"),
             c["queries"].alias("queries"),
-            c["url"].alias("url"),
-            c["details"].alias("details"),
-            F.when(~c["is_object"], "failed")
+            t["url"].alias("url"),
+            t["details"].alias("details"),
+            F.when(~t["is_object"], "failed")
             .when(j["unknown"] | j["odd_queries"] | j["no_query"] | j["no_url"], "heuristic")
             .otherwise("clean")
             .alias("parse_conf"),
-            c["raw_json"].alias("raw_json"),
+            t["raw_json"].alias("raw_json"),
             notes.alias("notes"),
         )
 
@@ -214,9 +216,7 @@ def shred(bronze: DataFrame) -> DataFrame:
         *ORDER, "line_problems", "ent_pos", "se10", "entity_problems", "is_entity", "run_pos",
         F.col("r.key").alias("run_key"), F.col("r.value").alias("run"),
     )
-    opened = by_run.withColumn(
-        "m", va.members(F.col("run"), ("usage_metadata", "web_search_calls"))
-    ).withColumn("usage", va.members(F.col("m.usage_metadata"), tuple(USAGE_COLUMNS)))
+    opened = by_run.withColumn("m", va.shaped(F.col("run"), _RUN)).withColumn("usage", F.col("m.usage_metadata"))
     typed = opened.select(
         *by_run.columns,
         F.col("m").isNotNull().alias("is_run"),
@@ -227,8 +227,9 @@ def shred(bronze: DataFrame) -> DataFrame:
             for c, kind in USAGE_COLUMNS.items()
         ],
         *[va.only_integer(F.col(f"usage.{c}_tokens")).alias(f"_{c}") for c in ("input", "output", "total")],
-        F.col("m.web_search_calls").alias("calls_any"),
-        va.as_array(F.col("m.web_search_calls")).alias("call_list"),
+        # what stands in the place of a list of calls is read again only where there is none
+        F.when(F.col("m.web_search_calls").isNull(), va.field(F.col("run"), "web_search_calls")).alias("calls_any"),
+        F.col("m.web_search_calls").alias("call_list"),
     )
     run_problems = an.problems(
         (

@@ -27,10 +27,12 @@ _REPLACEMENT_ESCAPE = "\\ufffd"
 
 def is_damaged(line: Column) -> Column:
     """Bytes that are no UTF-8, or the mark an earlier lenient decoding left, raw or escaped."""
+    # Only a line with such an escape is changed to lower case: that costs more than two looks for one.
+    escapes = F.contains(line, F.lit("\\u")) | F.contains(line, F.lit("\\U"))
     return (
         ~F.is_valid_utf8(line)
         | F.contains(line, F.lit(_REPLACEMENT))
-        | F.contains(F.lower(line), F.lit(_REPLACEMENT_ESCAPE))
+        | F.when(escapes, F.contains(F.lower(line), F.lit(_REPLACEMENT_ESCAPE))).otherwise(escapes)
     )
 
 

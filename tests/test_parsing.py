@@ -1,5 +1,6 @@
 import json
 
+from pyspark.sql import functions as F
 from support import rows
 
 from askledger.operators import anomaly as an
@@ -237,3 +238,35 @@ def test_rows_made_into_several_are_dealt_over_parts_first(spark, tmp_path, monk
     queries, terms = binding.entity_queries(spark, str(tmp_path)), binding.terms(spark, str(tmp_path))
     assert queries.rdd.getNumPartitions() == 30 and queries.count() == 1800
     assert terms.rdd.getNumPartitions() >= 4 and terms.select("se10").distinct().count() == 40 - len([k for k in range(40) if k % 13 == 7 or k % 17 == 5])
+
+
+def test_lines_are_made_once(spark):
+    """The test for blank lines stays above the lines: below, each line would be made a second time for it."""
+    made = spark.range(3).selectExpr("0 as src_rank", "'f' as src_file", "id as src_line", "concat('marker', id) as raw", "false as is_damaged")
+    plan = wl.parse_lines(made)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("concat(marker") == 1 and wl.parse_lines(made).count() == 3
+
+
+def test_escaped_marks_of_damage_in_any_case(spark):
+    from askledger.sources.lines import is_damaged
+
+    lines = ['"\\ufffd"', '"\\UFFFD"', '"\\uFfFd"', '"\\u00e9"', "ufffd", "�", "\\", "", None]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, x string").select("i", is_damaged(F.col("x")).alias("d"))
+    assert [d for _, d in rows(df)] == [True, True, True, False, False, True, False, False, None]
+
+
+def test_runs_of_odd_shape(bronze):
+    """A list of calls that is none, usage that is none, and both at once, beside a good run."""
+    lines = [
+        '{"1": {"run_0": {"usage_metadata": 5, "web_search_calls": {"a": 1}}, "run_1": {"usage_metadata": {"input_tokens": "x", "reasoning": 3}}}}',
+        '{"1": {"run_2": {"web_search_calls": null, "usage_metadata": []}, "run_3": {"web_search_calls": [null, {"query": {"b": 1}}]}, "run_4": 7}}',
+    ]
+    shredded = shred(wl, bronze(lines))
+    assert rows(wl.runs(shredded), "run_key", "input_tokens", "reasoning") == [
+        ("run_0", None, None), ("run_1", None, 3), ("run_2", None, None), ("run_3", None, None)
+    ]
+    details = rows(wl.anomalies(shredded).filter("code = 'WEBLOG_SHAPE_UNEXPECTED'"), "detail")
+    assert details == [("run run_0: web_search_calls is object{a}",), ("run run_4 is bigint, expected an object",)]
+    assert rows(wl.search_calls(shredded), "run_key", "call_index", "parse_conf", "raw_json") == [
+        ("run_3", 0, "failed", "null"), ("run_3", 1, "heuristic", '{"query":{"b":1}}')
+    ]
