@@ -5,6 +5,8 @@ Fixed values: the patterns below state the two prose shapes. `\\z` is the end of
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from askledger.functions import text as tx
 QUESTION = r"(?sU)Q([0-9]+)\.\s*(.*?)(?=\nQ[0-9]+\.|\z)"
 
 _EVIDENCE = r"(?:\n+Evidence[.:]?[ \t]*(.*?))"
-_LABEL = r"\A\n+Evidence[.:]?[ \t]*"
+_LABEL = r"\n+Evidence[.:]?[ \t]*"
 # Shape 1 repeats each question before its answer; blocks are parted by a blank line.
 _ECHO = r"Q([0-9]+)\..*?\nA\1\.[ \t]*(.*?)"
 _ECHO_END = r"(?=\n\s*\nQ[0-9]+\.|\z)"
@@ -34,6 +36,12 @@ def _number(text: Column) -> Column:
     return text.try_cast("int")
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with `value` computed once. The list of one binds it to a name: as an expression, it would be
+    computed again in each place, and in an inner lambda for every element."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def questions(prompt: Column) -> Column:
     """array<struct<qnum, text>> of a prompt, by number; a repeated number keeps its last text."""
     found = F.arrays_zip(
@@ -60,9 +68,7 @@ def last_of_each(items: Column) -> Column:
             ordered, lambda x, i: ~F.coalesce(F.get(ordered, i + 1)["qnum"] == x["qnum"], F.lit(False))
         )
 
-    # The list of one binds the sorted list to a name: used in the inner lambda as an expression, it would be
-    # computed again for every element.
-    return F.get(F.transform(F.array(F.sort_array(items)), pick), 0)
+    return _once(F.sort_array(items), pick)
 
 
 def starts(parts: Column, whole: Column, offset: Column | None = None) -> Column:
@@ -83,48 +89,40 @@ def starts(parts: Column, whole: Column, offset: Column | None = None) -> Column
 
 def _blocks_of(text: Column, shape: str) -> Column:
     flags, head, end = SHAPES[shape]
-    parts = F.regexp_extract_all(text, F.lit(flags + head + _EVIDENCE + "?" + end), F.lit(0))
-    placed = F.arrays_zip(parts.alias("block"), starts(parts, text).alias("at"))
-    # A block up to where its evidence label, or nothing more, follows: long evidence is not read again.
+    found = F.regexp_extract_all(text, F.lit(flags + head + _EVIDENCE + "?" + end), F.lit(0))
+    placed = _once(found, lambda parts: F.arrays_zip(parts.alias("block"), starts(parts, text).alias("at")))
+    # A block up to where its evidence label, or nothing more, follows, and then with the label. Only this top of a block
+    # is read by further patterns: long evidence is read once.
     lead = flags + r"\A" + head.removeprefix("^") + r"(?=\n+Evidence|\z)"
-
     opened = F.transform(
         placed,
         lambda b: F.struct(
-            b["block"].alias("block"),
-            b["at"].alias("at"),
-            _number(F.regexp_extract(b["block"], lead, 1)).alias("qnum"),
-            tx.strip(F.regexp_extract(b["block"], lead, 2)).alias("answer"),
-            F.length(F.regexp_extract(b["block"], lead, 0)).alias("lead"),
+            b["block"].alias("block"), b["at"].alias("at"), F.regexp_extract(b["block"], f"{lead}(?:{_LABEL})?", 0).alias("top")
         ),
     )
     cut = F.transform(
         opened,
-        lambda b: F.struct(
-            b["qnum"].alias("qnum"),
-            b["answer"].alias("answer"),
-            F.substr(b["block"], b["lead"] + 1).alias("rest"),
-            (b["at"] + b["lead"]).alias("rest_at"),
-        ),
-    )
-    # Nothing left over: no label, evidence is NULL. A label alone: evidence is ''.
-    labelled = F.transform(
-        cut,
         lambda b: F.struct(
             b.alias("b"),
-            F.when(b["rest"] != "", F.length(F.regexp_extract(b["rest"], _LABEL, 0))).alias("label"),
+            _number(F.regexp_extract(b["top"], lead, 1)).alias("qnum"),
+            tx.strip(F.regexp_extract(b["top"], lead, 2)).alias("answer"),
+            F.length(F.regexp_extract(b["top"], lead, 0)).alias("lead"),
+            F.length(b["top"]).alias("size"),
         ),
     )
-    return F.transform(
-        labelled,
-        lambda x: F.struct(
-            x["b"]["qnum"].alias("qnum"),
-            x["b"]["answer"].alias("answer"),
-            F.substr(x["b"]["rest"], x["label"] + 1).alias("evidence"),
-            (x["b"]["rest_at"] + x["label"]).alias("evidence_start"),
+
+    def finished(x: Column) -> Column:
+        # Nothing left over: no label, evidence is NULL. A label alone: evidence is ''.
+        left = (x["lead"] < x["size"]) | (x["b"]["block"] != x["b"]["top"])
+        return F.struct(
+            x["qnum"].alias("qnum"),
+            x["answer"].alias("answer"),
+            F.when(left, F.substr(x["b"]["block"], x["size"] + 1)).alias("evidence"),
+            F.when(left, x["b"]["at"] + x["size"]).alias("evidence_start"),
             F.lit(shape).alias("shape"),
-        ),
-    )
+        )
+
+    return F.transform(cut, finished)
 
 
 def echo_blocks(text: Column) -> Column:
@@ -150,14 +148,21 @@ def answer_blocks(text: Column) -> Column:
 def block_citations(block: Column) -> Column:
     """Links in a block's evidence: qnum, url, title, and position in the run's text."""
     evidence = block["evidence"]
-    links = F.regexp_extract_all(evidence, F.lit(CITATION), F.lit(0))
-    zipped = F.arrays_zip(
-        F.regexp_extract_all(evidence, F.lit(CITATION), F.lit(1)).alias("title"),
-        F.regexp_extract_all(evidence, F.lit(CITATION), F.lit(2)).alias("url"),
-        starts(links, evidence).alias("at"),
+    # The evidence is searched once; title and address are then read from the short links.
+    placed = _once(
+        F.regexp_extract_all(evidence, F.lit(CITATION), F.lit(0)),
+        lambda links: F.arrays_zip(links.alias("link"), starts(links, evidence).alias("at")),
+    )
+    opened = F.transform(
+        placed,
+        lambda c: F.struct(
+            F.regexp_extract(c["link"], CITATION, 1).alias("title"),
+            F.regexp_extract(c["link"], CITATION, 2).alias("url"),
+            c["at"].alias("at"),
+        ),
     )
     return F.transform(
-        zipped,
+        opened,
         lambda c: F.struct(
             block["qnum"].alias("qnum"),
             F.nullif(c["url"], F.lit("")).alias("url"),

@@ -326,7 +326,7 @@ def shred_runs(records: DataFrame) -> DataFrame:
         lambda b: row(
             b["qnum"],
             b["answer"],
-            tx.strip(b["evidence"]),
+            tx.strip_long(b["evidence"]),
             F.when(b["shape"] == "q_echo", "answers_text").otherwise("answers_text_bare"),
             tx.same_text(b["answer"]) == tx.same_text(F.element_at("their_map", b["qnum"])),
         ),
@@ -457,9 +457,12 @@ def shred_runs(records: DataFrame) -> DataFrame:
             ),
         ),
     )
+    # A field first, as above: the shape looks at the stripped evidence several times.
+    bare = F.transform(
+        "blocks", lambda b: F.struct(b["shape"].alias("shape"), tx.strip_long(b["evidence"]).alias("evidence"))
+    )
     shapes = F.transform(
-        "blocks",
-        lambda b: F.struct(b["shape"].alias("shape"), tx.block_evidence_shape(b["evidence"]).alias("evidence")),
+        bare, lambda b: F.struct(b["shape"].alias("shape"), tx.evidence_shape(b["evidence"]).alias("evidence"))
     )
     return compared.select(
         *ids, "run_key", "run_id", "seen", "answers",

@@ -107,3 +107,36 @@ def test_citation_positions(spark):
     (got,) = column(spark, [text], lambda c: prose.prose_citations(prose.answer_blocks(c)))
     assert [text[c.char_pos : c.char_pos + 3] for c in got] == ["([x", "([]"]
     assert [(c.url, c.title, c.empty_placeholder) for c in got] == [("https://a/1", "x", False), (None, None, True)]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_long_texts_are_searched_once(spark):
+    """A pattern stands once in the plan: each further place would search every text again."""
+    df = spark.createDataFrame([("x",)], "t string").withColumn("b", prose.echo_blocks(F.col("t")))
+    assert plan_of(df.select("b")).count("regexp_extract_all(") == 1
+    cited = df.select("b", F.lit(1).alias("n")).localCheckpoint().select(prose.prose_citations(F.col("b")).alias("c"))
+    assert plan_of(cited).count("regexp_extract_all(") == 1
+
+
+def test_strip_of_long_texts_equals_strip(spark):
+    texts = [None, "", " ", "a", " a", "a ", " a　", "\x1c", "a b", "é", "\té\n", "​", "a​ "]
+    assert column(spark, texts, tx.strip_long) == column(spark, texts, tx.strip)
+    assert column(spark, texts, tx.is_blank) == column(spark, texts, lambda c: tx.strip(c) == "")
+
+
+def test_blocks_with_odd_labels(spark):
+    """Labels alone, doubled, without a mark or far below their answer, in both shapes."""
+    def evidence(texts, shape):
+        return [[(b["qnum"], b["answer"], b["evidence"], b["evidence_start"]) for b in r] for r in column(spark, texts, shape)]
+
+    bare = ["A1. x\n\n\nEvidence.", "A1. x\nEvidence: y\nEvidence. z", "A1.\nEvidence\t é", "A1. a\n\nA2. b\nEvidence é (x)", "A1. "]
+    assert evidence(bare, prose.bare_blocks) == [
+        [(1, "x", "", 17)], [(1, "x", "y\nEvidence. z", 16)], [(1, "", "é", 14)],
+        [(1, "a", None, None), (2, "b", "é (x)", 22)], [(1, "", None, None)],
+    ]
+    assert evidence(["Q1. q\nA1. é\nEvidence. w\n\nQ2. r\nA2. v"], prose.echo_blocks) == [
+        [(1, "é", "w", 22), (2, "v", None, None)]
+    ]
