@@ -63,8 +63,16 @@ def letter_grams(text: str) -> np.ndarray:
 
 
 def most_frequent(grams: np.ndarray, size: int) -> np.ndarray:
-    values, counts = np.unique(grams, return_counts=True)
-    return values[np.argsort(-counts, kind="stable")[:size]]
+    if not len(grams):
+        return grams
+    grams = np.sort(grams)
+    ends = np.flatnonzero(np.concatenate((grams[1:] != grams[:-1], [True])))
+    # count and place as one number: the most frequent first, of equals the smaller
+    ranked = np.arange(len(ends)) - (np.diff(ends, prepend=-1) << 32)
+    if len(ranked) > size:
+        ranked = np.partition(ranked, size)[:size]
+    ranked.sort()
+    return grams[ends[ranked & 0xFFFFFFFF]]
 
 
 @dataclass

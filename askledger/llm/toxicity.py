@@ -53,9 +53,16 @@ ROW_BYTES = 5
 LEAST_POSITIVE = 12
 #: Documents that must use a row for it to be learned, and the weight of the overall share in its first log-odds.
 LEAST_DOCUMENTS, PRIOR = 3, 8.0
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 18
 CACHE_WORDS = 200_000
 
+#: Every filter's place in a text, once for each word of its window: the filter, the word's place in the window, and both
+#: of them as one stage, in which a row of the tables takes one step.
+_FILTER = np.array([j * FILTERS + f for j, span in enumerate(SPANS) for _ in range(span) for f in range(FILTERS)])
+_OFFSET = np.array([k for span in SPANS for k in range(span) for _ in range(FILTERS)])
+_STAGES = sum(SPANS)
+_STAGE = np.repeat(np.arange(_STAGES), FILTERS)
+
 _WORD = re.compile(r"[^\W\d_]+")
 #: For texts of one byte a code point: what is no letter becomes a space.
 _LETTERS = bytes(c if _WORD.match(chr(c)) else 32 for c in range(256))
@@ -65,10 +72,14 @@ class WordRows(dict):
     """word -> row in the word table, and row in the table of first letters, as one number."""
 
     def __missing__(self, word: str | bytes) -> int:
-        word, known = word.decode("latin-1") if isinstance(word, bytes) else word, word
-        own = xxhash.xxh3_64_intdigest(word.encode()) % (WORD_ROWS - 1) + 1
-        start = xxhash.xxh3_64_intdigest(word[:START_LETTERS].encode(), 1) % (START_ROWS - 1) + 1
-        value = self[known] = own * START_ROWS + start
+        if isinstance(word, bytes) and word.isascii():
+            whole, first = word, word[:START_LETTERS]
+        else:
+            letters = word.decode("latin-1") if isinstance(word, bytes) else word
+            whole, first = letters.encode(), letters[:START_LETTERS].encode()
+        own = xxhash.xxh3_64_intdigest(whole) % (WORD_ROWS - 1) + 1
+        start = xxhash.xxh3_64_intdigest(first, 1) % (START_ROWS - 1) + 1
+        value = self[word] = own * START_ROWS + start
         return value
 
     def of(self, text: str | None) -> list[int]:
@@ -84,26 +95,39 @@ class WordRows(dict):
 
 @dataclass
 class Network:
-    """Row 0 of each table is the gap between texts and stays zero."""
+    """`table` has the rows of words, then those of first letters; row 0 of each is the gap between texts and stays zero.
+
+    `filters` has for each width and word of its window (a stage) what the filters of that width make of that word.
+    """
 
-    words: np.ndarray
-    starts: np.ndarray
-    filters: list[np.ndarray]
+    table: np.ndarray
+    filters: np.ndarray
     bias: np.ndarray
     out: np.ndarray
     level: float
     thresholds: dict[str, float] = field(default_factory=dict)
     threshold: float = 0.0
 
-    def inputs(self, rows: np.ndarray) -> np.ndarray:
-        x = np.empty((len(rows), 2 * WIDTH), np.float32)
-        x[:, :WIDTH] = self.words[rows >> START_BITS]
-        x[:, WIDTH:] = self.starts[rows & START_ROWS - 1]
-        return x
-
-    def responses(self, x: np.ndarray) -> list[np.ndarray]:
-        """Per filter width, what each filter gives at each place (a window begins there) of inputs."""
-        return [sum(x[k : len(x) - span + 1 + k] @ w[k] for k in range(span)) for span, w in zip(SPANS, self.filters, strict=True)]
+    @staticmethod
+    def slots(rows: np.ndarray) -> np.ndarray:
+        """Both rows of the table of each word."""
+        at = np.empty((len(rows), 2), np.int64)
+        np.right_shift(rows, START_BITS, out=at[:, 0])
+        np.bitwise_and(rows, START_ROWS - 1, out=at[:, 1])
+        at[:, 1] += WORD_ROWS
+        return at
+
+    def responses(self, slots: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The inputs; per filter width, what each filter gives at each place of them (a window begins there)."""
+        x = self.table.take(slots, axis=0).reshape(len(slots), 2 * WIDTH)
+        found, stage = [], 0
+        for span in SPANS:
+            r = x[: len(x) - span + 1] @ self.filters[stage]
+            for k in range(1, span):
+                r += x[k : len(x) - span + 1 + k] @ self.filters[stage + k]
+            found.append(r)
+            stage += span
+        return x, found
 
     def logits(self, texts: list[list[int]]) -> np.ndarray:
         """One number per text; texts are laid one after the other with gaps wider than any filter."""
@@ -115,7 +139,7 @@ class Network:
             rows[s : s + len(t)] = t
         # only windows that begin in a text count, for an empty one the first of its gap
         bounds = np.stack((starts, starts + np.maximum(lengths, 1)), axis=1).reshape(-1)
-        pooled = np.concatenate([np.maximum.reduceat(r, bounds)[::2] for r in self.responses(self.inputs(rows))], axis=1)
+        pooled = np.concatenate([np.maximum.reduceat(r, bounds)[::2] for r in self.responses(self.slots(rows))[1]], axis=1)
         return np.maximum(pooled + self.bias, 0) @ self.out + self.level
 
     def score(self, logits: np.ndarray, languages: list[str]) -> np.ndarray:
@@ -125,13 +149,12 @@ class Network:
 
 def untrained(share: float = 0.5) -> Network:
     rng = np.random.default_rng(11)
-    filters = [rng.normal(0, 0.15, (span, 2 * WIDTH, FILTERS)).astype(np.float32) for span in SPANS]
-    for w in filters:
-        w[:, 0, : FILTERS // 2] += 0.5  # towards the log-odds of words and of first letters
-        w[:, WIDTH, : FILTERS // 2] += 0.35
+    filters = np.concatenate([rng.normal(0, 0.15, (span, 2 * WIDTH, FILTERS)).astype(np.float32) for span in SPANS])
+    filters[:, 0, : FILTERS // 2] += 0.5  # towards the log-odds of words and of first letters
+    filters[:, WIDTH, : FILTERS // 2] += 0.35
     level = float(np.log(share / (1 - share)))
-    zeros = lambda n: np.zeros((n, WIDTH), np.float32)
-    return Network(zeros(WORD_ROWS), zeros(START_ROWS), filters, np.full(FILTERS * len(SPANS), -0.5, np.float32), np.full(FILTERS * len(SPANS), 0.1, np.float32), level)
+    n = FILTERS * len(SPANS)
+    return Network(np.zeros((WORD_ROWS + START_ROWS, WIDTH), np.float32), filters, np.full(n, -0.5, np.float32), np.full(n, 0.1, np.float32), level)
 
 
 def _packed(rows: list[int]) -> bytes:
@@ -156,64 +179,78 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch([pa.array(at), pa.array(found[0, at]), pa.array(found[1, at])], ["slot", "toxic", "clean"])
 
 
-def started(slots: np.ndarray, toxic: np.ndarray, clean: np.ndarray, share: float) -> tuple[Network, list[np.ndarray]]:
-    """The network before training, and which rows of its tables are learned: those that enough documents use."""
+def started(slots: np.ndarray, toxic: np.ndarray, clean: np.ndarray, share: float) -> tuple[Network, np.ndarray]:
+    """The network before training, and which rows of its table are learned: those that enough documents use."""
     rng = np.random.default_rng(12)
-    net, known = untrained(share), []
+    net = untrained(share)
     counts = np.zeros((2, WORD_ROWS + START_ROWS))
     counts[0, slots], counts[1, slots] = toxic, clean
-    for table, part in ((net.words, counts[:, :WORD_ROWS]), (net.starts, counts[:, WORD_ROWS:])):
-        odds = np.log((part[0] + PRIOR * share) / (part[1] + PRIOR * (1 - share)) * (1 - share) / share)
-        used = part.sum(0) >= LEAST_DOCUMENTS
-        used[0] = False
-        known.append(used)
-        table[used] = rng.normal(0, 0.02, (int(used.sum()), WIDTH))
-        table[used, 0] = np.clip(odds[used], -3, 3)
+    odds = np.log((counts[0] + PRIOR * share) / (counts[1] + PRIOR * (1 - share)) * (1 - share) / share)
+    known = counts.sum(0) >= LEAST_DOCUMENTS
+    known[[0, WORD_ROWS]] = False
+    net.table[known] = rng.normal(0, 0.02, (int(known.sum()), WIDTH))
+    net.table[known, 0] = np.clip(odds[known], -3, 3)
     return net, known
 
 
 def _weights(net: Network) -> list[np.ndarray]:
-    return [net.words, net.starts, *net.filters, net.bias, net.out]
+    return [net.table, net.filters, net.bias, net.out]
 
 
-def fit(net: Network, known: list[np.ndarray], squares: list[np.ndarray], share: float, texts: list[np.ndarray], labels: np.ndarray, seed: int) -> None:
+def fit(net: Network, known: np.ndarray, squares: list[np.ndarray], share: float, texts: list[np.ndarray], labels: np.ndarray, seed: int) -> None:
     """One pass of Adagrad steps over texts given as word rows; changes `net` and `squares`."""
     weight = np.where(labels > 0, (1 - share) / share, 1.0) ** 0.5
     gap, every = np.zeros(max(SPANS), np.int64), np.arange(FILTERS)
 
-    def step(x: np.ndarray, s: np.ndarray, g: np.ndarray, at=...) -> None:
-        s[at] += g * g
-        x[at] -= STEP * g / np.sqrt(s[at])
+    def step(x: np.ndarray, s: np.ndarray, g: np.ndarray) -> None:
+        s += g * g
+        x -= STEP * g / np.sqrt(s)
+
+    def table_step(own: np.ndarray, back: np.ndarray, stage: np.ndarray) -> None:
+        """A step for each stage that uses a row of the table, one after the other; those of all rows at once."""
+        order = own.argsort()
+        ordered = own[order]
+        first = np.concatenate(([True], ordered[1:] != ordered[:-1]))
+        rows, place = ordered[first], np.empty(len(own), np.int64)
+        place[order] = first.cumsum() - 1
+        g = np.zeros((_STAGES + 1, len(rows), WIDTH), np.float32)
+        np.add.at(g[1:].reshape(-1, WIDTH), stage * len(rows) + place, back)
+        s = g * g
+        s[0] = squares[0].take(rows, axis=0)
+        np.add.accumulate(s, axis=0, out=s)
+        g[1:] *= STEP
+        g[1:] /= np.sqrt(s[1:])
+        g[0] = net.table.take(rows, axis=0)
+        net.table[rows], squares[0][rows] = np.subtract.reduce(g, axis=0), s[-1]
 
     for d in np.random.default_rng(seed).permutation(len(texts)):
-        rows = np.concatenate((texts[d], gap))
-        x = net.inputs(rows)
-        best = []
-        for r in net.responses(x):
+        slots = net.slots(np.concatenate((texts[d], gap)))
+        x, responses = net.responses(slots)
+        places, most = [], []
+        for r in responses:
             at = r[: max(1, len(texts[d]))].argmax(0)
-            best.append((at, r[at, every]))
-        pooled = np.concatenate([m for _, m in best]) + net.bias
+            places.append(at)
+            most.append(r[at, every])
+        pooled = np.concatenate(most) + net.bias
         feature = np.maximum(pooled, 0)
         error = weight[d] * (1 / (1 + np.exp(-np.clip(feature @ net.out + net.level, -40, 40))) - labels[d])
         into = error * net.out * (pooled > 0)
         step(net.out, squares[-1], error * feature + 1e-4 * net.out)
         step(net.bias, squares[-2], into)
         net.level -= 0.02 * error
-        for j, (span, w) in enumerate(zip(SPANS, net.filters, strict=True)):
-            places, g = best[j][0], into[j * FILTERS : (j + 1) * FILTERS]
-            if not g.any():
-                continue
-            for k in range(span):
-                at = rows[places + k]
-                back = g[:, None] * w[k].T
-                step(w, squares[2 + j], (x[places + k] * g[:, None]).T, k)
-                for table, s, own, cols, learned in ((net.words, squares[0], at >> START_BITS, slice(0, WIDTH), known[0]), (net.starts, squares[1], at & START_ROWS - 1, slice(WIDTH, 2 * WIDTH), known[1])):
-                    real = learned[own]
-                    if real.any():
-                        u, inverse = np.unique(own[real], return_inverse=True)
-                        total = np.zeros((len(u), WIDTH), np.float32)
-                        np.add.at(total, inverse, back[real][:, cols])
-                        step(table, s, total, u)
+        g = into[_FILTER]
+        used = g.nonzero()[0]
+        if not len(used):
+            continue
+        at, g = np.concatenate(places)[_FILTER[used]] + _OFFSET[used], g[used, None]
+        back = (g * net.filters.transpose(0, 2, 1).reshape(-1, 2 * WIDTH)[used]).reshape(-1, 2, WIDTH)
+        change = np.zeros((len(_FILTER), 2 * WIDTH))
+        change[used] = x[at] * g
+        step(net.filters, squares[1], change.reshape(_STAGES, FILTERS, 2 * WIDTH).transpose(0, 2, 1))
+        own = slots[at]
+        word, table = known[own].nonzero()
+        if len(word):
+            table_step(own[word, table], back[word, table], _STAGE[used[word]])
 
 
 def best_threshold(logits: np.ndarray, labels: np.ndarray, counts: np.ndarray | None = None) -> float:
@@ -237,7 +274,7 @@ def _flat(parts: list[np.ndarray], level: float) -> np.ndarray:
     return np.concatenate([p.reshape(-1, WIDTH) for p in parts] + [np.full((1, WIDTH), level, np.float32)]).astype(np.float32)
 
 
-def _epoch(front: DataFrame, net: Network, known: list[np.ndarray], squares: list[np.ndarray], share: float, seed: int) -> None:
+def _epoch(front: DataFrame, net: Network, known: np.ndarray, squares: list[np.ndarray], share: float, seed: int) -> None:
     """Every task trains on its rows; the weights that tasks changed become the average of what those tasks made of them."""
     shared = front.sparkSession.sparkContext.broadcast((net, known, squares, share))
 

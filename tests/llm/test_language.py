@@ -1,3 +1,6 @@
+from collections import Counter
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,3 +56,15 @@ def test_nothing_to_learn_from(documents):
     profiles = language.learn(documents([(1, "abc")]), F.lit(True))
     assert [(r.lang_pred, r.score) for r in language.predict(documents([(1, "abc")]), profiles).collect()] == [("und", 0.0)]
     assert language.predict(documents([]), profiles).collect() == []
+
+
+def test_most_frequent_by_count_then_value(monkeypatch):
+    """As defined, for every size; equal values are sorted once, by no general routine."""
+    rng = np.random.default_rng(2)
+    monkeypatch.delattr(language.np, "unique")
+    for n in (0, 1, 2, 50, 3000):
+        grams = rng.zipf(1.5, n) % (1 << 62)
+        counts = Counter(grams.tolist())
+        plain = sorted(counts, key=lambda g: (-counts[g], g))
+        for size in (1, 7, len(plain), len(plain) + 1):
+            assert language.most_frequent(grams, size).tolist() == plain[:size]

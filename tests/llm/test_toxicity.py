@@ -1,3 +1,4 @@
+import copy
 import random
 
 import numpy as np
@@ -100,3 +101,58 @@ def test_labels_are_not_broadcast(spark, documents, monkeypatch):
     marks = spark.createDataFrame([(k, 0, k % 2) for k in range(20)], "doc_id long, quality int, toxic int")
     toxicity.train(docs, marks, F.lit(True), language.learn(docs, F.lit(True)))
     assert "ShuffledHashJoin" in plans[0] and "BroadcastHashJoin" not in plans[0]
+
+
+def _plain_fit(net, known, squares, share, text, label):
+    """The same steps on one text, row after row."""
+    weight = ((1 - share) / share if label else 1.0) ** 0.5
+    slots = net.slots(np.concatenate((text, np.zeros(max(toxicity.SPANS), np.int64))))
+    x = net.table[slots].reshape(len(slots), -1)
+    stages = [net.filters[sum(toxicity.SPANS[:j]) :][:span].copy() for j, span in enumerate(toxicity.SPANS)]
+    given = [sum(x[k : len(x) - span + 1 + k] @ w[k] for k in range(span)) for span, w in zip(toxicity.SPANS, stages, strict=True)]
+    places = [r[: len(text)].argmax(0) for r in given]
+    pooled = np.concatenate([r.max(0, where=(np.arange(len(r)) < len(text))[:, None], initial=-np.inf) for r in given]) + net.bias
+    into = weight * (1 / (1 + np.exp(-(np.maximum(pooled, 0) @ net.out + net.level))) - label) * net.out * (pooled > 0)
+    for j, (span, w) in enumerate(zip(toxicity.SPANS, stages, strict=True)):
+        g = into[j * toxicity.FILTERS :][: toxicity.FILTERS]
+        for k in range(span):
+            sums = {}
+            for f in range(toxicity.FILTERS):
+                for half, row in enumerate(slots[places[j][f] + k]):
+                    if known[row]:
+                        sums[row] = sums.get(row, 0) + g[f] * w[k][half * toxicity.WIDTH :][: toxicity.WIDTH, f]
+            for row, total in sums.items():
+                squares[row] += total * total
+                net.table[row] -= toxicity.STEP * total / np.sqrt(squares[row])
+
+
+def test_a_text_takes_all_its_steps_at_once(monkeypatch):
+    """Rows met in several windows take a step for each, as if one after the other, but are added up once for a text."""
+    rng = np.random.default_rng(5)
+    net = toxicity.untrained(0.3)
+    net.table[:] = rng.normal(0, 0.5, net.table.shape)
+    net.bias += 0.5
+    known = rng.random(len(net.table)) < 0.8
+    words = toxicity.WordRows()
+    calls = []
+
+    class Add:
+        def __call__(self, *a, **k):
+            return add(*a, **k)
+
+        def __getattr__(self, name):
+            calls.extend([name] * (name == "at"))
+            return getattr(add, name)
+
+    add = np.add
+    monkeypatch.setattr(toxicity.np, "add", Add())
+    for k, text in enumerate(("scum", "a b a b a", "one two three two one four " * 9, "x " * 40)):
+        text, label = np.array(words.of(text)), float(k % 2)
+        plain, plain_squares = copy.deepcopy(net), np.full_like(net.table, 1e-2)
+        _plain_fit(plain, known, plain_squares, 0.3, text, label)
+        squares = [np.full_like(w, 1e-2) for w in toxicity._weights(net)]
+        own = copy.deepcopy(net)
+        calls.clear()
+        toxicity.fit(own, known, squares, 0.3, [text], np.array([label]), 1)
+        assert len(calls) <= 1
+        assert (own.table != net.table).any() and np.allclose(own.table, plain.table, atol=1e-5) and np.allclose(squares[0], plain_squares, atol=1e-5)
