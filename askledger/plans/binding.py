@@ -45,12 +45,15 @@ def spread_table(spark: SparkSession, sf_dir: str, name: str, part_rows: int = P
     """A table in parts of about `part_rows` rows, in as many as there are cores at least: parsing costs far more than
     moving narrow rows once, and a task's time and memory must not follow the size of the table.
 
-    A table that the scan itself splits that far is left as it is. The number is given, so that adaptive execution does
-    not merge the parts again.
+    A table whose scan splits it nearly as evenly is left as it is: what counts is the rows of the largest split, as a
+    row group is read whole by one split and the others beside it get none. The number is given, so that adaptive
+    execution does not merge the parts again.
     """
     df = table(spark, sf_dir, name)
-    parts = max(spark.sparkContext.defaultParallelism, -(-df.count() // part_rows))
-    return df if df.rdd.getNumPartitions() >= parts else df.repartition(parts, df.columns[0])
+    split = df.groupBy(F.spark_partition_id().alias("split")).agg(F.count(F.lit(1)).alias("n"))
+    rows, largest = split.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    parts = max(spark.sparkContext.defaultParallelism, -(-rows // part_rows))
+    return df if largest * parts <= 2 * rows else df.repartition(parts, df.columns[0])
 
 
 def rates(spark: SparkSession) -> DataFrame:

@@ -174,3 +174,25 @@ def test_parts_follow_the_rows_of_a_table(spark, tmp_path):
     spark.range(1000).write.parquet(f"{tmp_path}/t.parquet")
     spread = binding.spread_table(spark, str(tmp_path), "t", part_rows=10)
     assert spread.rdd.getNumPartitions() == 100 and spread.count() == 1000
+
+
+def test_parts_follow_the_rows_of_splits_not_their_bytes(spark, tmp_path):
+    """A file of one row group is split by bytes, but one split reads all its rows: they are dealt all the same."""
+    from askledger.plans import binding
+
+    path = tmp_path / "t.parquet"
+    spark.range(2000).selectExpr("id", "repeat(sha2(cast(id as string), 256), 4) as text").coalesce(1).write.parquet(str(path))
+    spark.range(2000).repartition(20).write.parquet(str(tmp_path / "even.parquet"))
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for key in kept:
+            spark.conf.set(key, 4096)
+        assert spark.read.parquet(str(path)).rdd.getNumPartitions() >= 20
+        for name, dealt in (("t", True), ("even", False)):
+            spread = binding.spread_table(spark, str(tmp_path), name, part_rows=100)
+            sizes = [r["count"] for r in spread.groupBy(F.spark_partition_id()).count().collect()]
+            assert sum(sizes) == 2000 and max(sizes) <= 200
+            assert ("Exchange" in spread._jdf.queryExecution().executedPlan().toString()) == dealt
+    finally:
+        for key, value in kept.items():
+            spark.conf.set(key, value)
