@@ -15,6 +15,9 @@ Words are counted in the task that reads the text, in a table of bounded size, a
 is its commonest near word if that is at least `RATIO` times as common. Numbers rise along forms, so they make chains that
 end; their ends are found by doubling, in as many rounds as the longest chain's length has binary digits.
 
+Every join is a merge join by hint. Spark sizes what a task makes from a word by the word, so it would broadcast the
+neighbourhoods, hundreds of rows a word, and the vocabulary by the size of its compressed file; both grow with the corpus.
+
 Defined results: null and empty texts hold no words; a null id counts as the empty text where ids perturb words; repeated
 rows count each; an empty table gives no rows; other columns are ignored.
 """
@@ -188,9 +191,9 @@ def coded(words: DataFrame, size: int) -> DataFrame:
 
 def near_words(words: DataFrame, size: int) -> DataFrame:
     """wid, near_wid, near, near_n: every ordered pair of words exactly one edit apart. `words` has wid, word, n."""
-    met = neighbours(words, size).join(coded(words, size).toDF("other", "near_wid", "near", "near_n"), "other")
+    met = neighbours(words, size).join(coded(words, size).toDF("other", "near_wid", "near", "near_n").hint("merge"), "other")
     pairs = met.where("wid != near_wid").select("wid", "near_wid", "near", "near_n")
-    checked = pairs.join(words, "wid").where(F.levenshtein("word", "near", 1) == 1)
+    checked = pairs.join(words.hint("merge"), "wid").where(F.levenshtein("word", "near", 1) == 1)
     both = F.explode(F.array(F.struct("wid", "near_wid", "near", "near_n"), F.struct(F.col("near_wid").alias("wid"), F.col("wid").alias("near_wid"), F.col("word").alias("near"), F.col("n").alias("near_n"))))
     return checked.select(both.alias("p")).select("p.*").distinct()
 
@@ -200,7 +203,7 @@ def ends(links: DataFrame) -> DataFrame:
     links, moved = stored(links, "links"), True
     while moved:
         further = links.select(F.col("wid").alias("to"), F.col("to").alias("next"))
-        both = stored(links.join(further, "to", "left").select("wid", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved")), "links")
+        both = stored(links.join(further.hint("merge"), "to", "left").select("wid", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved")), "links")
         links, moved = both.select("wid", "to"), not both.where("moved").isEmpty()
     return links
 
@@ -212,11 +215,11 @@ def variants(counts: DataFrame, least_count: int = LEAST_COUNT, ratio: int = RAT
     pairs = near_words(words, alphabet(words))
     best = F.min(F.struct((-F.col("near_n")).alias("n"), F.col("near"), F.col("near_wid")))
     found = stored(pairs.groupBy("wid").agg(F.count("*").alias("n_near"), best.alias("best")).select("wid", "n_near", (-F.col("best.n")).alias("near_n"), "best.near", "best.near_wid"), "near")
-    named = words.join(found, "wid", "left")
+    named = words.join(found.hint("merge"), "wid", "left")
     has_form = F.col("near_n") >= ratio * F.col("n")
     last = ends(named.where(has_form).select("wid", F.col("near_wid").alias("to")))
-    roots = last.join(words.select(F.col("wid").alias("to"), F.col("word").alias("root")), "to").select("wid", "root")
-    return named.join(roots, "wid", "left").select(
+    roots = last.join(words.select(F.col("wid").alias("to"), F.col("word").alias("root")).hint("merge"), "to").select("wid", "root")
+    return named.join(roots.hint("merge"), "wid", "left").select(
         "word", F.when(has_form, F.col("near")).alias("form"), F.coalesce("root", "word").alias("root"),
         "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(has_form, F.col("near_n")).alias("form_n"),
     )

@@ -89,3 +89,14 @@ def test_the_alphabet_grows_where_words_collide(spark):
     size = spelling.alphabet(few)
     assert size > spelling.ALPHABETS[0]
     assert spelling.near_words(few, size).count() == len(same) * 45
+
+
+def test_nothing_that_grows_is_broadcast(spark, documents, capsys, tmp_path):
+    """Neighbourhoods look as small as the words they are made from; small as these tables are, no join may send one to the driver."""
+    words = spark.createDataFrame([(k, f"word{chr(97 + k)}x", 3) for k in range(20)], "wid long, word string, n long")
+    words.write.parquet(path := f"{tmp_path}/words")
+    for found in (spelling.near_words(spark.read.parquet(path), 4), spelling.spelling(documents(texts(3)))):
+        assert found.collect()
+        found.explain()
+        plan = capsys.readouterr().out
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
